@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, exact_dedup, line_dedup, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,5 +18,32 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe}
-SQL: dict[str, str] = {}
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents against the index of those that came first, the lower half of the ids."""
+    docs = table(spark, sf_dir, "documents")
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    shards = exact_dedup.shards_for(docs)
+    index = exact_dedup.build_index(docs.where(F.col("doc_id") <= ((low or 0) + (high or 0)) // 2), shards)
+    return exact_dedup.repeats(docs, index, shards)
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(table(spark, sf_dir, "documents"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_dropped")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe": op1_bpe,
+    "op2_exact_dedup": op2_exact_dedup,
+    "op3_secrets": op3_secrets,
+    "op7_line_dedup": op7_line_dedup,
+}
+SQL: dict[str, str] = {
+    "op2_exact_dedup": """
+SELECT doc_id, winner_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS winner_id FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL) AS t
+WHERE doc_id <> winner_id""",
+    "op7_line_dedup": line_dedup.SQL,
+}
