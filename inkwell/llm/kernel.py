@@ -58,12 +58,12 @@ def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch of at most so many bytes of text, or of one document."""
+    """Slices of a batch of at most so many bytes of text, or of one document, and of 60,000 rows."""
     _, offsets = flat(batch.column(column))
     start = 0
     while start < batch.num_rows:
         stop = int(np.searchsorted(offsets, offsets[start] + limit, "right")) - 1
-        stop = min(max(stop, start + 1), batch.num_rows)
+        stop = min(max(stop, start + 1), start + 60_000, batch.num_rows)
         yield batch.slice(start, stop - start)
         start = stop
 
