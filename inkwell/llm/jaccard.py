@@ -15,7 +15,7 @@ rare n-grams first, and, for their two sizes, a known number of those.  So:
    named often enough for their sizes are candidates.  In a larger region its
    least document becomes the pivot of a second-level region, which all join.
 3. Candidates are put together in regions around their least neighbour.
-4. Second-level regions get the whole sets.  Those over LEAF documents are
+4. Second-level regions get the whole texts, packed.  Those over LEAF documents are
    split recursively at the median distance from a pivot, and by the triangle
    inequality only documents within the radius of the border meet across it.
    Leaves compare all pairs exactly.  Regions too large for one task are cut
@@ -36,10 +36,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import Words, chunks, fresh, list_array, mix, ragged, slots, window_hash, written
+from .kernel import CHUNK_BYTES, Words, chunks, fresh, mix, ragged, slots, window_hash, written
 
 N = 3
 THRESHOLD = 0.5
@@ -57,6 +58,10 @@ LOW48 = np.uint64((1 << 48) - 1)
 
 def sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the distinct n-grams of each text, sorted within it, and their offsets."""
+    if len(column) > 1 and (len(column) > 60_000 or column.nbytes > 2 * CHUNK_BYTES):
+        parts = [sets(p.column(0), n) for p in chunks(pa.RecordBatch.from_arrays([column], names=["text"]))]
+        sizes = np.concatenate([np.diff(o) for _, o in parts])
+        return np.concatenate([g for g, _ in parts]), np.concatenate([[0], np.cumsum(sizes)])
     words = Words(column)
     g, at = words.grams(n)
     doc = words.doc[at] if len(at) else np.zeros(0, np.int64)
@@ -309,7 +314,19 @@ def memberships(found: DataFrame, t: float) -> DataFrame:
     placed = pairs.join(of_a, "a").join(of_b, "b").withColumn("region", F.when(F.col("a_label") == F.col("b_label"), F.col("a_label")).otherwise(F.least("a", "b")))
     sides = F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("a_size").alias("size")), F.struct(F.col("b").alias("id"), F.col("b_size").alias("size")))).alias("e")
     small = placed.select("region", sides).select("e.id", "region", "e.size")
-    return small.unionByName(unpack_members(found)).groupBy("id", "region").agg(F.max("size").alias("size"))
+    members = small.unionByName(unpack_members(found)).groupBy("id", "region").agg(F.max("size").alias("size"))
+    return merged(merged(members))
+
+
+def merged(members: DataFrame) -> DataFrame:
+    """The memberships with each region moved whole into the least one that its pivot, too, belongs to.
+
+    What met in a region still meets, and documents have fewer regions.
+    """
+    members = written(members.sparkSession, members, "jaccard-members")
+    to = members.groupBy(F.col("id").alias("region")).agg(F.min("region").alias("least"))
+    moved = members.join(to, "region", "left").withColumn("region", F.least("region", "least"))
+    return moved.groupBy("id", "region").agg(F.max("size").alias("size"))
 
 
 def homes(members: DataFrame, bits: int) -> DataFrame:
@@ -429,9 +446,9 @@ def similar_pairs(docs: DataFrame, n: int = N, t: float = THRESHOLD, key: str =
     with_homes = rows.join(sent, rows["id"] == sent["member"]).select("id", "text", "homes")
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for piece in chunks(batch):
-                g, offsets = sets(piece.column("text"), n)
                 homes_ = piece.column("homes")
                 at = np.asarray(homes_.offsets, np.int64)
                 count = np.diff(at)
@@ -439,20 +456,21 @@ def similar_pairs(docs: DataFrame, n: int = N, t: float = THRESHOLD, key: str =
                 inner = homes_.values.slice(at[0], at[-1] - at[0])
                 region, i, j, part = (inner.field(k).to_numpy() for k in range(4))
                 block = mix(region.astype(np.uint64) + mix(i.astype(np.uint64) * np.uint64(1 << 20) + j.astype(np.uint64)))
-                grams = pa.array([g[offsets[d] : offsets[d + 1]].tobytes() for d in range(len(count))], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array((block >> np.uint64(64 - bits)).astype(np.int32)), pa.array(block.astype(np.int64)), pa.array(i == j), pa.array(part), piece.column("id").take(pa.array(doc)), grams.take(pa.array(doc))], names=["slice", "block", "single", "part", "id", "grams"])
+                text_ = pa.array([pack.compress(x) for x in piece.column("text").cast(pa.binary()).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array((block >> np.uint64(64 - bits)).astype(np.int32)), pa.array(block.astype(np.int64)), pa.array(i == j), pa.array(part), piece.column("id").take(pa.array(doc)), text_.take(pa.array(doc))], names=["slice", "block", "single", "part", "id", "text"])
 
     def compare(part: pa.Table) -> pa.Table:
         block, ids = part.column("block").to_numpy(), part.column("id").to_numpy()
         single, cut = part.column("single").to_numpy(), part.column("part").to_numpy()
-        raw = part.column("grams").combine_chunks()
+        unpack = zstandard.ZstdDecompressor()
+        g, offsets = sets(pa.array([unpack.decompress(x).decode("utf-8", "replace") for x in part.column("text").to_pylist()], pa.large_string()), n)
         order = np.lexsort((ids, block))
         first, length = groups_of(block[order])
         out = []
         for start, n_docs in zip(first, length):
             if n_docs > 1:
                 at = order[start : start + n_docs]
-                grams = [np.frombuffer(raw[int(k)].as_buffer(), np.uint64) for k in at]
+                grams = [g[offsets[k] : offsets[k + 1]] for k in at]
                 full = [k for k, g in enumerate(grams) if len(g)]
                 if len(full) > 1:
                     at = at[full]
@@ -460,7 +478,7 @@ def similar_pairs(docs: DataFrame, n: int = N, t: float = THRESHOLD, key: str =
         a, b, v = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return pa.table({"doc_id_a": a, "doc_id_b": b, "jaccard": v})
 
-    shipped = with_homes.mapInArrow(ship, "slice int, block long, single boolean, part int, id long, grams binary")
+    shipped = with_homes.mapInArrow(ship, "slice int, block long, single boolean, part int, id long, text binary")
     pairs = shipped.groupBy("slice").applyInArrow(compare, "doc_id_a long, doc_id_b long, jaccard double")
     pairs = written(spark, pairs.groupBy("doc_id_a", "doc_id_b").agg(F.max("jaccard").alias("jaccard")), "jaccard-found")
     # Blocks may differ in which copy was the least there: only pairs of the least of all copies stay.

@@ -86,7 +86,10 @@ class Words:
 
     def __init__(self, column: pa.Array, kind: str = "word", hashes: bool = True):
         if kind != "raw":
-            column = pc.utf8_lower(column)
+            try:
+                column = pc.utf8_lower(column)
+            except pa.ArrowInvalid:  # bytes that aren't UTF-8
+                column = pc.utf8_lower(pa.array([None if x is None else x.decode("utf-8", "replace") for x in column.cast(pa.binary()).to_pylist()], pa.large_string()))
         self.buf, self.offsets = flat(column)
         n, buf = len(self.buf), self.buf
         first = np.zeros(n + 1, bool)
