@@ -1,22 +1,59 @@
-"""The corpus pipeline: documents in, token ids of what is worth keeping out."""
+"""The corpus pipeline: documents in, token ids of what is worth keeping out.
+
+Each stage takes (spark, docs, sf_dir), works on all rows that it is given and
+returns those that it keeps, with the columns of documents; the last returns
+the token ids of each text.  Stages are written as Parquet and read again, so
+a lost executor costs no more than the stage that runs.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkwell.llm import bpe
+from inkwell.llm import bpe, decontaminate, exact_dedup, jaccard, quality
+from inkwell.llm.kernel import written
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the quality classifier rejects."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One of each set of documents with the same text, the least doc_id."""
+    return exact_dedup.dedup(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One of each group of documents connected by similar pairs, the least doc_id."""
+    return jaccard.keep_one(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents in which a benchmark item stands."""
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, token_ids, n_tokens, round_trip) of each document."""
     return bpe.encode(docs)
 
 
-STAGES = [("byte-level BPE", tokenise)]
+STAGES = [
+    ("quality classifier", classify),
+    ("exact dedup", drop_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("benchmark decontamination", drop_leaks),
+    ("byte-level BPE", tokenise),
+]
+#: SQL can express neither the classifier nor BPE; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = written(spark, docs, f"stage-{k}")
     return docs
