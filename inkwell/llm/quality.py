@@ -1,17 +1,21 @@
 """Quality classifier by importance resampling.
 
-Two generative models over hashed n-grams (words, word pairs and the first
-bytes of words, BUCKETS buckets each): one of the target, the documents
-labelled good and not toxic, one of all raw text.  A passage of PASSAGE tokens
-has as weight the ratio of the two models' probabilities, and a document that
-of its worst passage, so a few bad words aren't drowned in a long text.  The
+Two generative models over hashed n-grams (words, word pairs and word stems,
+the first bytes of words): one of the target, the documents labelled good and
+not toxic, one of all raw text.  A passage of PASSAGE tokens has as weight the
+ratio of the two models' probabilities, and a document that of its worst
+passage, so a few bad words aren't drowned in a long text.  A second weight
+looks at the whole document: the ratios of its telling stems, those under
+TELLING, added up and divided by the root of its length, so a stem that good
+text has now and then counts when it keeps coming back.  Each is divided by the
+threshold that best parts the held-out half of the labelled sample, and the
+worse of the two is the document's log weight, with -1 as the border.  The
 documents with the k largest keys, log weight / temperature + Gumbel noise, are
-the sample.  k is the number of documents whose weight passes the threshold
-that best parts the held-out half of the labelled sample.
+the sample; k is the number of documents on the good side of the border.
 
 The raw model counts every token of every document.  At most `labelled` rows of
 labels, the least by hash, are used: half fit the target model, half set the
-threshold.  Models have a fixed size and are broadcast; the labelled sample is
+thresholds.  Models have a fixed size and are broadcast; the labelled sample is
 broadcast under that same bound.  The noise is a function of doc_id and seed,
 so a lost task that runs again draws the same.  No text is shuffled.
 
@@ -28,98 +32,107 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernel import Words, chunks, fresh, mix, written
+from .kernel import Words, chunks, mix, written
 
 BUCKETS = 1 << 20
+STEM_BUCKETS = 1 << 22
+SIZE = 2 * BUCKETS + STEM_BUCKETS
 SLICES = 64
+WIDTH = SIZE // SLICES
+STEMS = (4, 5, 6, 7, 8)
 PASSAGE = 8
+TELLING = -1.0
 LABELLED = 20_000
-TEMPERATURE = 0.05
+TEMPERATURE = 0.006
 SEED = 17
-#: Pseudo-counts of words, pairs and prefixes, in units of the target's counts.
-PRIOR = (1.0, 50.0, 1.0)
+#: Pseudo-counts of words, pairs and stems, in units of the target's counts; a passage's stems are those of 4 bytes.
+PRIOR = (1.0, 50.0, 3.0)
 TWICE = np.uint64(12345)
 
 
 def features(words: Words) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(bucket, token) of each n-gram, by kind of n-gram."""
+    """(bucket, token) of each n-gram: words, pairs, then stems by length."""
     size = np.uint64(BUCKETS)
     grams, at = words.grams(2)
     if len(at):
         grams = np.where(words.hash[at] == words.hash[at + 1], TWICE, grams)
-    padded = np.concatenate([words.buf, np.zeros(4, np.uint8)])
-    prefix = np.zeros(len(words.start), np.uint64)
-    for k in range(4):
-        prefix |= padded[words.start + k].astype(np.uint64) << np.uint64(8 * k)
-    prefix[words.end - words.start <= 4] = 0
     every = np.arange(len(words.start))
-    return [
-        ((words.hash % size).astype(np.int64), every),
-        ((mix(grams + np.uint64(99)) % size).astype(np.int64) + BUCKETS, at),
-        ((mix(prefix * np.uint64(77) + np.uint64(5)) % size).astype(np.int64) + 2 * BUCKETS, every),
-    ]
+    out = [((words.hash % size).astype(np.int64), every), ((mix(grams + np.uint64(99)) % size).astype(np.int64) + BUCKETS, at)]
+    padded = np.concatenate([words.buf, np.zeros(max(STEMS), np.uint8)])
+    length = words.end - words.start
+    prefix = np.zeros(len(every), np.uint64)
+    for k in range(max(STEMS)):
+        prefix |= padded[words.start + k].astype(np.uint64) << np.uint64(8 * k)
+        if k + 1 in STEMS:
+            long = np.flatnonzero(length > k + 1)
+            out.append(((mix(prefix[long] * np.uint64(77) + np.uint64(k)) % np.uint64(STEM_BUCKETS)).astype(np.int64) + 2 * BUCKETS, long))
+    return out
 
 
-def log_weights(column: pa.Array, ratio: np.ndarray) -> np.ndarray:
-    """The least log weight of a passage, for each text."""
+def log_weights(column: pa.Array, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least log weight of a passage, and the weight of the telling stems, for each text."""
     words = Words(column, "both")
-    value = np.zeros(len(words.start))
-    for bucket, at in features(words):
-        value[at] += ratio[bucket]
-    out = np.zeros(len(column))
+    value, stem = np.zeros(len(words.start)), np.zeros(len(words.start))
+    for k, (bucket, at) in enumerate(features(words)):
+        if k < 3:
+            value[at] += ratio[bucket]
+        if k >= 2:
+            stem[at] = np.minimum(stem[at], ratio[bucket])
+    worst, whole = np.zeros(len(column)), np.zeros(len(column))
     if len(value):
         starts = np.flatnonzero((np.arange(len(value)) - words.first[words.doc]) % PASSAGE == 0)
-        sums = np.add.reduceat(value, starts)
-        np.minimum.at(out, words.doc[starts], sums)
-    return out
+        np.minimum.at(worst, words.doc[starts], np.add.reduceat(value, starts))
+        whole = np.bincount(words.doc, np.where(stem < TELLING, stem, 0.0), minlength=len(column)) / np.sqrt(words.counts + 50)
+    # Rounded, so that a text weighs the same in whatever batch it is.
+    return np.round(worst, 6), np.round(whole, 6)
 
 
 def count_models(docs: DataFrame, sample: DataFrame, key: str, text: str) -> tuple[np.ndarray, np.ndarray]:
     """Counts of the buckets in all texts and in the target's."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(3 * BUCKETS, np.int64), np.zeros(3 * BUCKETS, np.int64)
+        raw, target = np.zeros(SIZE, np.uint32), np.zeros(SIZE, np.uint32)
         for batch in batches:
             for part in chunks(batch):
                 words = Words(part.column("text"), "both")
                 fit = part.column("fit").to_numpy(zero_copy_only=False).astype(bool)[words.doc]
                 for bucket, at in features(words):
-                    np.add.at(raw, bucket, 1)
-                    np.add.at(target, bucket[fit[at]], 1)
-        width = 3 * BUCKETS // SLICES
+                    np.add.at(raw, bucket, np.uint32(1))
+                    np.add.at(target, bucket[fit[at]], np.uint32(1))
+        pack = zstandard.ZstdCompressor(level=1)
         for k in range(SLICES):
-            r, t = raw[k * width : (k + 1) * width], target[k * width : (k + 1) * width]
+            r, t = raw[k * WIDTH : (k + 1) * WIDTH], target[k * WIDTH : (k + 1) * WIDTH]
             at = np.flatnonzero(r)
             if len(at):
-                arrays = (at.astype(np.uint32), r[at], t[at])
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([a.tobytes()], pa.binary()) for a in arrays)], names=["slice", "at", "raw", "target"])
+                run = pack.compress(b"".join(a.astype(np.uint32).tobytes() for a in (np.diff(at, prepend=0), r[at], t[at])))
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([run], pa.binary())], names=["slice", "run"])
 
     def add(rows: pa.Table) -> pa.Table:
-        width = 3 * BUCKETS // SLICES
-        total = np.zeros((2, width), np.int64)
-        for at, raw, target in zip(*(rows.column(c).to_pylist() for c in ("at", "raw", "target"))):
-            place = np.frombuffer(at, np.uint32)
-            total[0, place] += np.frombuffer(raw, np.int64)
-            total[1, place] += np.frombuffer(target, np.int64)
+        total, unpack = np.zeros((2, WIDTH), np.int64), zstandard.ZstdDecompressor()
+        for run in rows.column("run"):
+            gap, raw, target = np.frombuffer(unpack.decompress(run.as_py()), np.uint32).reshape(3, -1)
+            at = np.cumsum(gap, dtype=np.int64)
+            total[0, at] += raw
+            total[1, at] += target
         return pa.table({"slice": rows.column("slice").slice(0, 1).combine_chunks(), "raw": pa.array([total[0].astype(np.float32).tobytes()], pa.binary()), "target": pa.array([total[1].astype(np.float32).tobytes()], pa.binary())})
 
     rows = _flagged(docs, sample, key, text).select("text", (F.coalesce("good", F.lit(False)) & F.coalesce("fit", F.lit(False))).alias("fit"))
-    slices = rows.mapInArrow(count, "slice int, at binary, raw binary, target binary").groupBy("slice").applyInArrow(add, "slice int, raw binary, target binary").collect()
-    width = 3 * BUCKETS // SLICES
-    raw, target = np.zeros(3 * BUCKETS), np.zeros(3 * BUCKETS)
+    slices = rows.mapInArrow(count, "slice int, run binary").groupBy("slice").applyInArrow(add, "slice int, raw binary, target binary").collect()
+    raw, target = np.zeros(SIZE), np.zeros(SIZE)
     for row in slices:
-        at = slice(row["slice"] * width, (row["slice"] + 1) * width)
+        at = slice(row["slice"] * WIDTH, (row["slice"] + 1) * WIDTH)
         raw[at], target[at] = np.frombuffer(row["raw"], np.float32), np.frombuffer(row["target"], np.float32)
     return raw, target
 
 
 def log_ratio(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
     share = target[:BUCKETS].sum() / max(1.0, raw[:BUCKETS].sum())
-    prior = np.repeat(PRIOR, BUCKETS)
+    prior = np.repeat(PRIOR, [BUCKETS, BUCKETS, STEM_BUCKETS])
     return np.log((target + prior) / (raw * share + prior)).astype(np.float32)
 
 
@@ -177,41 +190,63 @@ def kth_largest(scores: DataFrame, column: str, k: int, bins: int = 4096, small:
             k -= r["n"]
 
 
-def scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", labelled: int = LABELLED, temperature: float = TEMPERATURE, seed: int = SEED) -> tuple[DataFrame, float]:
-    """(doc_id, log_weight, key) of all texts, written in the shared folder, and the threshold of log_weight."""
+def best_pair(good: np.ndarray, bad: np.ndarray) -> tuple[float, float]:
+    """Thresholds of the two weights, n x 2, that together leave few on the wrong side: each in turn, the other held."""
+    cuts = [-np.inf, -np.inf]
+    for k in (0, 1, 0, 1):
+        here = [x[x[:, 1 - k] >= cuts[1 - k]][:, k] for x in (good, bad)]
+        cuts[k] = min(best_threshold(*here), -1e-3)
+    return cuts[0], cuts[1]
+
+
+def scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", labelled: int = LABELLED, temperature: float = TEMPERATURE, seed: int = SEED) -> tuple[DataFrame, Column]:
+    """(doc_id, log_weight, key) of all texts, weighed in the shared folder, and the key as a column over docs."""
     spark = docs.sparkSession
     sample = written(spark, labelled_sample(labels, labelled), "labelled")
     model = spark.sparkContext.broadcast(log_ratio(*count_models(docs, sample, key, text)))
+    pair = T.StructType([T.StructField("worst", T.DoubleType()), T.StructField("whole", T.DoubleType())])
 
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in chunks(batch):
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(log_weights(part.column("text"), model.value))], names=["id", "log_weight"])
+    @F.arrow_udf(pair)
+    def weigh(texts: pa.Array) -> pa.Array:
+        found = [log_weights(part.column("text"), model.value) for part in chunks(pa.RecordBatch.from_arrays([texts], names=["text"]))]
+        worst, whole = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0), np.zeros(0))
+        return pa.StructArray.from_arrays([pa.array(worst), pa.array(whole)], names=["worst", "whole"])
+
+    rows = docs.where(docs[text].isNotNull())
+    told = written(spark, rows.select(docs[key].alias("doc_id"), weigh(docs[text]).alias("w")).select("doc_id", "w.worst", "w.whole"), "quality")
+    held = told.join(F.broadcast(sample.where("not fit")), told["doc_id"].cast("long") == sample["label_id"]).select("good", "worst", "whole").collect()
+    sides = [np.array([r[1:] for r in held if r[0] == side], float).reshape(-1, 2) for side in (True, False)]
+    worst, whole = best_pair(*sides)
+
+    def weight(w1: Column, w2: Column) -> Column:
+        return F.least(w1 / F.lit(-worst), w2 / F.lit(-whole))
+
+    def noisy(w: Column, id_: Column) -> Column:
+        return w / temperature + gumbel(id_.cast("long"), seed)
 
-    schema = T.StructType([T.StructField("id", docs.schema[key].dataType), T.StructField("log_weight", T.DoubleType())])
-    rows = docs.where(docs[text].isNotNull()).select(docs[key].alias("id"), docs[text].alias("text"))
-    told = rows.mapInArrow(weigh, schema).withColumn("key", F.col("log_weight") / temperature + gumbel(F.col("id").cast("long"), seed))
-    told = written(spark, told, "quality")
-    held = told.join(F.broadcast(sample.where("not fit")), told["id"].cast("long") == sample["label_id"]).select("good", "log_weight").collect()
-    threshold = best_threshold(np.array([r[1] for r in held if r[0]]), np.array([r[1] for r in held if not r[0]]))
-    return told.withColumnRenamed("id", "doc_id"), threshold
+    told = told.select("doc_id", weight(F.col("worst"), F.col("whole")).alias("log_weight"))
+    told = told.withColumn("key", noisy(F.col("log_weight"), F.col("doc_id")))
+    of_docs = weigh(docs[text])
+    return told, noisy(weight(of_docs["worst"], of_docs["whole"]), docs[key])
+
+
+def least_key(told: DataFrame) -> float:
+    """The k-th largest key, for as many documents as are on the good side."""
+    k = told.where("log_weight >= -1").count()
+    return kth_largest(told, "key", k) if k else np.inf
 
 
 def resample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", **more) -> DataFrame:
     """(doc_id, log_weight, key) of the documents that are kept."""
-    told, threshold = scores(docs, labels, key, text, **more)
-    k = told.where(F.col("log_weight") >= threshold).count()
-    if not k:
-        return told.limit(0)
-    return told.where(F.col("key") >= kth_largest(told, "key", k))
+    told, _ = scores(docs, labels, key, text, **more)
+    return told.where(F.col("key") >= least_key(told))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", **more) -> DataFrame:
-    """The rows of docs that are kept, with their columns; rows of one doc_id are judged by the worst."""
-    told, threshold = scores(docs, labels, key, text, **more)
-    k = told.where(F.col("log_weight") >= threshold).count()
-    least = kth_largest(told, "key", k) if k else np.inf
-    (name,) = fresh(docs, "gone_id")
-    gone = told.where(F.col("key") < least).select("doc_id").distinct().toDF(name)
-    docs = docs.where(docs[text].isNotNull())
-    return docs.join(gone, docs[key].eqNullSafe(gone[name]), "left_anti")
+    """The rows of docs that are kept, with their columns.
+
+    Texts are weighed once more where they lie, which costs less than to bring
+    each text and its weight together.
+    """
+    told, noisy = scores(docs, labels, key, text, **more)
+    return docs.where(docs[text].isNotNull()).where(noisy >= float(least_key(told)))
