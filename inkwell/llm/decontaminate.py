@@ -222,7 +222,4 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overl
 
 def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **more) -> DataFrame:
     """The rows of docs in which no test item is found."""
-    from .kernel import written
-
-    gone = written(docs.sparkSession, leaks(docs, items, key=key, text=text, **more).select("doc_id").where("doc_id is not null").distinct(), "leaks")
-    return without(docs, gone, key)
+    return without(docs, leaks(docs, items, key=key, text=text, **more).select("doc_id").where("doc_id is not null"), key)

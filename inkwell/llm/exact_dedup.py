@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import fresh, mix, slots, written
+from .kernel import fresh, mix, parted, slots, written
 
 SHARD_ROWS = 400_000
 LEVELS = 48
@@ -148,7 +148,8 @@ def dedup(docs: DataFrame, history: DataFrame | None = None, key: str = "doc_id"
     gone_id, gone_digest = fresh(docs, "gone_id", "gone_digest")
     gone = told.where("id <> winner").select("id", "digest").toDF(gone_id, gone_digest)
     digest = F.unhex(F.sha2(docs[text], 256))
-    kept = docs.join(gone, (docs[key].cast("long") == gone[gone_id]) & (digest == gone[gone_digest]), "left_anti")
+    stay, others = parted(docs, F.xxhash64(docs[key].cast("long")), gone.select(F.xxhash64(gone_id)))
+    kept = stay.union(others.join(gone, (docs[key].cast("long") == gone[gone_id]) & (digest == gone[gone_digest]), "left_anti"))
     again = told.where("id = winner and again > 1").select("id").distinct()
     if again.isEmpty():
         return kept
@@ -156,4 +157,4 @@ def dedup(docs: DataFrame, history: DataFrame | None = None, key: str = "doc_id"
     again = again.toDF(name)
     once = kept.join(again, kept[key].cast("long") == again[name], "left_anti")
     twice = kept.join(again, kept[key].cast("long") == again[name], "left_semi").dropDuplicates([key, text])
-    return once.unionByName(twice)
+    return once.union(twice)

@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import CHUNK_BYTES, Words, chunks, fresh, mix, ragged, slots, window_hash, written
+from .kernel import CHUNK_BYTES, Words, chunks, mix, parted, ragged, slots, window_hash, without, written
 
 N = 3
 THRESHOLD = 0.5
@@ -329,7 +329,7 @@ def merged(members: DataFrame) -> DataFrame:
     return moved.groupBy("id", "region").agg(F.max("size").alias("size"))
 
 
-def homes(members: DataFrame, bits: int) -> DataFrame:
+def homes(members: DataFrame) -> DataFrame:
     """(id, homes): the blocks that each document's set is sent to.
 
     A region of more than REGION_BYTES is cut into g parts by id; each pair of
@@ -442,8 +442,9 @@ def similar_pairs(docs: DataFrame, n: int = N, t: float = THRESHOLD, key: str =
     rows = docs.where(docs[key].isNotNull() & docs[text].isNotNull()).select(docs[key].cast("long").alias("id"), docs[text].alias("text"))
     found = written(spark, regions(rows, n, t, *frequent(rows.select("text"), n)), "jaccard-regions")
     members = written(spark, memberships(found, t), "jaccard-members")
-    sent = homes(members, bits).withColumnRenamed("id", "member")
-    with_homes = rows.join(sent, rows["id"] == sent["member"]).select("id", "text", "homes")
+    sent = written(spark, homes(members).withColumnRenamed("id", "member"), "jaccard-homes")
+    _, met = parted(rows, F.xxhash64("id"), sent.select(F.xxhash64("member")))
+    with_homes = met.join(sent, rows["id"] == sent["member"]).select("id", "text", "homes")
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
@@ -510,6 +511,5 @@ def components(pairs: DataFrame, a: str = "doc_id_a", b: str = "doc_id_b") -> Da
 def keep_one(docs: DataFrame, n: int = N, t: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs without those connected by similar pairs to a lesser doc_id."""
     labels = components(similar_pairs(docs, n, t, key, text))
-    (name,) = fresh(docs, "gone_id")
-    gone = labels.where("id <> label").select("id").toDF(name)
-    return docs.join(gone, docs[key].cast("long") == gone[name], "left_anti")
+    gone = labels.where("id <> label").select(F.col("id").cast(docs.schema[key].dataType))
+    return without(docs, gone, key)

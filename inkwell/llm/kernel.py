@@ -12,7 +12,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CHUNK_BYTES = 2 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -177,15 +179,65 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of docs whose key isn't among the first column of ids; null keys stay.
+BLOOM_BITS = 1 << 30
+BLOOM_BLOCK = 1 << 20
+BLOOM_PROBES = 6
+
+
+def _probes(h: np.ndarray) -> Iterator[np.ndarray]:
+    one = mix(h + np.uint64(1))
+    two = mix(one) | np.uint64(1)
+    for k in range(BLOOM_PROBES):
+        yield ((one + np.uint64(k) * two) >> np.uint64(44)).astype(np.int64)
+
 
-    The join is left to the planner: it broadcasts ids only while they are
-    under spark.sql.autoBroadcastJoinThreshold.
+def parted(docs: DataFrame, of_docs: Column, keys: DataFrame, bits_each: int = 12, most: int = BLOOM_BITS) -> tuple[DataFrame, DataFrame]:
+    """(rows of docs that keys surely doesn't hold, all others), by 64-bit hashes: of_docs, and the one column of keys.
+
+    So a join with keys moves only the rows that may be in it, and the long
+    texts of the others stay where they are.  keys should be a written table.
+    Their Bloom filter is built in blocks, one task each, and broadcast; its
+    size is checked: where it would take more than `most` bits, all rows count
+    as others, and the join after it is as right, only dearer.
     """
+    n = keys.count()
+    blocks = 1
+    while blocks * BLOOM_BLOCK < n * bits_each:
+        blocks *= 2
+    if blocks * BLOOM_BLOCK > most:
+        return docs.limit(0), docs
+
+    def build(rows: pa.Table) -> pa.Table:
+        bits = np.zeros(BLOOM_BLOCK, bool)
+        for place in _probes(rows.column("h").to_numpy().view(np.uint64)):
+            bits[place] = True
+        return pa.table({"block": rows.column("block").slice(0, 1).combine_chunks(), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    rows = keys.toDF("h").select("h", F.pmod("h", F.lit(blocks)).cast("int").alias("block"))
+    bits = np.zeros((blocks, BLOOM_BLOCK // 8), np.uint8)
+    for row in rows.groupBy("block").applyInArrow(build, "block int, bits binary").collect():
+        bits[row["block"]] = np.frombuffer(row["bits"], np.uint8)
+    held = docs.sparkSession.sparkContext.broadcast(bits)
+
+    @F.arrow_udf(T.BooleanType())
+    def may_hold(hashes: pa.Array) -> pa.Array:
+        h = hashes.to_numpy(zero_copy_only=False).view(np.uint64)
+        block = (h & np.uint64(len(held.value) - 1)).astype(np.int64)
+        out = np.ones(len(h), bool)
+        for place in _probes(h):
+            out &= (held.value[block, place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
+        return pa.array(out)
+
+    hit = may_hold(of_docs)
+    return docs.where(~hit), docs.where(hit)
+
+
+def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of docs whose key isn't among the first column of ids; null keys stay."""
     (name,) = fresh(docs, "gone_id")
-    gone = ids.toDF(name)
-    return docs.join(gone, docs[key] == gone[name], "left_anti")
+    gone = written(docs.sparkSession, ids.toDF(name).distinct(), "gone")
+    stay, others = parted(docs, F.xxhash64(docs[key]), gone.select(F.xxhash64(name)))
+    return stay.union(others.join(gone, docs[key] == gone[name], "left_anti"))
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .jaccard import bits_for, dump, groups_of, join64, joined, runs_by_slice, slice_batch, split64
-from .kernel import _BASE, _INVERSE, Words, chunks, mix, ragged, sliding_min, window_hash, written
+from .kernel import _BASE, _INVERSE, Words, chunks, mix, parted, ragged, sliding_min, window_hash, written
 
 K = 50
 Q = 8
@@ -276,6 +276,7 @@ def repeated_spans(docs: DataFrame, k: int = K, q: int = Q, key: str = "doc_id",
     rows = docs.where(docs[key].isNotNull() & docs[text].isNotNull()).select(docs[key].cast("long").alias("id"), docs[text].alias("text"))
     found = written(spark, route(rows, k, q), "suffix-segments")
     wanted = found.where("ship").groupBy(F.col("id").alias("member")).agg(F.collect_list(F.struct("hash", "start", "windows", "digest")).alias("wanted"))
+    wanted = written(spark, wanted, "suffix-wanted")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -301,7 +302,8 @@ def repeated_spans(docs: DataFrame, k: int = K, q: int = Q, key: str = "doc_id",
         ids, start, end = shard_spans(part, k)
         return pa.table({"id": ids, "start": start.astype(np.int32), "stop": end.astype(np.int32)})
 
-    shipped = rows.join(wanted, rows["id"] == wanted["member"]).select("id", "text", "wanted").mapInArrow(cut, "shard int, id long, start int, text binary")
+    _, met = parted(rows, F.xxhash64("id"), wanted.select(F.xxhash64("member")))
+    shipped = met.join(wanted, rows["id"] == wanted["member"]).select("id", "text", "wanted").mapInArrow(cut, "shard int, id long, start int, text binary")
     inside = shipped.groupBy("shard").applyInArrow(build, "id long, start int, stop int")
     whole = found.where("whole").select("id", "start", (F.col("start") + F.col("windows") + F.lit(k - 1)).alias("stop"))
     spans = whole.unionByName(inside)
