@@ -1,0 +1,187 @@
+"""Classifier, language model, decontamination, secrets and personal data."""
+
+import base64
+import collections
+import json
+import math
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from inkwell.llm import decontaminate, lm_score, pii, quality, queries, secrets
+
+WORDS = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+
+
+def tokens(text):
+    return WORDS.findall(text.lower().encode())
+
+
+def test_quality_on_held_out_labels(spark):
+    """Only labels of even ids are shown; the odd ones judge."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = quality.resample(docs, labels.where("doc_id % 2 = 0")).select("doc_id").withColumn("kept", F.lit(1))
+    rows = labels.where("doc_id % 2 = 1").join(kept, "doc_id", "left").groupBy("quality", "toxic").agg(F.avg(F.coalesce("kept", F.lit(0)))).collect()
+    share = {tuple(r)[:2]: r[2] for r in rows}
+    assert share[1, 0] > 0.98 and share[1, 1] < 0.1 and share[0, 0] < 0.05 and share[0, 1] < 0.05
+
+
+def test_stage_keeps_what_the_query_keeps(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    a = {r[0] for r in quality.resample(docs, labels).select("doc_id").collect()}
+    assert {r[0] for r in quality.keep_good(docs, labels).select("doc_id").collect()} == a
+
+
+def test_kth_largest(spark):
+    values = [float(x) for x in np.random.default_rng(1).integers(0, 50, 400)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for k in (1, 7, 200, 399):
+        assert quality.kth_largest(df, "v", k, bins=7, small=10) == sorted(values)[-k]
+
+
+def test_lm_against_counts(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    found = {r["doc_id"]: r for r in lm_score.score(docs, lm_score.train(docs)).collect()}
+    texts = dict(docs.select("doc_id", "text").collect())
+    one, two = collections.Counter(), collections.Counter()
+    for t in texts.values():
+        w = tokens(t)
+        one.update(w)
+        two.update(zip(w, w[1:]))
+    read = lambda n: 0.0 if n <= 0 else float(lm_score.middle(lm_score.level(np.array([n])))[0])
+    total, kinds, off = sum(one.values()), len(one), []
+    for i, t in texts.items():
+        w, p = tokens(t), 0.0
+        for k, x in enumerate(w):
+            single = (read(one[x]) + 0.5) / (total + 0.5 * (kinds + 1))
+            if k:
+                n = two[w[k - 1], x]
+                single = lm_score.WEIGHT * min((read(n) if n >= lm_score.MIN_COUNT else 0.0) / max(read(one[w[k - 1]]), 1), 1) + (1 - lm_score.WEIGHT) * single
+            p += math.log(single)
+        assert found[i]["n_words"] == len(w)
+        if w:
+            off.append(abs(found[i]["log_prob"] - p) / len(w))
+    # A count is read one level too high with probability 1/64.
+    assert np.mean(off) < 0.1 and max(off) < 0.5
+
+
+def brute_leaks(docs, items):
+    """Every passage against every item: the score, then the overlaps."""
+    items = [(i, t) for i, t in items if t and tokens(t)]
+    words = [tokens(t) for _, t in items]
+    mean, n = sum(map(len, words)) / len(words), len(words)
+    df = collections.Counter(x for w in words for x in set(w))
+    idf = {x: math.log(1 + (n - c + 0.5) / (c + 0.5)) for x, c in df.items()}
+    impact = []
+    for w in words:
+        tf = collections.Counter(w)
+        raw = {x: idf[x] * c * 2.2 / (c + 1.2 * (1 - 0.75 + 0.75 * len(w) / mean)) for x, c in tf.items()}
+        impact.append({x: v / sum(raw.values()) for x, v in raw.items()})
+    stride, out = max(map(len, words)), set()
+    for d, t in docs:
+        w = tokens(t or "")
+        for start in range(0, max(1, len(w)), stride):
+            passage = w[start : start + 2 * stride]
+            here = set(passage)
+            for (i, text), weights in zip(items, impact):
+                if sum(v for x, v in weights.items() if x in here) < decontaminate.THRESHOLD - 1e-9:
+                    continue
+                shares = []
+                for part in decontaminate.parts(text):
+                    p = tokens(part)
+                    k = min(decontaminate.GRAM, len(p))
+                    grams = {tuple(p[j : j + k]) for j in range(len(p) - k + 1)} if k else set()
+                    held = {tuple(passage[j : j + k]) for j in range(len(passage) - k + 1)} if k else set()
+                    shares.append(len(grams & held) / len(grams) if grams else 1.0)
+                if min(shares) >= decontaminate.OVERLAP:
+                    out.add((d, i))
+    return out
+
+
+@pytest.mark.parametrize("segment", [100_000, 17])
+def test_leaks_against_all_pairs(spark, sf, segment):
+    docs, items = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "benchmark"))
+    held = items.collect()
+    more = [(9000 + k, "Before it. " + " ".join(r["text"].split()[: 5 + 3 * k]) + " after. " + r["text"] * (k % 2)) for k, r in enumerate(held[:8])]
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, items, segment_items=segment).collect()}
+    expected = brute_leaks([tuple(r) for r in docs.collect()], [(r["item_id"], r["text"]) for r in held])
+    assert found == expected and any(d >= 9000 for d, _ in found)
+
+
+def b64(x):
+    return base64.urlsafe_b64encode(x).decode().rstrip("=")
+
+
+def der(tag, *parts):
+    body = b"".join(parts)
+    size = bytes([len(body)]) if len(body) < 128 else (b"\x81" + bytes([len(body)]) if len(body) < 256 else b"\x82" + len(body).to_bytes(2, "big"))
+    return bytes([tag]) + size + body
+
+
+def rsa_key():
+    rng = np.random.default_rng(5)
+    number = lambda n: der(2, b"\1" + rng.bytes(n - 1))
+    return der(0x30, der(2, b"\0"), number(128), der(2, b"\1\0\1"), number(128), *(number(64) for _ in range(5)))
+
+
+def token(alg="HS256", size=32):
+    return f"{b64(json.dumps({'alg': alg, 'typ': 'JWT'}).encode())}.{b64(json.dumps({'sub': '1'}).encode())}.{b64(np.random.default_rng(1).bytes(size))}"
+
+
+def github(good=True):
+    body = "0123456789abcdefghijABCDEFGHIJ"
+    crc, check = zlib.crc32(body.encode()) + (not good), ""
+    for _ in range(6):
+        crc, r = divmod(crc, 62)
+        check = secrets.BASE62[r] + check
+    return f"ghp_{body}{check}"
+
+
+def test_secrets():
+    pem = "-----BEGIN RSA PRIVATE KEY-----\n" + base64.encodebytes(rsa_key()).decode() + "-----END RSA PRIVATE KEY-----"
+    key = np.random.default_rng(2).bytes(32)
+    found = {
+        "rsa_private_key": f"see {pem} there",
+        "signed_token": f"Authorization: Bearer {token()}",
+        "checksummed_token": f"use {github()} now",
+        "assigned_key": f"api_key = '{key.hex()}'",
+    }
+    for kind, text in found.items():
+        (one,) = secrets.scan(text)
+        assert one[2] == kind
+    nested = base64.b64encode(f"the token is {token()} indeed".encode()).decode()
+    assert [(f[2], f[4]) for f in secrets.scan(f"x {nested} y")] == [("signed_token", 1)]
+    broken = pem.replace("MII", "MIJ", 1)
+    for text in (broken, token(size=3), github(False), f"commit {key.hex()}", "the quick brown fox", "key = aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", ""):
+        assert not secrets.scan(text), text
+
+
+def test_secrets_of_documents(spark, sf):
+    """Only rows without anything like a secret are left out before Python."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = sorted(tuple(r)[:3] for r in secrets.secrets(docs).collect())
+    assert found == sorted((i, *f[:2]) for i, t in docs.select("doc_id", "text").collect() for f in secrets.scan(t or ""))
+
+
+def test_pii_discovers_by_context(spark):
+    rows = [(i, f"call me at +1 (415) 555-{1000 + i} today") for i in range(12)]
+    rows += [(100 + i, f"call me at 020 {700 + i} 4400{i} today") for i in range(3)]
+    rows += [(200 + i, f"card 4111 1111 1111 1111 and mail a{i}@b.example.com, in 20{10 + i} there were 3,4{10 + i} of v1.2.{i}") for i in range(5)]
+    found = pii.find_pii(spark.createDataFrame([*rows, (300, None), (301, "")], "doc_id long, text string")).collect()
+    kinds = collections.defaultdict(set)
+    for r in found:
+        kinds[r["doc_id"]].add(r["kind"])
+        assert dict(rows)[r["doc_id"]][r["start"] : r["end"]].strip()
+    assert all("phone" in kinds[i] for i in range(12)) and all({"card", "email"} <= kinds[200 + i] for i in range(5))
+    assert not any(r["shape"].startswith(("9.9.", "9,9")) for r in found)
+
+
+def test_queries_run(spark, sf):
+    assert set(queries.QUERIES) == {"op1_bpe", "op2_exact_dedup", "op3_secrets", "op4_suffix_array", "op5_decontaminate", "op6_jaccard_join", "op7_line_dedup", "op8_quality", "op9_lm_score", "op10_pii"}
+    assert queries.op10_pii(spark, sf).columns == ["doc_id", "start", "end", "kind", "confidence", "discovered", "shape", "fingerprint"]
