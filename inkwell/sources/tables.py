@@ -28,24 +28,6 @@ def from_json_strings(rows: DataFrame, column: str, fields: list[str], key) -> D
     return rows.select(key.alias("document_id"), *(json_field_text(rows[column], f).alias(f) for f in fields))
 
 
-DEMO_FIELDS = ["name", "location", "bio"]
-
-
-def demo_corpus(spark: SparkSession) -> DataFrame:
-    """Two people, of whom neither has a location."""
-    bio = [
-        "Jane is from the San Francisco Bay Area and serves as CEO of Foo Inc.",
-        "She is on the board of Fortune 100 companies such as Facebook and Yahoo.",
-        "One of her passions is helping teams build skilled datacenter teams.",
-        "She graduated with a BS in Computer Science from Stanford University in 1998.",
-        "She found that she relished in the challenges of wrestling with difficult hardware problems.",
-        "Finally, she earned her PhD in Electrical Engineering in 2005.",
-        "One of her favorite pastimes is skiing at Lake Tahoe, where she spends almost each weekend.",
-    ]
-    other = ["The first memory Samuel has is of playing basketball with his mother in Manhattan"]
-    return spark.createDataFrame([(1, "Jane Smith", None, bio), (2, "Samuel Wu", None, other)], "document_id long, name string, location string, bio array<string>")
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, set here only where it is unset, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -1,5 +1,6 @@
 import itertools
 import json
+import pathlib
 import random
 
 import pytest
@@ -10,12 +11,14 @@ from inkwell.operators import matching
 from inkwell.operators.correction import corrections
 from inkwell.operators.snippets import with_snippets
 from inkwell.plans import search as S
-from inkwell.sources.tables import DEMO_FIELDS, demo_corpus, from_json_strings
+from inkwell.sources.tables import from_json_strings, json_documents
+
+PEOPLE = f"file://{pathlib.Path(__file__).parent}/people.jsonl"
 
 
 @pytest.fixture(scope="module")
 def long_index(spark):
-    return I.build(demo_corpus(spark), ["name", "bio"])
+    return I.build(json_documents(spark, PEOPLE, ["name", "bio"]), ["name", "bio"])
 
 
 @pytest.fixture(scope="module")
@@ -107,7 +110,8 @@ def test_json_and_messages(spark, long_index):
 
 
 def test_demo_corpus_without_locations(spark):
-    index = I.build(demo_corpus(spark), DEMO_FIELDS)
+    fields = ["name", "location", "bio"]
+    index = I.build(json_documents(spark, PEOPLE, fields), fields)
     assert index.field_text.where("field_index = 1 and text = ''").count() == 2
     assert ask(spark, index, "Manhattan")["hits"][0]["fields"] == {2: "bio"}
 
