@@ -41,6 +41,7 @@ SMOOTHING = 1.0
 LIKELY = r"[0-9]|@"
 CANDIDATE = re.compile(
     r"[\w.+%-]+@[\w-]+(?:\.[\w-]+)+"
+    r"|(?<![\w@.,:/-])(?:\d{4}(?: \d{4}){3}|\+\d{1,3}(?: \d{2,5}){2,5}|0\d{1,4}(?: \d{3,8}){1,3})(?![\w@])"
     r"|(?<![\w@])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,5}\)[ .-]?)?\d(?:[\d./:,-]*\d)?(?![\w@])"
     r"|(?<![\w@])(?=[\w-]*\d)[A-Za-z]{1,3}[\d-]{5,}(?![\w@])"
 )

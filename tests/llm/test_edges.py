@@ -15,7 +15,7 @@ TEXT = "one passage of clean words that stands twice in this small table"
 def odd(spark):
     texts = [(1, TEXT), (2, TEXT), (2, TEXT), (3, None), (None, TEXT), (None, None), (4, ""), (5, ""), (6, LONG), (7, LONG + " more"), (8, "a"), (9, "é\n\né\n…"), (10, "x" * 100_000), (11, " \n\t ")]
     extra = (None, 7, None, "h", 5, 0.5, None, True, None, "m", None)
-    return spark.createDataFrame([(i, t, "en", None, *extra[1:]) for i, t in texts], SCHEMA.replace("source string, n_chars long", "source string, n_chars long")).cache()
+    return spark.createDataFrame([(i, t, "en", None, *extra) for i, t in texts], SCHEMA).cache()
 
 
 @pytest.fixture(scope="module")
