@@ -6,13 +6,15 @@ alone would replicate every document everywhere.  The first regions are
 therefore those of the smallest pivots, single n-grams.  A document contains
 its nearest pivots; a match within the radius can lack at most so many of them
 that both must share one of their first |x| - ceil(t|x|) + 1 in a global order,
-rare n-grams first, and, for their two sizes, a known number of those.  So:
+rare n-grams first, and, for their two sizes, a known number of those; the
+first n-gram they share must stand early enough in both that as many can follow
+as their sizes demand.  So:
 
 1. n-grams that recur are counted over all documents; the frequent ones go last
    in the order.  The order decides cost, never the result.
 2. Each document goes to the regions of its first n-grams, as sorted binary
    runs.  In a region of up to SMALL documents all pairs are named, and pairs
-   named often enough for their sizes are candidates.  In a larger region its
+   named often and early enough for their sizes are candidates.  In a larger region its
    least document becomes the pivot of a second-level region, which all join.
 3. Candidates are put together in regions around their least neighbour.
 4. Second-level regions get the whole texts, packed.  Those over LEAF documents are
@@ -82,10 +84,18 @@ def prefix_length(size: np.ndarray, t: float) -> np.ndarray:
     return size - np.ceil(t * size - 1e-9).astype(np.int64) + 1
 
 
+def least_overlap(a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
+    return np.ceil(t / (1 + t) * (a + b) - 1e-9).astype(np.int64)
+
+
 def least_shared(a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
     """How many first n-grams two sets of these sizes share at least, if they match."""
-    overlap = np.ceil(t / (1 + t) * (a + b) - 1e-9).astype(np.int64)
-    return np.minimum(prefix_length(a, t) - a, prefix_length(b, t) - b) + overlap
+    return np.minimum(prefix_length(a, t) - a, prefix_length(b, t) - b) + least_overlap(a, b, t)
+
+
+def place_step(size: np.ndarray) -> np.ndarray:
+    """Places are kept in 16 bits: in steps of this many, rounded down."""
+    return -(-size // 65535)
 
 
 # -- binary runs: arrays one after another, with their length and widths in front
@@ -185,8 +195,8 @@ def frequent(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     return h[by], (np.log2(np.maximum(c[by], 1)).astype(np.int64) + 1)
 
 
-def first_grams(column: pa.Array, n: int, t: float, common: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(48-bit n-gram, row) of the first n-grams of each text, and all sizes."""
+def first_grams(column: pa.Array, n: int, t: float, common: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(48-bit n-gram, row, place in the order) of the first n-grams of each text, and all sizes."""
     g, offsets = sets(column, n)
     g >>= np.uint64(16)
     size = np.diff(offsets)
@@ -199,7 +209,7 @@ def first_grams(column: pa.Array, n: int, t: float, common: np.ndarray, rank: np
     by = np.argsort(doc * 64 + kind, kind="stable")
     place = np.arange(len(g)) - offsets[doc]
     keep = place < prefix_length(size, t)[doc]
-    return g[by[keep]], doc[keep], size
+    return g[by[keep]], doc[keep], place[keep], size
 
 
 # -- 2: regions of single n-grams
@@ -229,26 +239,27 @@ def regions(rows: DataFrame, n: int, t: float, common: np.ndarray, rank: np.ndar
         held: list[tuple[np.ndarray, ...]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            h, ids, sizes = (np.concatenate(x) for x in zip(*held))
+            h, ids, sizes, places = (np.concatenate(x) for x in zip(*held))
             held.clear()
             by = np.argsort(h)
-            h, ids, sizes = h[by], ids[by], sizes[by]
+            h, ids, sizes, places = h[by], ids[by], sizes[by], places[by]
             low = h << np.uint64(bits) & LOW48
-            yield slice_batch([*runs_by_slice((h >> np.uint64(48 - bits)).astype(np.int64), 1 << bits, (low >> np.uint64(32)).astype(np.uint16), low.astype(np.uint32), *split64(ids), sizes.astype(np.uint32))])
+            yield slice_batch([*runs_by_slice((h >> np.uint64(48 - bits)).astype(np.int64), 1 << bits, (low >> np.uint64(32)).astype(np.uint16), low.astype(np.uint32), *split64(ids), sizes.astype(np.uint32), (places // place_step(sizes)).astype(np.uint16))])
 
         for batch in batches:
             for part in chunks(batch):
-                g, doc, size = first_grams(part.column("text"), n, t, *order_of.value)
+                g, doc, place, size = first_grams(part.column("text"), n, t, *order_of.value)
                 if len(g):
-                    held.append((g, part.column("id").to_numpy()[doc], size[doc]))
+                    held.append((g, part.column("id").to_numpy()[doc], size[doc], place))
                 if sum(len(x[0]) for x in held) > RUN:
                     yield from flush()
         if held:
             yield from flush()
 
     def meet(part: pa.Table) -> pa.Table:
-        high, low, id_high, id_low, size = joined(part)
+        high, low, id_high, id_low, size, place = joined(part)
         h, ids, size = join64(high, low), join64(id_high, id_low).astype(np.int64), size.astype(np.int64)
+        place = place.astype(np.int64) * place_step(size)
         order = np.lexsort((ids, h))
         first, length = groups_of(h[order])
         out: list[tuple[int, int, bytes]] = []
@@ -260,10 +271,13 @@ def regions(rows: DataFrame, n: int, t: float, common: np.ndarray, rank: np.ndar
             top = (mix(ids[a].astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
             by = np.lexsort((ids[b], ids[a], top))
             a, b, top = a[by], b[by], top[by]
+            least = least_overlap(size[a], size[b], t)
+            early = (place[a] <= size[a] - least) & (place[b] <= size[b] - least)
             new = np.concatenate([[True], (ids[a][1:] != ids[a][:-1]) | (ids[b][1:] != ids[b][:-1]) | (size[a][1:] != size[a][:-1]) | (size[b][1:] != size[b][:-1])])
-            count = np.diff(np.concatenate([np.flatnonzero(new), [len(a)]]))
+            first_named = np.flatnonzero(new)
+            count, early = np.diff(np.append(first_named, len(a))), np.logical_or.reduceat(early, first_named)
             a, b, top = a[new], b[new], top[new]
-            out += [(0, k, r) for k, r in runs_by_slice(top, 1 << bits, *split64(ids[a]), *split64(ids[b]), size[a].astype(np.uint32), size[b].astype(np.uint32), count.astype(np.uint32))]
+            out += [(0, k, r) for k, r in runs_by_slice(top, 1 << bits, *split64(ids[a]), *split64(ids[b]), size[a].astype(np.uint32), size[b].astype(np.uint32), count.astype(np.uint32), early)]
         large = np.flatnonzero(length > SMALL)
         if len(large):
             at = order[ragged(first[large], length[large])]
@@ -276,18 +290,18 @@ def regions(rows: DataFrame, n: int, t: float, common: np.ndarray, rank: np.ndar
 
 
 def candidates(found: DataFrame, t: float) -> DataFrame:
-    """(a, b, a_size, b_size) of the pairs that share as many first n-grams as their sizes demand."""
+    """(a, b, a_size, b_size) of the pairs that share as many first n-grams, and one as early, as their sizes demand."""
 
     def count(part: pa.Table) -> pa.Table:
-        ah, al, bh, bl, sa, sb, c = joined(part)
+        ah, al, bh, bl, sa, sb, c, early = joined(part)
         a, b = join64(ah, al).astype(np.int64), join64(bh, bl).astype(np.int64)
         sa, sb = sa.astype(np.int64), sb.astype(np.int64)
         by = np.lexsort((sb, sa, b, a))
-        a, b, sa, sb, c = a[by], b[by], sa[by], sb[by], c[by].astype(np.int64)
+        a, b, sa, sb, c, early = a[by], b[by], sa[by], sb[by], c[by].astype(np.int64), early[by]
         first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (sa[1:] != sa[:-1]) | (sb[1:] != sb[:-1])]))
-        c = np.add.reduceat(c, first)
+        c, early = np.add.reduceat(c, first), np.logical_or.reduceat(early, first)
         a, b, sa, sb = a[first], b[first], sa[first], sb[first]
-        keep = c >= least_shared(sa, sb, t)
+        keep = early & (c >= least_shared(sa, sb, t))
         return pa.table({"a": a[keep], "b": b[keep], "a_size": sa[keep], "b_size": sb[keep]})
 
     return found.where("kind = 0").select("slice", "run").groupBy("slice").applyInArrow(count, "a long, b long, a_size long, b_size long")
