@@ -244,14 +244,14 @@ def regions(rows: DataFrame, n: int, t: float, common: np.ndarray, rank: np.ndar
             by = np.argsort(h)
             h, ids, sizes, places = h[by], ids[by], sizes[by], places[by]
             low = h << np.uint64(bits) & LOW48
-            yield slice_batch([*runs_by_slice((h >> np.uint64(48 - bits)).astype(np.int64), 1 << bits, (low >> np.uint64(32)).astype(np.uint16), low.astype(np.uint32), *split64(ids), sizes.astype(np.uint32), (places // place_step(sizes)).astype(np.uint16))])
+            yield slice_batch([*runs_by_slice((h >> np.uint64(48 - bits)).astype(np.int64), 1 << bits, (low >> np.uint64(32)).astype(np.uint16), low.astype(np.uint32), *split64(ids), sizes, places)])
 
         for batch in batches:
             for part in chunks(batch):
                 g, doc, place, size = first_grams(part.column("text"), n, t, *order_of.value)
                 if len(g):
-                    held.append((g, part.column("id").to_numpy()[doc], size[doc], place))
-                if sum(len(x[0]) for x in held) > RUN:
+                    held.append((g, part.column("id").to_numpy()[doc], size[doc].astype(np.uint32), (place // place_step(size[doc])).astype(np.uint16)))
+                if sum(len(x[0]) for x in held) > RUN // 2:
                     yield from flush()
         if held:
             yield from flush()
