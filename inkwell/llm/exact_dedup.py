@@ -147,9 +147,9 @@ def dedup(docs: DataFrame, history: DataFrame | None = None, key: str = "doc_id"
     told = written(spark, rows.join(odd, "digest").distinct(), "exact-dedup")
     gone_id, gone_digest = fresh(docs, "gone_id", "gone_digest")
     gone = told.where("id <> winner").select("id", "digest").toDF(gone_id, gone_digest)
-    digest = F.unhex(F.sha2(docs[text], 256))
     stay, others = parted(docs, F.xxhash64(docs[key].cast("long")), gone.select(F.xxhash64(gone_id)))
-    kept = stay.union(others.join(gone, (docs[key].cast("long") == gone[gone_id]) & (digest == gone[gone_digest]), "left_anti"))
+    digest = F.unhex(F.sha2(others[text], 256))
+    kept = stay.union(others.join(gone, (others[key].cast("long") == gone[gone_id]) & (digest == gone[gone_digest]), "left_anti"))
     again = told.where("id = winner and again > 1").select("id").distinct()
     if again.isEmpty():
         return kept

@@ -458,7 +458,7 @@ def similar_pairs(docs: DataFrame, n: int = N, t: float = THRESHOLD, key: str =
     members = written(spark, memberships(found, t), "jaccard-members")
     sent = written(spark, homes(members).withColumnRenamed("id", "member"), "jaccard-homes")
     _, met = parted(rows, F.xxhash64("id"), sent.select(F.xxhash64("member")))
-    with_homes = met.join(sent, rows["id"] == sent["member"]).select("id", "text", "homes")
+    with_homes = met.join(sent, met["id"] == sent["member"]).select("id", "text", "homes")
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)

@@ -7,14 +7,13 @@ into chunks of bounded bytes at document boundaries; a document is never cut.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 CHUNK_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -219,17 +218,31 @@ def parted(docs: DataFrame, of_docs: Column, keys: DataFrame, bits_each: int = 1
         bits[row["block"]] = np.frombuffer(row["bits"], np.uint8)
     held = docs.sparkSession.sparkContext.broadcast(bits)
 
-    @F.arrow_udf(T.BooleanType())
-    def may_hold(hashes: pa.Array) -> pa.Array:
+    def may_hold(hashes: pa.Array) -> np.ndarray:
         h = hashes.to_numpy(zero_copy_only=False).view(np.uint64)
         block = (h & np.uint64(len(held.value) - 1)).astype(np.int64)
         out = np.ones(len(h), bool)
         for place in _probes(h):
             out &= (held.value[block, place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
-        return pa.array(out)
+        return out
 
-    hit = may_hold(of_docs)
-    return docs.where(~hit), docs.where(hit)
+    return filtered(docs, of_docs, lambda batch, h: ~may_hold(h)), filtered(docs, of_docs, lambda batch, h: may_hold(h))
+
+
+def filtered(docs: DataFrame, extra: Column, test: Callable[[pa.RecordBatch, pa.Array], np.ndarray]) -> DataFrame:
+    """The rows of docs that test holds of, given a batch and the values of one more column.
+
+    Rows pass through the worker in batches, so no row waits in the JVM for its answer.
+    """
+    (name,) = fresh(docs, "extra")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.num_columns - 1
+            rows = pa.RecordBatch.from_arrays(batch.columns[:at], names=batch.schema.names[:at])
+            yield rows.filter(pa.array(test(rows, batch.column(at))))
+
+    return docs.withColumn(name, extra).mapInArrow(run, docs.schema)
 
 
 def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -237,7 +250,7 @@ def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     (name,) = fresh(docs, "gone_id")
     gone = written(docs.sparkSession, ids.toDF(name).distinct(), "gone")
     stay, others = parted(docs, F.xxhash64(docs[key]), gone.select(F.xxhash64(name)))
-    return stay.union(others.join(gone, docs[key] == gone[name], "left_anti"))
+    return stay.union(others.join(gone, others[key] == gone[name], "left_anti"))
 
 
 def shared_folder(spark: SparkSession) -> str:

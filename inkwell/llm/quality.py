@@ -28,7 +28,7 @@ classes nothing is rejected but null texts.  Whole texts are read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernel import Words, chunks, mix, written
+from .kernel import Words, chunks, filtered, mix, written
 
 BUCKETS = 1 << 20
 STEM_BUCKETS = 1 << 22
@@ -199,35 +199,39 @@ def best_pair(good: np.ndarray, bad: np.ndarray) -> tuple[float, float]:
     return cuts[0], cuts[1]
 
 
-def scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", labelled: int = LABELLED, temperature: float = TEMPERATURE, seed: int = SEED) -> tuple[DataFrame, Column]:
-    """(doc_id, log_weight, key) of all texts, weighed in the shared folder, and the key as a column over docs."""
+def scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", labelled: int = LABELLED, temperature: float = TEMPERATURE, seed: int = SEED) -> tuple[DataFrame, Callable[[float], DataFrame]]:
+    """(doc_id, log_weight, key) of all texts, in the shared folder, and the rows of docs from a key on."""
     spark = docs.sparkSession
     sample = written(spark, labelled_sample(labels, labelled), "labelled")
     model = spark.sparkContext.broadcast(log_ratio(*count_models(docs, sample, key, text)))
-    pair = T.StructType([T.StructField("worst", T.DoubleType()), T.StructField("whole", T.DoubleType())])
 
-    @F.arrow_udf(pair)
-    def weigh(texts: pa.Array) -> pa.Array:
+    def weigh(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         found = [log_weights(part.column("text"), model.value) for part in chunks(pa.RecordBatch.from_arrays([texts], names=["text"]))]
         worst, whole = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0), np.zeros(0))
-        return pa.StructArray.from_arrays([pa.array(worst), pa.array(whole)], names=["worst", "whole"])
+        return worst, whole
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *map(pa.array, weigh(batch.column("text")))], names=["doc_id", "worst", "whole"])
+
+    schema = T.StructType([T.StructField("doc_id", docs.schema[key].dataType), T.StructField("worst", T.DoubleType()), T.StructField("whole", T.DoubleType())])
     rows = docs.where(docs[text].isNotNull())
-    told = written(spark, rows.select(docs[key].alias("doc_id"), weigh(docs[text]).alias("w")).select("doc_id", "w.worst", "w.whole"), "quality")
+    told = written(spark, rows.select(docs[key].alias("id"), docs[text].alias("text")).mapInArrow(run, schema), "quality")
     held = told.join(F.broadcast(sample.where("not fit")), told["doc_id"].cast("long") == sample["label_id"]).select("good", "worst", "whole").collect()
     sides = [np.array([r[1:] for r in held if r[0] == side], float).reshape(-1, 2) for side in (True, False)]
     worst, whole = best_pair(*sides)
 
-    def weight(w1: Column, w2: Column) -> Column:
-        return F.least(w1 / F.lit(-worst), w2 / F.lit(-whole))
+    def keys(w1, w2, noise, least=F.least):
+        return least(w1 / -worst, w2 / -whole) / temperature + noise
+
+    told = told.withColumn("key", keys(F.col("worst"), F.col("whole"), gumbel(F.col("doc_id").cast("long"), seed)))
+    told = told.select("doc_id", F.least(F.col("worst") / -worst, F.col("whole") / -whole).alias("log_weight"), "key")
 
-    def noisy(w: Column, id_: Column) -> Column:
-        return w / temperature + gumbel(id_.cast("long"), seed)
+    def at_least(least: float) -> DataFrame:
+        column = docs.columns.index(docs.select(docs[text]).columns[0])
+        return filtered(rows, gumbel(docs[key].cast("long"), seed), lambda batch, noise: keys(*weigh(batch.column(column)), noise.to_numpy(), np.minimum) >= least)
 
-    told = told.select("doc_id", weight(F.col("worst"), F.col("whole")).alias("log_weight"))
-    told = told.withColumn("key", noisy(F.col("log_weight"), F.col("doc_id")))
-    of_docs = weigh(docs[text])
-    return told, noisy(weight(of_docs["worst"], of_docs["whole"]), docs[key])
+    return told, at_least
 
 
 def least_key(told: DataFrame) -> float:
@@ -248,5 +252,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     Texts are weighed once more where they lie, which costs less than to bring
     each text and its weight together.
     """
-    told, noisy = scores(docs, labels, key, text, **more)
-    return docs.where(docs[text].isNotNull()).where(noisy >= float(least_key(told)))
+    told, at_least = scores(docs, labels, key, text, **more)
+    return at_least(float(least_key(told)))

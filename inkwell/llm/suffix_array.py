@@ -303,7 +303,7 @@ def repeated_spans(docs: DataFrame, k: int = K, q: int = Q, key: str = "doc_id",
         return pa.table({"id": ids, "start": start.astype(np.int32), "stop": end.astype(np.int32)})
 
     _, met = parted(rows, F.xxhash64("id"), wanted.select(F.xxhash64("member")))
-    shipped = met.join(wanted, rows["id"] == wanted["member"]).select("id", "text", "wanted").mapInArrow(cut, "shard int, id long, start int, text binary")
+    shipped = met.join(wanted, met["id"] == wanted["member"]).select("id", "text", "wanted").mapInArrow(cut, "shard int, id long, start int, text binary")
     inside = shipped.groupBy("shard").applyInArrow(build, "id long, start int, stop int")
     whole = found.where("whole").select("id", "start", (F.col("start") + F.col("windows") + F.lit(k - 1)).alias("stop"))
     spans = whole.unionByName(inside)
