@@ -10,7 +10,7 @@ read back.
 Tasks send their distinct hashes and counts as sorted binary runs, cut by the
 leading bits of the hash; each slice is merged by one task, which also builds
 its part of the filter.  Nothing but the filter reaches the driver.  It grows
-with the number of distinct n-grams seen min_count times, and its size is
+with the number of distinct n-grams, those seen once included, and its size is
 checked: it is broadcast in segments of at most segment_bytes, which the
 workers probe one after another, so a worker holds one segment at a time.
 
@@ -34,7 +34,7 @@ from .kernel import Words, chunks, mix, slots
 PROBES = 6
 BITS = PROBES / np.log(2)
 BASE = 2.0
-MIN_COUNT = 2
+MIN_COUNT = 1
 WEIGHT = 0.7
 RUN = 2_000_000
 SEGMENT_BYTES = 256 << 20

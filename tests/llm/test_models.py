@@ -70,6 +70,17 @@ def test_lm_against_counts(spark, sf):
     assert np.mean(off) < 0.1 and max(off) < 0.5
 
 
+def test_lm_counts_pairs_seen_once(spark):
+    """Every pair here stands once in the corpus, as does each word: it follows its word for certain."""
+    n = 300
+    docs = spark.createDataFrame([(i, f"left{i} right{i}") for i in range(n)], "doc_id long, text string")
+    found = [r["log_prob"] for r in lm_score.score(docs, lm_score.train(docs)).collect()]
+    single = 1.5 / (2 * n + 0.5 * (2 * n + 1))
+    expected = math.log(single) + math.log(lm_score.WEIGHT + (1 - lm_score.WEIGHT) * single)
+    # The rest has a count that is read one level too high.
+    assert len(found) == n and np.mean(np.abs(np.array(found) - expected) < 1e-9) > 0.9
+
+
 def brute_leaks(docs, items):
     """Every passage against every item: the score, then the overlaps."""
     items = [(i, t) for i, t in items if t and tokens(t)]
