@@ -12,7 +12,8 @@ Q-grams.  Equal windows meet whatever document they stand in, and neighbouring
 windows mostly share that hash, so a document is cut to few segments.  Hashes
 that only one document has drop out before any text moves.  Segments that equal
 others are counted by digest, and one of them alone is sent on as reference,
-so thousands of copies cost one.  Every window that repeats across documents
+so thousands of copies cost one; it counts as a document of its own, as whatever
+equals it stands in several.  Every window that repeats across documents
 is found, exactly; runs of them are returned as spans.
 
 Words are what lies between ASCII white space, byte for byte.  Defined results:
@@ -258,6 +259,8 @@ def shard_spans(part: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     s[begin[1:] - 1] = m + 1 + np.arange(n)
     ids = part.column("id").to_numpy()
     model = np.unique(ids, return_inverse=True)[1]
+    # Several documents hold a reference, so it is none of them: a second place in its first holder meets another document.
+    model[part.column("whole").to_numpy(zero_copy_only=False)] = n
     doc = np.append(np.repeat(model, length + 1), -1)
     at = repeated_starts(s, doc, k)
     if not len(at):
@@ -275,7 +278,7 @@ def repeated_spans(docs: DataFrame, k: int = K, q: int = Q, key: str = "doc_id",
     bits = bits_for(spark)
     rows = docs.where(docs[key].isNotNull() & docs[text].isNotNull()).select(docs[key].cast("long").alias("id"), docs[text].alias("text"))
     found = written(spark, route(rows, k, q), "suffix-segments")
-    wanted = found.where("ship").groupBy(F.col("id").alias("member")).agg(F.collect_list(F.struct("hash", "start", "windows", "digest")).alias("wanted"))
+    wanted = found.where("ship").groupBy(F.col("id").alias("member")).agg(F.collect_list(F.struct("hash", "start", "windows", "digest", "whole")).alias("wanted"))
     wanted = written(spark, wanted, "suffix-wanted")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,25 +288,25 @@ def repeated_spans(docs: DataFrame, k: int = K, q: int = Q, key: str = "doc_id",
                 lists = part.column("wanted")
                 at = np.asarray(lists.offsets, np.int64)
                 inner = lists.values.slice(at[0], at[-1] - at[0])
-                v, start, windows, digest = (inner.field(x).to_numpy() for x in range(4))
+                v, start, windows, digest, whole = (inner.field(x).to_numpy(zero_copy_only=False) for x in range(5))
                 doc = np.repeat(np.arange(len(lists)), np.diff(at))
                 length = windows.astype(np.int64) + k - 1
                 begin = words.first[doc] + start
                 good = begin + length <= words.first[doc + 1]
-                v, start, digest, doc, length, begin = (x[good] for x in (v, start, digest, doc, length, begin))
+                v, start, digest, whole, doc, length, begin = (x[good] for x in (v, start, digest, whole, doc, length, begin))
                 good = digests(words.hash, begin, length).astype(np.int64) == digest
-                v, start, doc, length, begin = (x[good] for x in (v, start, doc, length, begin))
+                v, start, whole, doc, length, begin = (x[good] for x in (v, start, whole, doc, length, begin))
                 raw = words.buf.tobytes()
                 texts = pa.array([raw[a:b] for a, b in zip(words.start[begin].tolist(), words.end[begin + length - 1].tolist())], pa.binary())
                 shard = (v.astype(np.uint64) >> np.uint64(64 - bits)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(shard), part.column("id").take(pa.array(doc)), pa.array(start), texts], names=["shard", "id", "start", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(shard), part.column("id").take(pa.array(doc)), pa.array(start), pa.array(whole), texts], names=["shard", "id", "start", "whole", "text"])
 
     def build(part: pa.Table) -> pa.Table:
         ids, start, end = shard_spans(part, k)
         return pa.table({"id": ids, "start": start.astype(np.int32), "stop": end.astype(np.int32)})
 
     _, met = parted(rows, F.xxhash64("id"), wanted.select(F.xxhash64("member")))
-    shipped = met.join(wanted, met["id"] == wanted["member"]).select("id", "text", "wanted").mapInArrow(cut, "shard int, id long, start int, text binary")
+    shipped = met.join(wanted, met["id"] == wanted["member"]).select("id", "text", "wanted").mapInArrow(cut, "shard int, id long, start int, whole boolean, text binary")
     inside = shipped.groupBy("shard").applyInArrow(build, "id long, start int, stop int")
     whole = found.where("whole").select("id", "start", (F.col("start") + F.col("windows") + F.lit(k - 1)).alias("stop"))
     spans = whole.unionByName(inside)

@@ -159,3 +159,17 @@ def test_spans_of_shuffled_passages(spark):
     texts = {i: " ".join(rng.choice(passages) if rng.random() < 0.5 else f"u{rng.randint(0, 999)} v{i}" for _ in range(rng.randint(1, 10))) for i in range(60)}
     found = suffix_array.repeated_spans(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 10, 4)
     assert {tuple(r)[:3] for r in found.collect()} == brute_spans(texts, 10)
+
+
+@pytest.mark.parametrize("swapped", [False, True])
+def test_second_place_in_the_first_holder(spark, swapped):
+    """Two documents share X P Y; the one with the lesser id, or the greater, holds P again elsewhere."""
+    rng = random.Random(8)
+    some = lambda n: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n))
+    texts = {}
+    for i in range(0, 40, 2):
+        x, p, y = some(80), some(60), some(80)
+        texts[i + swapped] = f"{x} {p} {y} {some(70)} {p} {some(70)}"
+        texts[i + (not swapped)] = f"{x} {p} {y} {some(70)}"
+    found = suffix_array.repeated_spans(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert {tuple(r)[:3] for r in found.collect()} == brute_spans(texts, suffix_array.K)
