@@ -1,13 +1,18 @@
 """Personal data by bootstrapped contextual extraction.
 
-Candidates are all strings that look like an identifier at all: digits with
-separators, or something around an @.  Seeds are the few that are certain by
+Candidates are all strings that look like an identifier at all: whole runs of
+groups of digits, or of letters and digits, between single blanks or
+separators, or something around an @.  The whole run is judged first: what
+stands within one is a candidate only if it isn't certainly none by itself, and
+is reported only if the run is not.  Seeds are the few that are certain by
 themselves (a card number with a right check digit, an address that parses);
 counterexamples are those that certainly aren't (short counts, decimals,
 version numbers, dates).  A candidate has lexical patterns: its shape, its
-shape after the word to the left, its shape before the word to the right.
+shape after the word to the left, its shape before the word to the right, and
+with these words also its shape without separators, as the same identifier is
+grouped in many ways.
 
-Patterns and instances form a graph that Spark scores in rounds.  A pattern's
+Patterns and instances form a graph that Spark scores in rounds, until no instance changes its kind.  A pattern's
 confidence in a kind is the weight of that kind's instances, over that and the
 counterexamples it draws, smoothed; an instance that is no seed weighs what its
 patterns say together (noisy-or), once they pass MIN_CONFIDENCE.  So patterns
@@ -35,7 +40,6 @@ from pyspark.sql import types as T
 
 from .kernel import written
 
-ROUNDS = 4
 MIN_CONFIDENCE = 0.6
 SMOOTHING = 1.0
 LIKELY = r"[0-9]|@"
@@ -45,6 +49,12 @@ CANDIDATE = re.compile(
     r"|(?<![\w@])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,5}\)[ .-]?)?\d(?:[\d./:,-]*\d)?(?![\w@])"
     r"|(?<![\w@])(?=[\w-]*\d)[A-Za-z]{1,3}[\d-]{5,}(?![\w@])"
 )
+GROUP = r"[A-Za-z]*\d[A-Za-z0-9]*"
+SEPARATOR = r"(?:\)[ .-]?|[ .-]?\(|[./:,-]+| )"
+RUN = re.compile(
+    rf"(?<![\w@])(?:\+ ?)?\(?(?:[A-Za-z]{{1,3}}-+|[0-9A-Fa-f]{{1,4}}::?(?=[0-9A-Fa-f]{{1,4}}:))?{GROUP}"
+    rf"(?:{SEPARATOR}{GROUP}|::?[0-9A-Fa-f]{{1,4}}(?![A-Za-z0-9])|[ -][A-Z]{{1,4}}(?=[ -]?\d))*(?![\w@])"
+)
 EMAIL = re.compile(r"[a-z0-9](?:[\w.+%-]*[a-z0-9])?@(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+[a-z]{2,24}\Z", re.I)
 PHONE = re.compile(r"(?:\+1[ .-]?)?(?:\([2-9]\d\d\) |[2-9]\d\d[.-])[2-9]\d\d[.-]\d{4}\Z|\+[2-9]\d{8,13}\Z")
 WORD = re.compile(r"[^\W\d_]+")
@@ -86,46 +96,77 @@ def shape(s: str) -> str:
     return re.sub(r"[^\W\d_]+", "a", re.sub(r"\d+", lambda m: "9" if "." in s and len(m[0]) < 4 else f"9{{{len(m[0])}}}", s))
 
 
-def candidates(text: str) -> list[tuple[int, int, str, str, str]]:
-    """(start, end, string, left word, right word) of each candidate of a text."""
+def squeezed(s: str) -> str:
+    """The shape without what separates groups."""
+    return shape(re.sub(r"[ ()./:,+-]", "", s))
+
+
+def spans(text: str) -> list[tuple[int, int, str | None]]:
+    """(start, end, run) of each candidate by place; run is the longer one it stands in, if any."""
+    out: list[tuple[int, int, str | None]] = []
+    parts = [(m.start(), m.start() + len(m[0].rstrip(".-,:/"))) for m in CANDIDATE.finditer(text)]
+    runs, k = [m.span() for m in RUN.finditer(text)], 0
+    for start, end in parts:
+        while k < len(runs) and runs[k][1] <= start:
+            out.append((*runs[k], None))
+            k += 1
+        if k < len(runs) and runs[k][0] <= start and end <= runs[k][1]:
+            a, b = runs[k]
+            if (start, end) != (a, b) and certain(text[start:end]) != "none":
+                out.append((start, end, text[a:b]))
+            continue
+        while k < len(runs) and runs[k][0] < end:  # a run within the part, or across its edge
+            k += 1
+        out.append((start, end, None))
+    return sorted([*out, *((a, b, None) for a, b in runs[k:])], key=lambda x: (x[0], -x[1]))
+
+
+def candidates(text: str) -> list[tuple[int, int, str, str, str, str | None]]:
+    """(start, end, string, left word, right word, run around it) of each candidate of a text."""
     out = []
-    for m in CANDIDATE.finditer(text):
-        s = m[0].rstrip(".-,:/")
-        left = [w.lower() for w in WORD.findall(text[max(0, m.start() - 40) : m.start()])]
-        right = WORD.search(text, m.start() + len(s), m.start() + len(s) + 40)
-        out.append((m.start(), m.start() + len(s), s, left[-1] if left else "^", right[0].lower() if right else "$"))
+    for start, end, run in spans(text):
+        left = [w.lower() for w in WORD.findall(text[max(0, start - 40) : start])]
+        right = WORD.search(text, end, end + 40)
+        out.append((start, end, text[start:end], left[-1] if left else "^", right[0].lower() if right else "$", run))
     return out
 
 
+def fingerprint(s: str) -> str:
+    return hashlib.sha256(s.lower().encode()).hexdigest()[:24]
+
+
 def occurrences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, start, end, instance, shape, seed, patterns) of each candidate; instance is a fingerprint."""
+    """(id, start, end, instance, shape, seed, patterns, run) of each candidate; instance and run are fingerprints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for i, t in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
-                for start, end, s, left, right in candidates(t):
-                    form = shape(s)
-                    name = hashlib.sha256(s.lower().encode()).hexdigest()[:24]
-                    rows.append((i, start, end, name, form, certain(s), [form, f"{left} {form}", f"{form} {right}"]))
-            columns = [*zip(*rows)] or [[]] * 7
-            types = [batch.column("id").type, pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["id", "start", "end", "instance", "shape", "seed", "patterns"])
+                for start, end, s, left, right, around in candidates(t):
+                    form, loose = shape(s), squeezed(s)
+                    rows.append((i, start, end, fingerprint(s), form, certain(s), [form, f"{left} {form}", f"{form} {right}", f"{left} ~{loose}", f"~{loose} {right}"], around and fingerprint(around)))
+            columns = [*zip(*rows)] or [[]] * 8
+            types = [batch.column("id").type, pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["id", "start", "end", "instance", "shape", "seed", "patterns", "run"])
 
     schema = T.StructType([T.StructField("id", docs.schema[key].dataType)])
-    for name, kind in (("start", T.IntegerType()), ("end", T.IntegerType()), ("instance", T.StringType()), ("shape", T.StringType()), ("seed", T.StringType()), ("patterns", T.ArrayType(T.StringType()))):
+    for name, kind in (("start", T.IntegerType()), ("end", T.IntegerType()), ("instance", T.StringType()), ("shape", T.StringType()), ("seed", T.StringType()), ("patterns", T.ArrayType(T.StringType())), ("run", T.StringType())):
         schema.add(name, kind)
     return docs.where(docs[text].rlike(LIKELY)).select(docs[key].alias("id"), docs[text].alias("text")).mapInArrow(run, schema)
 
 
-def score(found: DataFrame, rounds: int = ROUNDS, least: float = MIN_CONFIDENCE) -> DataFrame:
-    """(instance, kind, confidence): what each instance is held to be after the rounds."""
+def score(found: DataFrame, rounds: int | None = None, least: float = MIN_CONFIDENCE) -> DataFrame:
+    """(instance, kind, confidence): what each instance is held to be after the rounds.
+
+    Without a number of rounds they go on until the kinds are those of some
+    earlier round: the last, or where kinds alternate for ever one before it.
+    """
     spark = found.sparkSession
     edges = written(spark, found.select("instance", "seed", F.explode("patterns").alias("pattern")).distinct(), "pii-edges")
     seeds = edges.where("seed is not null").select("instance", F.col("seed").alias("kind"), F.lit(1.0).alias("weight")).distinct()
     open_edges = edges.where("seed is null").select("instance", "pattern")
-    held = seeds
-    for _ in range(rounds):
+    held, seen = seeds, set()
+    while rounds is None or len(seen) < rounds:
         told = edges.select("instance", "pattern").join(held, "instance").groupBy("pattern", "kind").agg(F.sum("weight").alias("weight"))
         bad = told.where("kind = 'none'").select("pattern", F.col("weight").alias("bad"))
         of_pattern = told.where("kind <> 'none'").groupBy("pattern").agg(F.sum("weight").alias("all"))
@@ -134,12 +175,16 @@ def score(found: DataFrame, rounds: int = ROUNDS, least: float = MIN_CONFIDENCE)
         grown = open_edges.join(rated.select("pattern", "kind", "confidence"), "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("weight"))
         best = grown.groupBy("instance").agg(F.max_by(F.struct("kind", "weight"), F.struct("weight", F.expr("-ascii(kind)"))).alias("b")).select("instance", "b.kind", "b.weight").where(F.col("weight") >= least)
         held = written(spark, seeds.unionByName(best), "pii-scores")
+        kinds = tuple(held.agg(F.count("*"), F.expr("bit_xor(xxhash64(instance, kind))")).first())
+        if kinds in seen:
+            break
+        seen.add(kinds)
     return held.where("kind <> 'none'").withColumnRenamed("weight", "confidence")
 
 
-def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS, least: float = MIN_CONFIDENCE) -> DataFrame:
+def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int | None = None, least: float = MIN_CONFIDENCE) -> DataFrame:
     """(doc_id, start, end, kind, confidence, discovered, shape, fingerprint), a row for each identifier."""
     found = written(docs.sparkSession, occurrences(docs, key, text), "pii-occurrences")
     held = score(found, rounds, least)
-    rows = found.join(held, "instance")
+    rows = found.join(held, "instance").join(held.select(F.col("instance").alias("run")), "run", "left_anti")
     return rows.select(F.col("id").alias("doc_id"), "start", "end", "kind", "confidence", F.col("seed").isNull().alias("discovered"), "shape", F.col("instance").alias("fingerprint"))

@@ -193,6 +193,19 @@ def test_pii_discovers_by_context(spark):
     assert not any(r["shape"].startswith(("9.9.", "9,9")) for r in found)
 
 
+def test_pii_runs_of_groups(spark):
+    """Runs are one candidate however they are grouped, and a learned context finds them."""
+    for s in ("415 555 2671", "123 45 6789", "01 42 68 53 00", "3782 822463 10005", "GB29NWBK60161331926819", "GB29 NWBK 6016 1331 9268 19", "2001:db8::ff00:42:8329", "+44 20 7946 0958"):
+        assert pii.candidates(f"see {s}, then")[0][2] == s
+    assert [c[2] for c in pii.candidates("pay 4111 1111 1111 1111 12/27 now")] == ["4111 1111 1111 1111 12/27", "4111 1111 1111 1111"]
+    rows = [(i, f"call me at (415) 555-{1000 + i} today") for i in range(12)]
+    rows += [(100 + i, f"call me at 415 555 {2000 + i} today") for i in range(12)]
+    rows += [(200 + i, f"we counted {300 + i} 55 {4000 + i} of them") for i in range(12)]
+    rows += [(300, "pay 4111 1111 1111 1111 12/27 now")]
+    found = {(r["doc_id"], r["kind"], dict(rows)[r["doc_id"]][r["start"] : r["end"]]) for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {(i, "phone", f"(415) 555-{1000 + i}") for i in range(12)} | {(100 + i, "phone", f"415 555 {2000 + i}") for i in range(12)} | {(300, "card", "4111 1111 1111 1111")}
+
+
 def test_queries_run(spark, sf):
     assert set(queries.QUERIES) == {"op1_bpe", "op2_exact_dedup", "op3_secrets", "op4_suffix_array", "op5_decontaminate", "op6_jaccard_join", "op7_line_dedup", "op8_quality", "op9_lm_score", "op10_pii"}
     assert queries.op10_pii(spark, sf).columns == ["doc_id", "start", "end", "kind", "confidence", "discovered", "shape", "fingerprint"]
