@@ -5,8 +5,9 @@ characters, a PEM header or a token prefix; only these reach Python.  There a
 candidate is reported only when its decoded form has the structure of a secret:
 nested DER lengths of a private key, the length-prefixed fields of an OpenSSH
 key, the JSON header and payload of a signed token, a checksum, or a raw key of
-a usual size that is assigned to a name such as token or secret.  What decodes
-to text is searched again, DEPTH times over.
+LEAST bytes or more that is assigned to a name such as token or secret.  Runs
+that are wrapped over lines are joined first, escaped line ends (backslash and n)
+count as such.  What decodes to text is searched again, until nothing decodes.
 
 Defined results: null and empty texts give no row; whole texts are searched.
 A secret that occurs twice is reported twice, at both places; repeated rows are
@@ -29,16 +30,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-DEPTH = 3
 ANY = r"-----BEGIN|eyJ[A-Za-z0-9_-]{8}|AKIA[A-Z2-7]{16}|gh[pousr]_[A-Za-z0-9]{36}|[A-Za-z0-9+/_-]{22}"
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{3,40})-----(.+?)-----END \1-----", re.S)
 JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]*)")
 GITHUB = re.compile(r"(?<![A-Za-z0-9])(gh[pousr]_)([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 ACCESS = re.compile(r"(?<![A-Za-z0-9])AKIA([A-Z2-7]{16})(?![A-Za-z0-9])")
 RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{22,}={0,2}(?![A-Za-z0-9+/_=-])")
+BLOCK = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{22,}(?:[ \t]*\r?\n\s*[A-Za-z0-9+/_-]+)+={0,2}")
+LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+ESCAPED = re.compile(r"\\+[rn]")
 HEX = re.compile(r"(?:0x)?([0-9a-fA-F]{2})+\Z")
 NAMED = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|pwd|credential|auth|api[_-]?key|access[_-]?key|private[_-]?key|signing[_-]?key|\bkey)[\w-]{0,20}[\"']?\s{0,3}(?:=>|:=|[:=])\s{0,3}[\"']?(?:bearer\s)?\Z")
-SIZES = {16, 20, 24, 32, 48, 64}
+LEAST = 16
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 Found = tuple[int, int, str, str, int, bytes]
 
@@ -142,22 +145,80 @@ def spread(raw: bytes) -> bool:
     return len(set(raw)) >= 256 * (1 - (1 - 1 / 256) ** n) * 0.75 and sum(32 <= b < 127 for b in raw) < 0.85 * n
 
 
+def drawn(s: str) -> bool:
+    """False for names: letters of one case and no digit, which no random key of LEAST bytes is."""
+    return any(c.isdigit() for c in s) or (s.lower() != s and s.upper() != s)
+
+
+def plain_text(raw: bytes) -> str | None:
+    try:
+        return raw.decode("utf-8")
+    except UnicodeDecodeError:
+        return None
+
+
 def confirm(raw: bytes) -> str | None:
     return private_key(raw) or openssh(raw)
 
 
+def wrapped(text: str) -> Iterator[list[tuple[int, int]]]:
+    """The lines, as (start, end), of what may be one run over several lines: all lines that
+    follow each other, and those of one length with the shorter one after them, each also
+    without its last, which may be a word."""
+    for m in BLOCK.finditer(text):
+        lines = [x.span() for x in LINE.finditer(text, m.start(), m.end())]
+        yield lines
+        yield lines[:-1]
+        first = 0
+        while first < len(lines):
+            size, stop = lines[first][1] - lines[first][0], first + 1
+            while stop < len(lines) and lines[stop][1] - lines[stop][0] == size:
+                stop += 1
+            if stop < len(lines) and lines[stop][1] - lines[stop][0] < size:
+                yield lines[first : stop + 1]
+            yield lines[first:stop]
+            first = stop
+
+
 def scan(text: str, depth: int = 0) -> list[Found]:
     """(start, end, kind, encoding, depth, secret) of each confirmed secret of a text, by place."""
+    plain = ESCAPED.sub(lambda m: " " * (len(m[0]) - 1) + "\n", text)
+    found = search(plain, depth)
+    if plain != text:
+        found += [f for f in search(text, depth) if not any(f[0] < b and a < f[1] for a, b, *_ in found)]
+    return sorted(found, key=lambda f: f[:4])
+
+
+def search(text: str, depth: int) -> list[Found]:
     out: list[Found] = []
     taken: list[tuple[int, int]] = []
 
-    def add(m: re.Match, kind: str, encoding: str, secret: bytes, level: int = depth) -> None:
-        out.append((m.start(), m.end(), kind, encoding, level, secret))
+    def add(m: re.Match, kind: str, encoding: str, secret: bytes) -> None:
+        out.append((*m.span(), kind, encoding, depth, secret))
         taken.append(m.span())
 
+    def decode(s: str, start: int, end: int) -> None:
+        if any(a < end and start < b for a, b in taken):
+            return
+        bare = s[2:] if s.startswith("0x") else s
+        tries = [("hex", bytes.fromhex(bare))] if HEX.match(s) else []
+        if not tries and (raw := unbase64(s)):
+            tries.append(("base64", raw))
+        for encoding, raw in tries:
+            found = []
+            if kind := confirm(raw):
+                found = [(kind, encoding, depth, raw)]
+            elif len(raw) >= LEAST and drawn(s) and spread(raw) and NAMED.search(text[max(0, start - 60) : start]):
+                found = [("assigned_key", encoding, depth, raw)]
+            elif len(raw) >= 20 and (inner := plain_text(raw)):
+                found = [(kind, f"{encoding}/{how}", level, secret) for _, _, kind, how, level, secret in scan(inner, depth + 1)]
+            out.extend((start, end, *f) for f in found)
+            if found:
+                taken.append((start, end))
+
     for m in PEM.finditer(text):
-        body = m[2].split("\n\n")[-1] if "Proc-Type" in m[2] else m[2]
-        raw = unbase64(re.sub(r"\s+", "", body))
+        body = re.split(r"\n[ \r]*\n", m[2])[-1] if "Proc-Type" in m[2] else m[2]
+        raw = unbase64(re.sub(r"[\s\\]+", "", body))
         if raw and "Proc-Type: 4,ENCRYPTED" in m[2]:
             kind = "encrypted_private_key" if "PRIVATE KEY" in m[1] and len(raw) % 8 == 0 else None
         else:
@@ -177,24 +238,12 @@ def scan(text: str, depth: int = 0) -> list[Found]:
     for m in ACCESS.finditer(text):
         if NAMED.search(text, max(0, m.start() - 60), m.start()) or re.search(r"[2-7]", m[1]):
             add(m, "access_key_id", "base32", m[0].encode())
+    for lines in wrapped(text):
+        if len(lines) > 1:
+            decode("".join(text[a:b] for a, b in lines), lines[0][0], lines[-1][1])
     for m in RUN.finditer(text):
-        if any(a <= m.start() < b for a, b in taken):
-            continue
-        s = m[0]
-        bare = s[2:] if s.startswith("0x") else s
-        tries = [("hex", bytes.fromhex(bare))] if HEX.match(s) else []
-        if not tries and (raw := unbase64(s)):
-            tries.append(("base64", raw))
-        for encoding, raw in tries:
-            if kind := confirm(raw):
-                add(m, kind, encoding, raw)
-            elif len(raw) in SIZES and spread(raw) and NAMED.search(text[max(0, m.start() - 60) : m.start()]):
-                add(m, "assigned_key", encoding, raw)
-            elif depth < DEPTH and len(raw) >= 20 and all(9 <= b < 127 for b in raw):
-                inner = scan(raw.decode("ascii"), depth + 1)
-                for _, _, kind, how, level, secret in inner:
-                    add(m, kind, f"{encoding}/{how}", secret, level)
-    return sorted(out, key=lambda f: f[:4])
+        decode(m[0], *m.span())
+    return out
 
 
 def secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

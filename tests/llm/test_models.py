@@ -173,6 +173,30 @@ def test_secrets():
         assert not secrets.scan(text), text
 
 
+def test_secrets_in_all_encodings():
+    """Accented text, deep nesting, wrapped runs, escaped line ends, and keys of any length."""
+    kinds = lambda text: [(f[2], f[4]) for f in secrets.scan(text)]
+    encode = lambda text: base64.b64encode(text.encode()).decode()
+    assert kinds(f"x {encode(f'Der Schlüssel für später: {token()} ist geheim')} y") == [("signed_token", 1)]
+    deep = f"the token is {token()} indeed"
+    for _ in range(6):
+        deep = f"so {encode(deep)} it is"
+    assert kinds(deep) == [("signed_token", 6)]
+    for width in (64, 76):
+        for whole in (base64.b64encode(rsa_key()).decode(), rsa_key().hex()):
+            lines = "\n".join(whole[i : i + width] for i in range(0, len(whole), width))
+            for text in (f"see\n{lines}\nThanks for it", f"data: {lines}", lines.replace("\n", "\r\n    "), f'{{"data": "{lines}"}}'.replace("\n", "\\n")):
+                assert kinds(text) == [("rsa_private_key", 0)]
+    pem = "-----BEGIN RSA PRIVATE KEY-----\n" + base64.encodebytes(rsa_key()).decode() + "-----END RSA PRIVATE KEY-----\n"
+    for text in (json.dumps({"key": pem}), json.dumps(json.dumps({"key": pem}))):
+        assert kinds(text) == [("rsa_private_key", 0)]
+    assert kinds(f"a line\\n{github()}\\n") == [("checksummed_token", 0)]
+    for size in (17, 30, 40, 100):
+        raw = np.random.default_rng(size).bytes(size)
+        assert kinds(f"aws_secret_access_key = {base64.b64encode(raw).decode()}") == [("assigned_key", 0)]
+    assert not kinds("token = read_from_the_environment_of_the_host")
+
+
 def test_secrets_of_documents(spark, sf):
     """Only rows without anything like a secret are left out before Python."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
