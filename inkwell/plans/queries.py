@@ -79,6 +79,10 @@ def postings_by_term(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.build(talks(spark, sf_dir), ["role", "text"]).postings
 
 
+def postings_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.build(corpus(spark, sf_dir), ["text"]).postings
+
+
 def df_by_term(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.build(corpus(spark, sf_dir), ["text"]).vocabulary
 
@@ -106,6 +110,13 @@ def edit_distance_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.crossJoin(words).select("word", "term", X.edit_distance(F.col("word"), F.col("term")).alias("dist"))
 
 
+def edit_distance_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for all terms, accented ones included; without SQL, which counts bytes."""
+    words = spark.createDataFrame([(w,) for w in LOOKED_UP], "word string")
+    terms = documents_index(spark, sf_dir).vocabulary.select("term")
+    return terms.crossJoin(words).select("word", "term", X.edit_distance(F.col("word"), F.col("term")).alias("dist"))
+
+
 def exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.search_documents(asked(spark, EXACT), documents_index(spark, sf_dir))
 
@@ -127,10 +138,21 @@ def spelling_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corrections(unknown, documents_index(spark, sf_dir).trigrams.where(F.col("term").rlike("^[ -~]*$")))
 
 
+def spelling_candidates_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest among all terms, accented ones included; without SQL, which counts bytes."""
+    unknown = spark.createDataFrame([(w, last) for _, w, last in SPELLED], "term string, is_last boolean")
+    return corrections(unknown, documents_index(spark, sf_dir).trigrams)
+
+
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat_hits(S.search_hits(asked(spark, [q for q in EXACT if q[1] != "the"]), documents_index(spark, sf_dir)))
 
 
+def snippets_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every query, the one for a term that most documents have included."""
+    return flat_hits(S.search_hits(asked(spark, EXACT), documents_index(spark, sf_dir)))
+
+
 def conversation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat_hits(S.search_hits(asked(spark, [(1, "user the"), (2, "Assistant la"), (3, "user blend")]), talks_index(spark, sf_dir)))
 
@@ -214,7 +236,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         tokenize, postings_by_term, df_by_term, document_terms, trigram_index, trigram_terms_for, soundex_terms, edit_distance_pairs,
         exact_search, search_outcomes, corrected_search, corrected_documents, spelling_candidates, snippets, conversation_search, search_json,
         remove_then_search, upsert_then_search, intersect_prefix, intersect_full, map_get, map_put, map_remove, map_scan, prefix_scan,
-        range_scan_from, json_field_text, raw_json_text,
+        range_scan_from, json_field_text, raw_json_text, postings_of_documents, edit_distance_all, spelling_candidates_all, snippets_all,
     )
 }
 
@@ -321,4 +343,6 @@ SELECT term, is_last, candidate, CAST(dist AS INTEGER) AS dist, CAST(rn - 1 AS I
     "range_scan_from": f"{_ENTRIES} SELECT * FROM e WHERE key >= 'queen' AND EXISTS (SELECT 1 FROM e WHERE key = 'queen') ORDER BY key",
     "json_field_text": _TURNS,
     "raw_json_text": _TURNS,
+    "postings_of_documents": f"{_D} SELECT term, document_id, field_index, term_index FROM tok",
+    "snippets_all": _searched(EXACT, f", {_HITS}"),
 }
