@@ -73,8 +73,32 @@ WORD = np.zeros(256, bool)
 WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
-#: Words and runs of punctuation are both tokens: 0 is white space.
-KIND = np.where(SPACE, 0, np.where(WORD, 1, 2)).astype(np.uint8)
+#: Beyond ASCII, code points are looked up: letters, marks and numbers make words, all else (quotes, dashes, hard blanks) parts them.
+_PLANES = 0x20000
+_LETTERS: list[np.ndarray] = []
+
+
+def letters(buf: np.ndarray) -> np.ndarray:
+    """Which bytes of UTF-8 text belong to letters, marks or numbers."""
+    inside = WORD[buf]
+    lead = np.flatnonzero(buf >= 0xC2)
+    if not len(lead):
+        return inside
+    if not _LETTERS:
+        import unicodedata
+
+        _LETTERS.append(np.array([unicodedata.category(chr(c))[0] in "LMN" for c in range(_PLANES)]))
+    first = buf[lead].astype(np.int64)
+    size = 2 + (first >= 0xE0) + (first >= 0xF0)
+    padded = np.concatenate([buf, np.zeros(4, np.uint8)])
+    code = first & np.where(size == 2, 31, np.where(size == 3, 15, 7))
+    for k in range(1, 4):
+        code = np.where(size > k, code << 6 | padded[lead + k] & 63, code)
+    bad = ~_LETTERS[0][np.minimum(code, _PLANES - 1)] & (code < _PLANES)
+    for k in range(4):
+        at = lead[bad & (size > k)] + k
+        inside[at[at < len(buf)]] = False
+    return inside
 
 
 class Words:
@@ -96,7 +120,7 @@ class Words:
         first = np.zeros(n + 1, bool)
         first[self.offsets] = True
         if kind == "both":
-            of = KIND[buf]
+            of = np.where(letters(buf), 1, np.where(SPACE[buf], 0, 2)).astype(np.uint8)
             edge = np.empty(n + 1, bool)
             edge[1:n] = of[1:] != of[:-1]
             edge[0] = edge[n] = True
@@ -106,7 +130,7 @@ class Words:
             self.start, self.end = cuts[:-1][live], cuts[1:][live]
         else:
             inside = np.zeros(n + 2, bool)
-            inside[1:-1] = ~SPACE[buf] if kind == "raw" else WORD[buf]
+            inside[1:-1] = ~SPACE[buf] if kind == "raw" else letters(buf)
             self.start = np.flatnonzero(inside[1:-1] & (~inside[:-2] | first[:-1]))
             self.end = np.flatnonzero(inside[1:-1] & (~inside[2:] | first[1:])) + 1
         self.counts = np.diff(np.searchsorted(self.start, self.offsets))
@@ -183,10 +207,10 @@ BLOOM_BLOCK = 1 << 20
 BLOOM_PROBES = 6
 
 
-def _probes(h: np.ndarray) -> Iterator[np.ndarray]:
+def _probes(h: np.ndarray, count: int) -> Iterator[np.ndarray]:
     one = mix(h + np.uint64(1))
     two = mix(one) | np.uint64(1)
-    for k in range(BLOOM_PROBES):
+    for k in range(count):
         yield ((one + np.uint64(k) * two) >> np.uint64(44)).astype(np.int64)
 
 
@@ -195,20 +219,19 @@ def parted(docs: DataFrame, of_docs: Column, keys: DataFrame, bits_each: int = 1
 
     So a join with keys moves only the rows that may be in it, and the long
     texts of the others stay where they are.  keys should be a written table.
-    Their Bloom filter is built in blocks, one task each, and broadcast; its
-    size is checked: where it would take more than `most` bits, all rows count
-    as others, and the join after it is as right, only dearer.
+    Their Bloom filter is built in blocks, one task each, and broadcast; it
+    never takes more than `most` bits.  With more keys than that suits it has
+    fewer bits and probes for each, and lets more rows pass to the join.
     """
     n = keys.count()
     blocks = 1
-    while blocks * BLOOM_BLOCK < n * bits_each:
+    while blocks * BLOOM_BLOCK < min(n * bits_each, most):
         blocks *= 2
-    if blocks * BLOOM_BLOCK > most:
-        return docs.limit(0), docs
+    count = int(np.clip(round(0.69 * blocks * BLOOM_BLOCK / max(1, n)), 1, BLOOM_PROBES))
 
     def build(rows: pa.Table) -> pa.Table:
         bits = np.zeros(BLOOM_BLOCK, bool)
-        for place in _probes(rows.column("h").to_numpy().view(np.uint64)):
+        for place in _probes(rows.column("h").to_numpy().view(np.uint64), count):
             bits[place] = True
         return pa.table({"block": rows.column("block").slice(0, 1).combine_chunks(), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
@@ -222,7 +245,7 @@ def parted(docs: DataFrame, of_docs: Column, keys: DataFrame, bits_each: int = 1
         h = hashes.to_numpy(zero_copy_only=False).view(np.uint64)
         block = (h & np.uint64(len(held.value) - 1)).astype(np.int64)
         out = np.ones(len(h), bool)
-        for place in _probes(h):
+        for place in _probes(h, count):
             out &= (held.value[block, place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
         return out
 
@@ -273,7 +296,28 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables of `written` that no later plan reads."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def trim() -> None:
+    """Gives freed memory of this worker back to the machine."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps its own house
+        pass
 
 
 def slots(spark: SparkSession) -> int:
