@@ -1,58 +1,68 @@
-"""Exact Jaccard join of documents on their sets of word n-grams.
-
-Jaccard distance is a metric, but over n-gram sets nearly all documents lie at
-distance 1 from any document chosen as pivot, so Voronoi regions of documents
-alone would replicate every document everywhere.  The first regions are
-therefore those of the smallest pivots, single n-grams.  A document contains
-its nearest pivots; a match within the radius can lack at most so many of them
-that both must share one of their first |x| - ceil(t|x|) + 1 in a global order,
-rare n-grams first, and, for their two sizes, a known number of those; the
-first n-gram they share must stand early enough in both that as many can follow
-as their sizes demand.  So:
-
-1. n-grams that recur are counted over all documents; the frequent ones go last
-   in the order.  The order decides cost, never the result.
-2. Each document goes to the regions of its first n-grams, as sorted binary
-   runs.  In a region of up to SMALL documents all pairs are named, and pairs
-   named often and early enough for their sizes are candidates.  In a larger region its
-   least document becomes the pivot of a second-level region, which all join.
-3. Candidates are put together in regions around their least neighbour.
-4. Second-level regions get the whole texts, packed.  Those over LEAF documents are
-   split recursively at the median distance from a pivot, and by the triangle
-   inequality only documents within the radius of the border meet across it.
-   Leaves compare all pairs exactly.  Regions too large for one task are cut
-   into a grid of blocks.
-
-The result has all pairs of distinct n-gram sets; documents of one same set are
-paired with the least of them, which alone carries the set's other pairs, so
-thousands of copies cost a row each.
+"""Exact Jaccard join of documents on their sets of word n-grams, as a join in a metric space.
+
+Jaccard distance is a metric.  The join is that of pivots, regions and windows;
+what goes before it takes away, exactly, what can be in no match, as over
+n-gram sets nearly all documents lie at distance 1 from any document chosen as
+pivot, where no region can be told from another.
+
+1. Peeling.  A match holds at least ceil(t|x|) n-grams of x.  Tasks send the
+   hashes of their documents' n-grams, those that several of their documents
+   have only once, and a document goes that has too few n-grams in common with
+   all others together.  False positives of the hashes only let more pass.
+2. Documents of one same set become a class; its least doc_id stands for it.
+   Their n-grams are counted again, those in one class only are cut, and those
+   that now have too few go as well.
+3. Pivots.  Rare n-grams come first in a global order.  A match shares one of
+   the first |x| - ceil(t|x|) + 1 of both; the least document that has an
+   n-gram there is the pivot of all others that have it there.  Each pivot's
+   region is the documents that it is the pivot of; regions whose pivot belongs
+   to another are merged into the least of these, whole.
+4. Regions are joined where their sets meet, one task a region; those over
+   REGION_BYTES are cut into a grid of blocks.  There, LEAF documents or fewer
+   are compared, exactly.  More are split into Voronoi regions: pivots that lie
+   far apart, each document to its nearest.  A region of radius rho is joined
+   with itself, and with its window: by the triangle inequality only documents
+   within rho + (1 - t) of its pivot can match one of it.  Both joins split in
+   the same way again until they are small.
+
+The result has a row for each document that has a match, its class and its
+number of matches, so thousands of copies or near copies cost a row each and no
+match is lost; `similar_pairs` gives the pairs themselves.  Two documents that
+meet in several regions are counted in the least of them.
 
 Defined results: null doc_ids, null texts and texts without words match
-nothing.  Texts of fewer than n words have one n-gram, all their words.  Rows
-that repeat a doc_id are never paired with one another.  Whole texts are read.
+nothing; doc_id must be a whole number.  Texts of fewer than n words have one
+n-gram, all their words.  Rows that repeat a doc_id are one document of several
+texts, never paired with one another: what these match is added up, for it and
+for the copies that it stands for.  Empty tables give no rows.  Other columns
+may have any name.  Whole texts are read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import CHUNK_BYTES, Words, chunks, mix, parted, ragged, slots, window_hash, without, written
+from .kernel import CHUNK_BYTES, Words, chunks, forget, mix, parted, ragged, slots, trim, window_hash, without, written
 
 N = 3
 THRESHOLD = 0.5
-FREQUENT = 16
-FREQUENT_LIST = 4_000_000
-SMALL = 32
-LEAF = 1024
-REGION_BYTES = 64 << 20
+#: Documents that are compared without a further split.
+LEAF = 24
+#: Pivots of a split.
+PIVOTS = 12
+#: Bytes of sets in a block of a region.
+REGION_BYTES = 16 << 20
+#: n-grams that a task holds before it sends them, first of all texts, then of the sets that are left.
 RUN = 2_000_000
-LOW48 = np.uint64((1 << 48) - 1)
+SET_RUN = 400_000
+#: Bytes of text, or of sets, for each slice of a shuffle.
+SLICE_BYTES = 12 << 20
+NONE = np.int64(np.iinfo(np.int64).min)
 
 
 # -- sets
@@ -80,24 +90,6 @@ def sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     return g, np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(column)))])
 
 
-def prefix_length(size: np.ndarray, t: float) -> np.ndarray:
-    return size - np.ceil(t * size - 1e-9).astype(np.int64) + 1
-
-
-def least_overlap(a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
-    return np.ceil(t / (1 + t) * (a + b) - 1e-9).astype(np.int64)
-
-
-def least_shared(a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
-    """How many first n-grams two sets of these sizes share at least, if they match."""
-    return np.minimum(prefix_length(a, t) - a, prefix_length(b, t) - b) + least_overlap(a, b, t)
-
-
-def place_step(size: np.ndarray) -> np.ndarray:
-    """Places are kept in 16 bits: in steps of this many, rounded down."""
-    return -(-size // 65535)
-
-
 # -- binary runs: arrays one after another, with their length and widths in front
 
 
@@ -146,190 +138,298 @@ def bits_for(spark) -> int:
 
 
 def groups_of(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(sorted_keys):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     first = np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]]))
     return first, np.diff(np.concatenate([first, [len(sorted_keys)]]))
 
 
-# -- 1: frequent n-grams
+# -- slices: n-grams by the leading bits of their hashes, and by the 32 bits after them within a slice
 
 
-def frequent(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent n-grams (48 bits, sorted) and the logarithms of their counts.
+def bits_of(spark, size: int) -> int:
+    """Leading bits, so that a slice is of bounded size however large the input, and all cores have some."""
+    return int(np.ceil(np.log2(max(16, slots(spark), -(-size // SLICE_BYTES)))))
 
-    Each task counts all its documents and reports what it saw twice at least.
-    The list is bounded; where more are frequent, those with the largest counts.
-    """
-    bits = bits_for(rows.sparkSession)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+def slice_edges(h: np.ndarray, bits: int) -> np.ndarray:
+    return np.searchsorted(h, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).tolist() + [len(h)]
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            h, c = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            h, c = h[c > 1], c[c > 1]
-            if len(h):
-                yield slice_batch([*runs_by_slice((h >> np.uint64(48 - bits)).astype(np.int64), 1 << bits, h, c.astype(np.uint32))])
-
-        for batch in batches:
-            for part in chunks(batch):
-                held.append(sets(part.column("text"), n)[0] >> np.uint64(16))
-                if sum(map(len, held)) > RUN:
-                    yield from flush()
-        if held:
-            yield from flush()
 
-    def add(part: pa.Table) -> pa.Table:
-        h, c = joined(part)
-        by = np.argsort(h, kind="stable")
-        h, c = h[by], c[by].astype(np.int64)
-        first, _ = groups_of(h)
-        h, c = h[first], np.add.reduceat(c, first)
-        keep = c >= FREQUENT
-        return pa.table({"h": h[keep].astype(np.int64), "c": c[keep]})
-
-    found = rows.mapInArrow(count, "slice int, run binary").groupBy("slice").applyInArrow(add, "h long, c long")
-    table = found.orderBy(F.desc("c"), "h").limit(FREQUENT_LIST).toArrow()
-    h, c = table.column("h").to_numpy().astype(np.uint64), table.column("c").to_numpy()
-    by = np.argsort(h)
-    return h[by], (np.log2(np.maximum(c[by], 1)).astype(np.int64) + 1)
-
-
-def first_grams(column: pa.Array, n: int, t: float, common: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(48-bit n-gram, row, place in the order) of the first n-grams of each text, and all sizes."""
-    g, offsets = sets(column, n)
-    g >>= np.uint64(16)
-    size = np.diff(offsets)
-    doc = np.repeat(np.arange(len(size)), size)
-    kind = np.zeros(len(g), np.int64)
-    if len(common) and len(g):
-        at = np.minimum(np.searchsorted(common, g), len(common) - 1)
-        hit = common[at] == g
-        kind[hit] = rank[at[hit]]
-    by = np.argsort(doc * 64 + kind, kind="stable")
-    place = np.arange(len(g)) - offsets[doc]
-    keep = place < prefix_length(size, t)[doc]
-    return g[by[keep]], doc[keep], place[keep], size
-
-
-# -- 2: regions of single n-grams
-
-
-def pairs_of(order: np.ndarray, first: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs within groups of at most SMALL members, as indexes through order."""
-    left, right = [], []
-    for k in range(2, SMALL + 1):
-        starts = first[length == k]
-        if len(starts):
-            i, j = np.triu_indices(k, 1)
-            left.append((starts[:, None] + i).ravel())
-            right.append((starts[:, None] + j).ravel())
-    if not left:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return order[np.concatenate(left)], order[np.concatenate(right)]
+def rest_of(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h << np.uint64(bits) >> np.uint64(32)).astype(np.uint32)
+
+
+def packed_rest(rest: np.ndarray) -> bytes:
+    """Sorted 32-bit numbers as gaps of three bytes, if none is larger."""
+    gap = np.diff(rest, prepend=np.uint32(0)).astype("<u4")
+    if len(gap) and int(gap.max()) < 1 << 24:
+        return b"3" + np.ascontiguousarray(gap.view(np.uint8).reshape(-1, 4)[:, :3]).tobytes()
+    return b"4" + gap.tobytes()
+
+
+def unpacked_rest(raw: bytes) -> np.ndarray:
+    if raw[:1] == b"3":
+        gap = np.zeros(((len(raw) - 1) // 3, 4), np.uint8)
+        gap[:, :3] = np.frombuffer(raw, np.uint8, -1, 1).reshape(-1, 3)
+        gap = gap.reshape(-1).view("<u4")
+    else:
+        gap = np.frombuffer(raw, "<u4", -1, 1)
+    return np.cumsum(gap, dtype=np.uint32)
+
+
+def batch(schema: str, columns: list) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], names=[n for n, _ in fields])
+
+
+def by_rows(schema: str, rows: list[tuple]) -> pa.Table:
+    return pa.Table.from_batches([batch(schema, [list(c) for c in zip(*rows)] or [[] for _ in schema.split(", ")])])
+
+
+# -- 1: peeling
+
+SENT = "slice int, run long, kind int, raw binary"
+TOLD = "run long, kind int, raw binary"
+SETS = "id long, size long, sig_a long, sig_b long"
+
+
+def signatures(g: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit sums over each set; size has no zero."""
+    starts = np.cumsum(size) - size
+    return tuple(np.add.reduceat(mix(g ^ np.uint64(seed)), starts).view(np.int64) if len(g) else np.zeros(0, np.int64) for seed in (0x5EED, 0xF00D))
+
 
+def least_common(size: np.ndarray, t: float) -> np.ndarray:
+    return np.ceil(t * size - 1e-9).astype(np.int64)
 
-def regions(rows: DataFrame, n: int, t: float, common: np.ndarray, rank: np.ndarray) -> DataFrame:
-    """(kind, slice, run): runs of named pairs by slice of the pair (0), or memberships of large regions (1)."""
-    spark = rows.sparkSession
-    bits = bits_for(spark)
-    order_of = spark.sparkContext.broadcast((common, rank))
+
+def peeled(rows: DataFrame, n: int, t: float, bits: int) -> DataFrame:
+    """(id, size, sig_a, sig_b) of the texts that have enough n-grams in common with any others."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+        from pyspark import TaskContext
+
+        held, count, number = [], 0, 0
+        part_id = TaskContext.get().partitionId()
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            h, ids, sizes, places = (np.concatenate(x) for x in zip(*held))
+        def flush() -> pa.RecordBatch:
+            nonlocal number
+            ids, size, g = (np.concatenate(x) for x in zip(*held))
             held.clear()
-            by = np.argsort(h)
-            h, ids, sizes, places = h[by], ids[by], sizes[by], places[by]
-            low = h << np.uint64(bits) & LOW48
-            yield slice_batch([*runs_by_slice((h >> np.uint64(48 - bits)).astype(np.int64), 1 << bits, (low >> np.uint64(32)).astype(np.uint16), low.astype(np.uint32), *split64(ids), sizes, places)])
-
-        for batch in batches:
-            for part in chunks(batch):
-                g, doc, place, size = first_grams(part.column("text"), n, t, *order_of.value)
+            run, number = np.int64(part_id << 24 | number), number + 1
+            full = np.flatnonzero(size)
+            ids, size = ids[full], size[full]
+            a, b = signatures(g, size)
+            doc = np.repeat(np.arange(len(size), dtype=np.uint32), size)
+            by = np.argsort(g)
+            g, doc = g[by], doc[by]
+            first, length = groups_of(g)
+            own = np.bincount(doc[np.repeat(length > 1, length)], minlength=len(size))
+            h, nobody = g[first], len(size)
+            kind = np.uint16 if nobody < 65536 else np.uint32
+            owner, rest, edges = np.where(length > 1, nobody, doc[first]).astype(kind), rest_of(h, bits), slice_edges(h, bits)
+            out = [(k, run, int(np.dtype(kind).itemsize), packed_rest(rest[x:y]) + owner[x:y].tobytes()) for k, (x, y) in enumerate(zip(edges, edges[1:])) if y > x]
+            out.append((int(run) & ((1 << bits) - 1), run, 0, dump(ids, size, a, b, own)))
+            return batch(SENT, list(zip(*out)))
+
+        for some in batches:
+            for part in chunks(some):
+                g, offsets = sets(part.column("text"), n)
                 if len(g):
-                    held.append((g, part.column("id").to_numpy()[doc], size[doc].astype(np.uint32), (place // place_step(size[doc])).astype(np.uint16)))
-                if sum(len(x[0]) for x in held) > RUN // 2:
-                    yield from flush()
+                    held.append((part.column("id").to_numpy(), np.diff(offsets), g))
+                    count += len(g)
+                if count > RUN:
+                    yield flush()
+                    count = 0
         if held:
-            yield from flush()
+            yield flush()
+        trim()
 
     def meet(part: pa.Table) -> pa.Table:
-        high, low, id_high, id_low, size, place = joined(part)
-        h, ids, size = join64(high, low), join64(id_high, id_low).astype(np.int64), size.astype(np.int64)
-        place = place.astype(np.int64) * place_step(size)
-        order = np.lexsort((ids, h))
-        first, length = groups_of(h[order])
-        out: list[tuple[int, int, bytes]] = []
-        a, b = pairs_of(order, first, length)
-        sa, sb = size[a], size[b]
-        near = (np.minimum(sa, sb) >= t * np.maximum(sa, sb) - 1e-9) & (ids[a] != ids[b])
-        a, b = a[near], b[near]
-        if len(a):
-            top = (mix(ids[a].astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
-            by = np.lexsort((ids[b], ids[a], top))
-            a, b, top = a[by], b[by], top[by]
-            least = least_overlap(size[a], size[b], t)
-            early = (place[a] <= size[a] - least) & (place[b] <= size[b] - least)
-            new = np.concatenate([[True], (ids[a][1:] != ids[a][:-1]) | (ids[b][1:] != ids[b][:-1]) | (size[a][1:] != size[a][:-1]) | (size[b][1:] != size[b][:-1])])
-            first_named = np.flatnonzero(new)
-            count, early = np.diff(np.append(first_named, len(a))), np.logical_or.reduceat(early, first_named)
-            a, b, top = a[new], b[new], top[new]
-            out += [(0, k, r) for k, r in runs_by_slice(top, 1 << bits, *split64(ids[a]), *split64(ids[b]), size[a].astype(np.uint32), size[b].astype(np.uint32), count.astype(np.uint32), early)]
-        large = np.flatnonzero(length > SMALL)
-        if len(large):
-            at = order[ragged(first[large], length[large])]
-            pivot = np.repeat(ids[order[first[large]]], length[large])
-            member = np.unique(np.stack([ids[at], pivot, size[at]], 1), axis=0)
-            out.append((1, 0, dump(*member.T.copy())))
-        return pa.table({"kind": pa.array([x[0] for x in out], pa.int32()), "slice": pa.array([x[1] for x in out], pa.int32()), "run": pa.array([x[2] for x in out], pa.binary())})
-
-    return rows.mapInArrow(send, "slice int, run binary").groupBy("slice").applyInArrow(meet, "kind int, slice int, run binary")
-
-
-def candidates(found: DataFrame, t: float) -> DataFrame:
-    """(a, b, a_size, b_size) of the pairs that share as many first n-grams, and one as early, as their sizes demand."""
-
-    def count(part: pa.Table) -> pa.Table:
-        ah, al, bh, bl, sa, sb, c, early = joined(part)
-        a, b = join64(ah, al).astype(np.int64), join64(bh, bl).astype(np.int64)
-        sa, sb = sa.astype(np.int64), sb.astype(np.int64)
-        by = np.lexsort((sb, sa, b, a))
-        a, b, sa, sb, c, early = a[by], b[by], sa[by], sb[by], c[by].astype(np.int64), early[by]
-        first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (sa[1:] != sa[:-1]) | (sb[1:] != sb[:-1])]))
-        c, early = np.add.reduceat(c, first), np.logical_or.reduceat(early, first)
-        a, b, sa, sb = a[first], b[first], sa[first], sb[first]
-        keep = early & (c >= least_shared(sa, sb, t))
-        return pa.table({"a": a[keep], "b": b[keep], "a_size": sa[keep], "b_size": sb[keep]})
-
-    return found.where("kind = 0").select("slice", "run").groupBy("slice").applyInArrow(count, "a long, b long, a_size long, b_size long")
-
-
-def unpack_members(found: DataFrame) -> DataFrame:
+        out, rests, owners, runs = [], [], [], []
+        for run, kind, raw in zip(part.column("run").to_pylist(), part.column("kind").to_pylist(), part.column("raw")):
+            raw = raw.as_buffer()
+            if not kind:
+                out.append((run, 0, raw.to_pybytes()))
+                continue
+            width = 3 if raw[:1].to_pybytes() == b"3" else 4
+            count = (len(raw) - 1) // (width + kind)
+            rests.append(unpacked_rest(memoryview(raw)[: 1 + width * count].tobytes()))
+            owners.append(np.frombuffer(raw, np.uint16 if kind == 2 else np.uint32, count, 1 + width * count))
+            runs.append(run)
+        if rests:
+            every = np.sort(np.concatenate(rests))
+            again = np.unique(every[1:][every[1:] == every[:-1]])
+            for run, rest, owner in zip(runs, rests, owners):
+                at = np.minimum(np.searchsorted(again, rest), max(0, len(again) - 1))
+                hit = again[at] == rest if len(again) else np.zeros(len(rest), bool)
+                out.append((run, 1, dump(owner[hit])))
+        return by_rows(TOLD, out)
+
+    def add(part: pa.Table) -> pa.Table:
+        told = [(k, parse(r.as_py())) for k, r in zip(part.column("kind").to_pylist(), part.column("raw"))]
+        (ids, size, a, b, own), *_ = [x for k, x in told if k == 0]
+        total = own.copy()
+        for k, x in told:
+            if k:
+                total += np.bincount(x[0], minlength=len(ids) + 1)[: len(ids)]
+        keep = total >= least_common(size, t)
+        return pa.table({"id": ids[keep], "size": size[keep], "sig_a": a[keep], "sig_b": b[keep]})
+
+    return rows.mapInArrow(send, SENT).groupBy("slice").applyInArrow(meet, TOLD).groupBy("run").applyInArrow(add, SETS)
+
+
+# -- 2: sets, in runs of many documents, and questions about all their n-grams
+
+RUNS = "run long, docs binary, grams binary"
+
+
+def gathered(rows: DataFrame, n: int) -> DataFrame:
+    """Runs of the sets of (id, text, sig_a, sig_b, weight), of those texts that have the signature."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for raw in batch.column("run"):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in parse(raw.as_py())], names=["id", "region", "size"])
+        from pyspark import TaskContext
+
+        held, count, number = [], 0, 0
+        part_id = TaskContext.get().partitionId()
+
+        def flush() -> pa.RecordBatch:
+            nonlocal number
+            *docs, g = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            number += 1
+            return batch(RUNS, [[part_id << 24 | number], [dump(*docs)], [dump(g)]])
+
+        for some in batches:
+            for part in chunks(some):
+                g, offsets = sets(part.column("text"), n)
+                size = np.diff(offsets)
+                full = np.flatnonzero(size)
+                a, b = signatures(g, size[full])
+                ids, sig_a, sig_b, weight = (part.column(c).to_numpy()[full] for c in ("id", "sig_a", "sig_b", "weight"))
+                same = (a == sig_a) & (b == sig_b)
+                at = full[same]
+                if len(at):
+                    held.append((ids[same], size[at], weight[same], a[same], b[same], size[at], g[ragged(offsets[at], size[at])]))
+                    count += len(held[-1][-1])
+                if count > SET_RUN:
+                    yield flush()
+                    count = 0
+        if held:
+            yield flush()
+        trim()
 
-    return found.where("kind = 1").select("run").mapInArrow(run, "id long, region long, size long")
+    return rows.mapInArrow(run, RUNS)
 
 
-# -- 3: regions of documents
+def asked(runs: DataFrame, bits: int, question: Callable, answer: Callable, then: Callable, schema: str) -> DataFrame:
+    """What `then` makes of each run and the answers to its question.
 
+    question(docs, grams) gives sorted distinct n-grams and arrays beside them.
+    Each slice has them of all runs, every n-gram once a run at most, and gives
+    an array of answers, in order, by answer(order, first, length, arrays): the
+    order that sorts them, and the groups of equal n-grams in it.
+    """
 
-def memberships(found: DataFrame, t: float) -> DataFrame:
-    """(id, region, size), distinct: the second-level regions of each document."""
-    pairs = written(found.sparkSession, candidates(found, t), "jaccard-pairs")
-    ends = F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other")), F.struct(F.col("b").alias("id"), F.col("a").alias("other")))).alias("e")
-    label = pairs.select(ends).groupBy("e.id").agg(F.min("e.other").alias("least")).select("id", F.least("id", "least").alias("label"))
-    of_a, of_b = label.toDF("a", "a_label"), label.toDF("b", "b_label")
-    placed = pairs.join(of_a, "a").join(of_b, "b").withColumn("region", F.when(F.col("a_label") == F.col("b_label"), F.col("a_label")).otherwise(F.least("a", "b")))
-    sides = F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("a_size").alias("size")), F.struct(F.col("b").alias("id"), F.col("b_size").alias("size")))).alias("e")
-    small = placed.select("region", sides).select("e.id", "region", "e.size")
-    members = small.unionByName(unpack_members(found)).groupBy("id", "region").agg(F.max("size").alias("size"))
-    return merged(merged(members))
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in batches:
+            for run, docs, grams in zip(*(some.column(k) for k in range(3))):
+                h, *arrays = question(parse(docs.as_py()), parse(grams.as_py())[0])
+                rest, edges = rest_of(h, bits), slice_edges(h, bits)
+                out = [(k, run.as_py(), dump(rest[x:y], *(a[x:y] for a in arrays))) for k, (x, y) in enumerate(zip(edges, edges[1:])) if y > x]
+                yield batch("slice int, run long, raw binary", list(zip(*out)) or [[], [], []])
+        trim()
+
+    def meet(part: pa.Table) -> pa.Table:
+        told = [parse(r.as_py()) for r in part.column("raw")]
+        rest, *arrays = (np.concatenate(x) for x in zip(*told))
+        order = np.argsort(rest, kind="stable")
+        answers = answer(order, *groups_of(rest[order]), arrays)
+        ends = np.cumsum([len(x[0]) for x in told])
+        return by_rows("run long, slice int, raw binary", [(r, s, dump(answers[e - len(x[0]) : e])) for r, s, e, x in zip(part.column("run").to_pylist(), part.column("slice").to_pylist(), ends, told)])
+
+    def put(run: pa.Table, answers: pa.Table) -> pa.Table:
+        if not run.num_rows:
+            return by_rows(schema, [])
+        told = [parse(r.as_py())[0] for r in answers.sort_by("slice").column("raw")]
+        return then(run.column("run")[0].as_py(), parse(run.column("docs")[0].as_py()), parse(run.column("grams")[0].as_py())[0], np.concatenate(told) if told else None)
+
+    answers = runs.mapInArrow(send, "slice int, run long, raw binary").groupBy("slice").applyInArrow(meet, "run long, slice int, raw binary")
+    return runs.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(put, schema)
+
+
+def ordered(runs: DataFrame, t: float, bits: int) -> DataFrame:
+    """Runs of the sets cut to n-grams of several classes, rare ones first, of the classes with enough of them."""
+
+    def question(docs: list[np.ndarray], g: np.ndarray) -> tuple[np.ndarray, ...]:
+        h, count = np.unique(g, return_counts=True)
+        return h, np.minimum(count, 1 << 30).astype(np.uint32)
+
+    def answer(order, first, length, arrays) -> np.ndarray:
+        total = np.add.reduceat(arrays[0][order].astype(np.int64), first)
+        rank = np.where(total > 1, np.minimum(255, 1 + np.floor(8 * np.log2(total))), 0).astype(np.uint8)
+        out = np.empty(len(order), np.uint8)
+        out[order] = np.repeat(rank, length)
+        return out
+
+    def then(run, docs, g, told) -> pa.Table:
+        ids, size, weight, a, b, held = docs
+        rank = told[np.searchsorted(np.unique(g), g)]
+        doc = np.repeat(np.arange(len(ids)), held)
+        common = np.bincount(doc[rank > 0], minlength=len(ids))
+        stay = common >= least_common(size, t)
+        keep = np.flatnonzero((rank > 0) & stay[doc])
+        keep = keep[np.lexsort((g[keep], rank[keep], doc[keep]))]
+        return by_rows(RUNS, [(run, dump(*(x[stay] for x in (ids, size, weight, a, b, common))), dump(g[keep]))]) if len(keep) else by_rows(RUNS, [])
+
+    return asked(runs, bits, question, answer, then, RUNS)
+
+
+# -- 3: pivots
+
+
+def first_grams(docs: list[np.ndarray], g: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams among the first of each document that may be shared, and their documents, sorted."""
+    ids, size, *_, held = docs
+    doc = np.repeat(np.arange(len(ids)), held)
+    place = np.arange(len(g)) - np.repeat(np.cumsum(held) - held, held) + (size - held)[doc]
+    keep = np.flatnonzero(place <= (size - least_common(size, t))[doc])
+    keep = keep[np.lexsort((ids[doc[keep]], g[keep]))]
+    return g[keep], doc[keep]
+
+
+def memberships(runs: DataFrame, t: float, bits: int) -> DataFrame:
+    """(id, region, size), distinct: the pivots of each document, with which it shares one of the first n-grams."""
+
+    def question(docs, g) -> tuple[np.ndarray, ...]:
+        h, doc = first_grams(docs, g, t)
+        first, length = groups_of(h)
+        return h[first], docs[0][doc[first]], np.minimum(length, 2).astype(np.uint8)
+
+    def answer(order, first, length, arrays) -> np.ndarray:
+        least = np.minimum.reduceat(arrays[0][order], first)
+        many = np.add.reduceat(arrays[1][order].astype(np.int64), first) > 1
+        out = np.empty(len(order), np.int64)
+        out[order] = np.repeat(np.where(many, least, NONE), length)
+        return out
+
+    def then(run, docs, g, told) -> pa.Table:
+        h, doc = first_grams(docs, g, t)
+        if not len(h):
+            return by_rows("id long, region long, size long", [])
+        _, length = groups_of(h)
+        pivot = np.repeat(told, length)
+        keep = pivot != NONE
+        doc, pivot = doc[keep], pivot[keep]
+        by = np.lexsort((pivot, doc))
+        doc, pivot = doc[by], pivot[by]
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (pivot[1:] != pivot[:-1])
+        return pa.table({"id": docs[0][doc[new]], "region": pivot[new], "size": docs[5][doc[new]]})
+
+    return asked(runs, bits, question, answer, then, "id long, region long, size long")
 
 
 def merged(members: DataFrame) -> DataFrame:
@@ -337,169 +437,266 @@ def merged(members: DataFrame) -> DataFrame:
 
     What met in a region still meets, and documents have fewer regions.
     """
-    members = written(members.sparkSession, members, "jaccard-members")
     to = members.groupBy(F.col("id").alias("region")).agg(F.min("region").alias("least"))
     moved = members.join(to, "region", "left").withColumn("region", F.least("region", "least"))
     return moved.groupBy("id", "region").agg(F.max("size").alias("size"))
 
 
 def homes(members: DataFrame) -> DataFrame:
-    """(id, homes): the blocks that each document's set is sent to.
+    """(member, homes): the blocks that each document's set is sent to.
 
     A region of more than REGION_BYTES is cut into g parts by id; each pair of
-    parts is a block, so a document of it has g homes, one otherwise.
+    parts is a block, so a document of it has g homes, one otherwise.  Regions
+    of one document are none.
     """
-    total = members.groupBy("region").agg(F.greatest(F.lit(1), F.ceil(F.sum("size") * 8 / REGION_BYTES)).cast("int").alias("grid"))
+    total = members.groupBy("region").agg(F.greatest(F.lit(1), F.ceil(F.sum("size") * 8 / REGION_BYTES)).cast("int").alias("grid"), F.count(F.lit(1)).alias("n")).where("n > 1")
     rows = members.join(total, "region").withColumn("part", F.pmod(F.xxhash64("id"), F.col("grid")).cast("int"))
     rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("grid") - 1)))
     home = F.struct("region", F.least("part", "k").alias("i"), F.greatest("part", "k").alias("j"), "part")
-    return rows.groupBy("id").agg(F.collect_list(home).alias("homes"))
-
-
-# -- 4: exact joins
-
-
-def overlap(grams: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
-    """Sizes of the intersections of n sets, all with all."""
-    distinct, at, count = np.unique(grams, return_inverse=True, return_counts=True)
-    number = np.cumsum(count > 1) - 1
-    keep = count[at] > 1
-    column, row = number[at[keep]], doc[keep]
-    width = int(number[-1]) + 1 if len(number) else 0
-    total = np.zeros((n, n), np.float32)
-    by = np.argsort(column, kind="stable")
-    column, row = column[by], row[by]
-    step = max(256, (8 << 20) // max(1, n))
-    for start in range(0, width, step):
-        lo, hi = np.searchsorted(column, [start, start + step])
-        dense = np.zeros((n, min(step, width - start)), np.float32)
-        dense[row[lo:hi], column[lo:hi] - start] = 1
-        total += dense @ dense.T
-    return total
-
-
-def leaf_pairs(grams: list[np.ndarray], size: np.ndarray, t: float, cross: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n = len(grams)
-    shared = overlap(np.concatenate(grams), np.repeat(np.arange(n), size), n)
-    jaccard = shared / (size[:, None] + size[None, :] - shared)
-    i, j = np.nonzero(np.triu(jaccard >= t - 1e-6, 1))
-    if cross is not None:
-        meet = cross[i] != cross[j]
-        i, j = i[meet], j[meet]
-    inter = shared[i, j].astype(np.float64)
-    exact = inter / (size[i] + size[j] - inter)
-    good = exact >= t - 1e-12
-    return i[good], j[good], exact[good]
-
-
-def metric_pairs(grams: list[np.ndarray], size: np.ndarray, t: float, cross: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All pairs of sets of Jaccard t at least; with cross, only those of unlike values."""
-    n = len(grams)
-    if n < 2:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    if n <= LEAF:
-        return leaf_pairs(grams, size, t, cross)
-    pivot = grams[int(np.argmin(np.abs(size - np.median(size))))]
-    flat = np.concatenate(grams)
-    at = np.minimum(np.searchsorted(pivot, flat), len(pivot) - 1)
-    inter = np.add.reduceat(pivot[at] == flat, np.concatenate([[0], np.cumsum(size)[:-1]]))
-    distance = 1 - inter / (size + len(pivot) - inter)
-    border = float(np.median(distance))
-    radius = 1 - t + 1e-9
-    near = np.flatnonzero(distance <= border)
-    far = np.flatnonzero(distance > border)
-    rim_near, rim_far = near[distance[near] >= border - radius], far[distance[far] <= border + radius]
-    out = []
-    if not len(far) or len(rim_near) + len(rim_far) > 0.9 * n:  # no split by distance helps: halves by place, compared exactly
-        half = n // 2
-        near, far = np.arange(half), np.arange(half, n)
-        rim_near, rim_far = near, far
-    for part in (near, far):
-        i, j, v = metric_pairs([grams[k] for k in part], size[part], t, None if cross is None else cross[part])
-        out.append((part[i], part[j], v))
-    for a in range(0, len(rim_near), LEAF // 2):
-        for b in range(0, len(rim_far), LEAF // 2):
-            x, y = rim_near[a : a + LEAF // 2], rim_far[b : b + LEAF // 2]
-            both = np.concatenate([x, y])
-            side = np.repeat([0, 1], [len(x), len(y)])
-            i, j, v = leaf_pairs([grams[k] for k in both], size[both], t, side)
-            i, j = both[i], both[j]
-            if cross is not None:
-                meet = cross[i] != cross[j]
-                i, j, v = i[meet], j[meet], v[meet]
-            out.append((i, j, v))
-    i, j, v = (np.concatenate(x) for x in zip(*out))
-    return np.minimum(i, j), np.maximum(i, j), v
-
-
-def block_pairs(ids: np.ndarray, grams: list[np.ndarray], t: float, part: np.ndarray, single: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of a block's documents, ordered by id; equal sets are paired with the least document."""
-    size = np.array([len(g) for g in grams], np.int64)
-    mixed = mix(np.concatenate(grams))
-    starts = np.concatenate([[0], np.cumsum(size)[:-1]])
-    signature = np.stack([np.add.reduceat(mixed, starts), np.bitwise_xor.reduceat(mixed, starts), size.astype(np.uint64)], 1)
-    _, model, code = np.unique(signature, axis=0, return_index=True, return_inverse=True)
-    least = model[code.reshape(-1)]
-    copy = np.flatnonzero(least != np.arange(len(ids)))
-    own = np.flatnonzero(least == np.arange(len(ids)))
-    i, j, v = metric_pairs([grams[k] for k in own], size[own], t, None if single else part[own])
-    a, b = ids[np.concatenate([own[i], least[copy]])], ids[np.concatenate([own[j], copy])]
-    v = np.concatenate([v, np.ones(len(copy))])
-    ok = a != b
-    return np.minimum(a, b)[ok], np.maximum(a, b)[ok], v[ok]
+    return rows.groupBy(F.col("id").alias("member")).agg(F.collect_list(home).alias("homes"), (F.count(F.lit(1)) * F.max("size") * 8).alias("bytes"))
+
+
+# -- 4: exact joins of regions
+
+
+class Region:
+    """Sets of n-grams that are joined by distance.  Each pair of similar ones is given once, as arrays i, j and Jaccard."""
+
+    def __init__(self, grams: list[np.ndarray], size: np.ndarray, t: float):
+        self.size, self.t, self.radius = size.astype(np.int64), t, 1 - t + 1e-9
+        self.splits = 0
+        held = np.array([len(g) for g in grams], np.int64)
+        flat = np.concatenate(grams) if len(grams) else np.zeros(0, np.uint64)
+        _, at, count = np.unique(flat, return_inverse=True, return_counts=True)
+        keep = count[at] > 1
+        self.code = (np.cumsum(count > 1) - 1)[at[keep]]
+        self.codes = int((count > 1).sum())
+        held = np.bincount(np.repeat(np.arange(len(grams)), held)[keep], minlength=len(grams))
+        self.first = np.concatenate([[0], np.cumsum(held)])
+
+    def of(self, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        length = self.first[docs + 1] - self.first[docs]
+        return self.code[ragged(self.first[docs], length)], np.repeat(np.arange(len(docs)), length)
+
+    def shared(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Sizes of the intersections, all of a with all of b."""
+        code, row = self.of(a)
+        other, column = self.of(b)
+        distinct = np.unique(code)
+        total = np.zeros((len(a), len(b)), np.float32)
+        if not len(distinct):
+            return total
+        at = np.minimum(np.searchsorted(distinct, other), len(distinct) - 1)
+        hit = distinct[at] == other
+        at, column = at[hit], column[hit]
+        code = np.searchsorted(distinct, code)
+        step = max(64, (4 << 20) // max(len(a), len(b)))
+        for start in range(0, len(distinct), step):
+            x, y = np.zeros((len(a), min(step, len(distinct) - start)), np.float32), np.zeros((len(b), min(step, len(distinct) - start)), np.float32)
+            here = (code >= start) & (code < start + step)
+            x[row[here], code[here] - start] = 1
+            here = (at >= start) & (at < start + step)
+            y[column[here], at[here] - start] = 1
+            total += x @ y.T
+        return total
+
+    def distance(self, docs: np.ndarray, pivot: int) -> np.ndarray:
+        code, row = self.of(docs)
+        mark = np.zeros(self.codes, bool)
+        mark[self.of(np.array([pivot]))[0]] = True
+        inter = np.bincount(row[mark[code]], minlength=len(docs))
+        return np.where(docs == pivot, 0.0, 1 - inter / (self.size[docs] + self.size[pivot] - inter))
+
+    def compared(self, a: np.ndarray, b: np.ndarray, within: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        inter = self.shared(a, b).astype(np.float64)
+        jaccard = inter / (self.size[a][:, None] + self.size[b][None, :] - inter)
+        near = jaccard >= self.t - 1e-12
+        i, j = np.nonzero(np.triu(near, 1) if within else near)
+        return a[i], b[j], jaccard[i, j]
+
+    def voronoi(self, docs: np.ndarray) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """Pivots far from each other, all distances to them, and the nearest of each document."""
+        self.splits += 1
+        pivots = [int(docs[int(np.argmin(np.abs(self.size[docs] - np.median(self.size[docs]))))])]
+        distance = [self.distance(docs, pivots[0])]
+        least = distance[0].copy()
+        while len(pivots) < max(2, min(PIVOTS, -(-len(docs) // LEAF))) and least.max() > 0:
+            pivots.append(int(docs[int(np.argmax(least))]))
+            distance.append(self.distance(docs, pivots[-1]))
+            np.minimum(least, distance[-1], out=least)
+        every = np.stack(distance)
+        return pivots, every, np.argmin(every, 0)
+
+    def pairs(self, a: np.ndarray, b: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """All similar pairs within a, or of one of a and one of b."""
+        todo = [(a, b)]
+        while todo:
+            a, b = todo.pop()
+            if b is None:
+                if len(a) <= LEAF:
+                    if len(a) > 1:
+                        yield self.compared(a, a, True)
+                    continue
+                pivots, every, nearest = self.voronoi(a)
+                for c in range(len(pivots)):
+                    cell = nearest == c
+                    window = (nearest > c) & (every[c] <= every[c][cell].max(initial=0) + self.radius)
+                    todo += [(a[cell], None), (a[cell], a[window])]
+                continue
+            if not len(a) or not len(b):
+                continue
+            if len(a) < len(b):
+                a, b = b, a
+            if len(b) <= LEAF:
+                for start in range(0, len(a), 1024):
+                    yield self.compared(a[start : start + 1024], b, False)
+                continue
+            pivots, every, nearest = self.voronoi(a)
+            for c, pivot in enumerate(pivots):
+                cell = nearest == c
+                todo.append((a[cell], b[self.distance(b, pivot) <= every[c][cell].max(initial=0) + self.radius]))
+
+
+def unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Joins the components of i and j; label holds the least of each component, in place."""
+    while True:
+        a, b = label[i], label[j]
+        apart = a != b
+        if not apart.any():
+            return
+        np.minimum.at(label, np.maximum(a[apart], b[apart]), np.minimum(a[apart], b[apart]))
+        while not np.array_equal(label[label], label):
+            label[:] = label[label]
+
+
+LINKS = "id long, links long, label long"
+PAIRS = "doc_id_a long, doc_id_b long, jaccard double"
+
+
+def block_pairs(ids: np.ndarray, region: Region, part: np.ndarray, earlier: list) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Similar pairs of a block, but for those of one id and those that meet in an earlier region as well."""
+    parts = np.unique(part)
+    every = np.arange(len(ids))
+    found = region.pairs(every) if len(parts) < 2 else region.pairs(every[part == parts[0]], every[part == parts[1]])
+    also = np.array([len(x) > 0 for x in earlier])
+    if also.any():
+        regions, code = np.unique(np.concatenate([np.asarray(x, np.int64) for x in earlier]), return_inverse=True)
+        row = np.repeat(every, [len(x) for x in earlier])
+        by = np.argsort(row * np.int64(len(regions)) + code)
+        keys = row[by] * np.int64(len(regions)) + code[by]
+        first = np.searchsorted(row[by], every)
+    for i, j, v in found:
+        ok = ids[i] != ids[j]
+        if also.any():
+            both = np.flatnonzero(ok & also[i] & also[j])
+            if len(both):
+                count = np.array([len(earlier[k]) for k in i[both]])
+                which = np.repeat(both, count)
+                of_i = keys[ragged(first[i[both]], count)] % len(regions)
+                want = j[which] * np.int64(len(regions)) + of_i
+                at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+                ok[which[keys[at] == want]] = False
+        if ok.any():
+            yield i[ok], j[ok], v[ok]
+
+
+def joined_regions(runs: DataFrame, members: DataFrame, t: float, pairs: bool) -> DataFrame:
+    """Of all regions, similar pairs; or for each document in each region its number of links and the least it is connected to."""
+    spark = runs.sparkSession
+    at = written(spark, homes(members), "jaccard-homes")
+    size = at.agg(F.sum("bytes")).first()[0] or 0
+    count = max(slots(spark), -(-int(size) // SLICE_BYTES))
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in batches:
+            for docs, grams in zip(some.column("docs"), some.column("grams")):
+                ids, size, weight, a, b, held = parse(docs.as_py())
+                g = parse(grams.as_py())[0]
+                ends = np.cumsum(held)
+                raw = [g[e - k : e].tobytes() for e, k in zip(ends, held)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, size, weight, a)] + [pa.array(raw, pa.binary())], names=["id", "size", "weight", "sig", "grams"])
+        trim()
+
+    def compare(part: pa.Table) -> pa.Table:
+        names = ("region", "i", "j", "part", "id", "sig", "size", "weight")
+        region, i, j, side, ids, sig, size, weight = (part.column(c).to_numpy() for c in names)
+        grams, earlier = part.column("grams"), part.column("earlier")
+        order = np.lexsort((sig, ids, j, i, region))
+        same = lambda *x: np.logical_and.reduce([v[order][1:] == v[order][:-1] for v in x])
+        if len(order) > 1:
+            order = order[np.concatenate([[True], ~same(region, i, j, ids, sig)])]
+        starts = np.flatnonzero(np.concatenate([[True], ~same(region, i, j)]))
+        out = []
+        for start, stop in zip(starts, [*starts[1:], len(order)]):
+            at = order[start:stop]
+            if len(at) < 2:
+                continue
+            held = Region([np.frombuffer(grams[int(k)].as_py(), np.uint64) for k in at], size[at], t)
+            found = block_pairs(ids[at], held, side[at], [earlier[int(k)].as_py() for k in at])
+            if pairs:
+                out += [(np.minimum(ids[at][x], ids[at][y]), np.maximum(ids[at][x], ids[at][y]), v) for x, y, v in found]
+                continue
+            links, label = np.zeros(len(at), np.int64), np.arange(len(at))
+            for x, y, _ in found:
+                np.add.at(links, x, weight[at][y])
+                np.add.at(links, y, weight[at][x])
+                unite(label, x, y)
+            some = np.flatnonzero(links)
+            out.append((ids[at][some], links[some], ids[at][label[some]]))
+        trim()
+        kinds = (np.int64, np.int64, np.float64 if pairs else np.int64)
+        columns = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, k) for k in kinds]
+        return pa.table(dict(zip((x.split()[0] for x in (PAIRS if pairs else LINKS).split(", ")), columns)))
+
+    docs = runs.mapInArrow(unpack, "id long, size long, weight long, sig long, grams binary")
+    sent = docs.join(at, docs["id"] == at["member"]).withColumn("home", F.explode("homes"))
+    earlier = F.array_distinct(F.transform(F.filter("homes", lambda x: x["region"] < F.col("home")["region"]), lambda x: x["region"]))
+    sent = sent.select(F.pmod(F.xxhash64("home.region", "home.i", "home.j"), F.lit(count)).cast("int").alias("slice"), "home.*", "id", "sig", "size", "weight", earlier.alias("earlier"), "grams")
+    return sent.groupBy("slice").applyInArrow(compare, PAIRS if pairs else LINKS)
+
+
+class Found:
+    """The tables of a join: members (id, rep), classes (rep, copies), and the regions' results."""
+
+    def __init__(self, docs: DataFrame, n: int, t: float, key: str, text: str, pairs: bool):
+        spark = docs.sparkSession
+        rows = docs.where(docs[key].isNotNull() & docs[text].isNotNull()).select(docs[key].cast("long").alias("id"), docs[text].alias("text"))
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        left = written(spark, peeled(rows, n, t, bits_of(spark, size)), "jaccard-peeled")
+        keys = ["sig_a", "sig_b", "size"]
+        once = left.distinct()
+        classes = written(spark, once.groupBy(*keys).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight")), "jaccard-classes")
+        self.members = written(spark, once.join(classes, keys).select("id", "rep"), "jaccard-members")
+        self.classes = classes.groupBy("rep").agg(F.sum(F.col("weight") - 1).alias("copies"))
+        _, met = parted(rows, F.xxhash64("id"), classes.select(F.xxhash64("rep")))
+        of_class = met.join(classes.select("rep", "sig_a", "sig_b", "weight"), F.col("id") == F.col("rep")).select("id", "text", "sig_a", "sig_b", "weight")
+        runs = written(spark, gathered(of_class, n), "jaccard-sets")
+        size = 8 * (classes.agg(F.sum("size")).first()[0] or 0)
+        bits = bits_of(spark, size)
+        cut = written(spark, ordered(runs, t, bits), "jaccard-ordered")
+        forget(left, runs)
+        first = written(spark, memberships(cut, t, bits).groupBy("id", "region").agg(F.max("size").alias("size")), "jaccard-pivots")
+        second = written(spark, merged(first), "jaccard-regions")
+        third = written(spark, merged(second), "jaccard-regions")
+        self.result = written(spark, joined_regions(cut, third, t, pairs), "jaccard-found")
+        forget(cut, first, second, third)
 
 
 def similar_pairs(docs: DataFrame, n: int = N, t: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id_a, doc_id_b, jaccard), a < b, of all pairs with Jaccard t at least."""
-    spark = docs.sparkSession
-    bits = bits_for(spark)
-    rows = docs.where(docs[key].isNotNull() & docs[text].isNotNull()).select(docs[key].cast("long").alias("id"), docs[text].alias("text"))
-    found = written(spark, regions(rows, n, t, *frequent(rows.select("text"), n)), "jaccard-regions")
-    members = written(spark, memberships(found, t), "jaccard-members")
-    sent = written(spark, homes(members).withColumnRenamed("id", "member"), "jaccard-homes")
-    _, met = parted(rows, F.xxhash64("id"), sent.select(F.xxhash64("member")))
-    with_homes = met.join(sent, met["id"] == sent["member"]).select("id", "text", "homes")
-
-    def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            for piece in chunks(batch):
-                homes_ = piece.column("homes")
-                at = np.asarray(homes_.offsets, np.int64)
-                count = np.diff(at)
-                doc = np.repeat(np.arange(len(count)), count)
-                inner = homes_.values.slice(at[0], at[-1] - at[0])
-                region, i, j, part = (inner.field(k).to_numpy() for k in range(4))
-                block = mix(region.astype(np.uint64) + mix(i.astype(np.uint64) * np.uint64(1 << 20) + j.astype(np.uint64)))
-                text_ = pa.array([pack.compress(x) for x in piece.column("text").cast(pa.binary()).to_pylist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array((block >> np.uint64(64 - bits)).astype(np.int32)), pa.array(block.astype(np.int64)), pa.array(i == j), pa.array(part), piece.column("id").take(pa.array(doc)), text_.take(pa.array(doc))], names=["slice", "block", "single", "part", "id", "text"])
+    """(doc_id_a, doc_id_b, jaccard), a < b, of all pairs of classes with Jaccard t at least, by their least doc_ids, and of each copy with its class at 1."""
+    found = Found(docs, n, t, key, text, True)
+    copies = found.members.where("id <> rep").select(F.col("rep").alias("doc_id_a"), F.col("id").alias("doc_id_b"), F.lit(1.0).alias("jaccard"))
+    return found.result.unionByName(copies.distinct())
 
-    def compare(part: pa.Table) -> pa.Table:
-        block, ids = part.column("block").to_numpy(), part.column("id").to_numpy()
-        single, cut = part.column("single").to_numpy(), part.column("part").to_numpy()
-        unpack = zstandard.ZstdDecompressor()
-        g, offsets = sets(pa.array([unpack.decompress(x).decode("utf-8", "replace") for x in part.column("text").to_pylist()], pa.large_string()), n)
-        order = np.lexsort((ids, block))
-        first, length = groups_of(block[order])
-        out = []
-        for start, n_docs in zip(first, length):
-            if n_docs > 1:
-                at = order[start : start + n_docs]
-                grams = [g[offsets[k] : offsets[k + 1]] for k in at]
-                full = [k for k, g in enumerate(grams) if len(g)]
-                if len(full) > 1:
-                    at = at[full]
-                    out.append(block_pairs(ids[at], [grams[k] for k in full], t, cut[at], bool(single[at[0]])))
-        a, b, v = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        return pa.table({"doc_id_a": a, "doc_id_b": b, "jaccard": v})
-
-    shipped = with_homes.mapInArrow(ship, "slice int, block long, single boolean, part int, id long, text binary")
-    pairs = shipped.groupBy("slice").applyInArrow(compare, "doc_id_a long, doc_id_b long, jaccard double")
-    pairs = written(spark, pairs.groupBy("doc_id_a", "doc_id_b").agg(F.max("jaccard").alias("jaccard")), "jaccard-found")
-    # Blocks may differ in which copy was the least there: only pairs of the least of all copies stay.
-    copies = pairs.where("jaccard = 1").groupBy(F.col("doc_id_b").alias("copy")).agg(F.min("doc_id_a").alias("least"))
-    pairs = pairs.join(copies, pairs["doc_id_b"] == copies["copy"], "left").where("copy is null or (jaccard = 1 and doc_id_a = least)")
-    return pairs.select("doc_id_a", "doc_id_b", "jaccard").join(copies.select(F.col("copy").alias("doc_id_a")), "doc_id_a", "left_anti")
+
+def similar_groups(docs: DataFrame, n: int = N, t: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, class_id, links) of each document that has a match: the least doc_id that matches connect it to, and how many documents it matches."""
+    found = Found(docs, n, t, key, text, False)
+    label = components(found.result.where("id <> label").select(F.col("id").alias("doc_id_a"), F.col("label").alias("doc_id_b"))).toDF("rep", "label")
+    links = found.result.groupBy(F.col("id").alias("rep")).agg(F.sum("links").alias("links"))
+    told = found.classes.join(links, "rep", "left").join(label, "rep", "left")
+    told = told.select("rep", F.coalesce("label", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies")).alias("links")).where("links > 0")
+    return found.members.distinct().join(told, "rep").groupBy(F.col("id").alias("doc_id")).agg(F.min("class_id").alias("class_id"), F.sum("links").alias("links"))
 
 
 def components(pairs: DataFrame, a: str = "doc_id_a", b: str = "doc_id_b") -> DataFrame:
@@ -523,7 +720,10 @@ def components(pairs: DataFrame, a: str = "doc_id_a", b: str = "doc_id_b") -> Da
 
 
 def keep_one(docs: DataFrame, n: int = N, t: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs without those connected by similar pairs to a lesser doc_id."""
-    labels = components(similar_pairs(docs, n, t, key, text))
-    gone = labels.where("id <> label").select(F.col("id").cast(docs.schema[key].dataType))
+    """The rows of docs without those whom matches connect to a lesser doc_id, with their columns.
+
+    Rows without a doc_id or a text, and those of empty or single texts, stay;
+    rows that repeat a doc_id stay or go together; an empty table stays empty.
+    """
+    gone = similar_groups(docs, n, t, key, text).where("doc_id <> class_id").select(F.col("doc_id").cast(docs.schema[key].dataType))
     return without(docs, gone, key)

@@ -40,7 +40,8 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.similar_pairs(table(spark, sf_dir, "documents"))
+    """The documents that have a match, with their class and number of matches."""
+    return jaccard.similar_groups(table(spark, sf_dir, "documents"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,5 +78,13 @@ SQL: dict[str, str] = {
     "op2_exact_dedup": """
 SELECT doc_id, winner_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS winner_id FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL) AS t
 WHERE doc_id <> winner_id""",
+    "op6_jaccard_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+g AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: list_slice(w, i, i + 2))) AS g FROM w WHERE len(w) > 0),
+s AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+o AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM g AS x JOIN g AS y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id),
+e AS (SELECT a, b FROM o JOIN s AS sa ON sa.doc_id = a JOIN s AS sb ON sb.doc_id = b WHERE 3 * c >= sa.n + sb.n),
+r AS (SELECT a AS id, least(a, b) AS label FROM e UNION SELECT e.b, r.label FROM r JOIN e ON r.id = e.a WHERE r.label < e.b)
+SELECT a AS doc_id, (SELECT min(label) FROM r WHERE r.id = e.a) AS class_id, count(*) AS links FROM e GROUP BY a""",
     "op7_line_dedup": line_dedup.SQL,
 }

@@ -2,10 +2,10 @@
 
 import collections
 import random
-import re
 
 import numpy as np
 import pytest
+import regex
 
 from inkwell.llm import exact_dedup, jaccard, queries, suffix_array
 from inkwell.llm import line_dedup as L
@@ -50,7 +50,7 @@ def test_line_dedup_positions(spark):
 def gram_sets(texts, n):
     out = {}
     for i, t in texts.items():
-        w = re.findall(rb"[0-9A-Za-z\x80-\xff]+", t.lower().encode())
+        w = regex.findall(r"[\p{L}\p{M}\p{N}]+", t.lower())
         if w:
             k = min(n, len(w))
             out[i] = frozenset(tuple(w[j : j + k]) for j in range(len(w) - k + 1))
@@ -90,20 +90,80 @@ def test_jaccard_in_large_regions(spark):
     assert found == pytest.approx(brute_pairs(texts, jaccard.N, jaccard.THRESHOLD))
 
 
+def brute_groups(texts, n, t):
+    """Of each document that matches any other: the least it is connected to, and how many it matches."""
+    sets = gram_sets(texts, n)
+    near = {i: [j for j in sets if j != i and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= t] for i in sets}
+    label = {i: i for i in sets}
+    while (new := {i: min([label[i], *(label[j] for j in near[i])]) for i in sets}) != label:
+        label = new
+    return {(i, label[i], len(near[i])) for i in sets if near[i]}
+
+
+def clusters(count, size, step):
+    """Groups of near copies, many of them alike, and hot n-grams that all share."""
+    rng = random.Random(4)
+    texts, hot = {}, [f"h{i}" for i in range(6)]
+    for g in range(count):
+        base = [f"g{g}w{rng.randint(0, 40)}" for _ in range(30)]
+        for k in range(size):
+            texts[1000 * g + k] = " ".join(hot + [rng.choice(base) if rng.random() < step * (k % 4) else w for w in base])
+    return texts
+
+
+def test_groups_of_clusters(spark):
+    texts = clusters(3, 90, 0.1)
+    found = jaccard.similar_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert {tuple(r) for r in found.collect()} == brute_groups(texts, jaccard.N, jaccard.THRESHOLD)
+
+
+def test_groups_in_blocks(spark, monkeypatch):
+    """A region over REGION_BYTES is cut into a grid."""
+    monkeypatch.setattr(jaccard, "REGION_BYTES", 4000)
+    texts = clusters(2, 60, 0.1)
+    found = jaccard.similar_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert {tuple(r) for r in found.collect()} == brute_groups(texts, jaccard.N, jaccard.THRESHOLD)
+
+
+def test_op6_sql(spark, sf, duck, same):
+    same(queries.QUERIES["op6_jaccard_join"](spark, sf).toArrow(), duck.sql(queries.SQL["op6_jaccard_join"]).to_arrow_table())
+
+
+def test_repeated_ids_of_unlike_texts(spark):
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    docs = spark.createDataFrame([(1, a), (1, b), (1, a), (2, a), (3, b + " more")], "doc_id long, text string")
+    assert sorted(tuple(r) for r in jaccard.similar_groups(docs).collect()) == [(1, 1, 2), (2, 1, 2), (3, 1, 1)]
+
+
+def test_regions_split_at_this_scale(spark):
+    """A region of a few clusters is parted by pivots, without a smaller LEAF, and windows leave documents out."""
+    rng = np.random.default_rng(5)
+    grams = []
+    for _ in range(6):
+        base = rng.integers(0, 2**60, 60).astype(np.uint64)
+        grams += [np.unique(np.concatenate([base[rng.random(60) > 0.15], rng.integers(0, 2**60, 3).astype(np.uint64)])) for _ in range(30)]
+    region = jaccard.Region(grams, np.array([len(g) for g in grams]), 0.5)
+    compared, real = [], jaccard.Region.compared
+    region.compared = lambda a, b, within: compared.append(len(a) * len(b) // (1 + within)) or real(region, a, b, within)
+    found = {(min(i, j), max(i, j)) for a, b, _ in region.pairs(np.arange(len(grams))) for i, j in zip(a.tolist(), b.tolist())}
+    assert found == {(i, j) for i in range(180) for j in range(i + 1, 180) if len(set(grams[i]) & set(grams[j])) / len(set(grams[i]) | set(grams[j])) >= 0.5}
+    assert region.splits > 1 and sum(compared) < 0.5 * 180 * 179 / 2
+
+
 @pytest.mark.parametrize("cross", [False, True])
-def test_metric_pairs_recursion(monkeypatch, cross):
-    monkeypatch.setattr(jaccard, "LEAF", 8)
+def test_metric_pairs(cross):
     rng = np.random.default_rng(3)
-    grams = [np.unique(rng.integers(0, 60 if k % 3 else 25, rng.integers(3, 30))).astype(np.uint64) for k in range(90)]
-    size, side = np.array([len(g) for g in grams]), rng.integers(0, 2, 90)
-    i, j, v = jaccard.metric_pairs(grams, size, 0.5, side if cross else None)
+    grams = [np.unique(rng.integers(0, 60 if k % 3 else 25, rng.integers(3, 30))).astype(np.uint64) for k in range(190)]
+    region, every, side = jaccard.Region(grams, np.array([len(g) for g in grams]), 0.5), np.arange(190), rng.integers(0, 2, 190)
+    found = list(region.pairs(every[side == 0], every[side == 1]) if cross else region.pairs(every))
+    rows = [(min(i, j), max(i, j), v) for a, b, x in found for i, j, v in zip(a.tolist(), b.tolist(), x)]
     expected = {}
-    for a in range(90):
-        for b in range(a + 1, 90):
+    for a in range(190):
+        for b in range(a + 1, 190):
             x, y = set(grams[a].tolist()), set(grams[b].tolist())
             if len(x & y) / len(x | y) >= 0.5 and not (cross and side[a] == side[b]):
                 expected[a, b] = len(x & y) / len(x | y)
-    assert dict(zip(zip(i.tolist(), j.tolist()), v)) == pytest.approx(expected)
+    assert len(rows) == len(expected) and {r[:2]: r[2] for r in rows} == pytest.approx(expected)
 
 
 def test_components(spark):

@@ -37,6 +37,7 @@ def operators(labels, items):
         "leaks": lambda d: decontaminate.leaks(d, items),
         "decontaminate": lambda d: decontaminate.decontaminate(d, items),
         "jaccard": lambda d: jaccard.similar_pairs(d),
+        "groups": lambda d: jaccard.similar_groups(d),
         "keep_one": lambda d: jaccard.keep_one(d),
         "line_dedup": lambda d: line_dedup.line_dedup(d, 1),
         "resample": lambda d: quality.resample(d, labels),
@@ -62,6 +63,7 @@ def test_defined_results(odd, labels, items):
     assert clean.columns == odd.columns and {3, 4, 5, 10, None} <= set(ids(clean)) and not {1, 2} & set(ids(clean))
     pairs = {tuple(r) for r in ops["jaccard"](odd).select("doc_id_a", "doc_id_b").collect()}
     assert pairs == {(1, 2), (6, 7)}
+    assert {tuple(r) for r in ops["groups"](odd).collect()} == {(1, 1, 1), (2, 1, 1), (6, 6, 1), (7, 6, 1)}
     kept = ops["keep_one"](odd)
     assert kept.columns == odd.columns and ids(kept) == [1, 3, 4, 5, 6, 8, 9, 10, 11, None, None]
     lines = ops["line_dedup"](odd)
