@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .kernel import _BASE, BYTE_CODE, chunks, flat, list_array, mix, powers, ragged
+from .kernel import BYTE_CODE, _BASE, chunks, flat, list_array, mapped, mix, powers, ragged
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 LONG = 256
@@ -325,7 +325,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, key: str = "doc_id", text: s
             T.StructField("round_trip", T.BooleanType()),
         ]
     )
-    return docs.select(docs[key].alias("id"), docs[text].alias("text")).mapInArrow(run, schema).withColumnRenamed("id", key)
+    return docs.select(docs[key].alias("id"), docs[text].alias("text")).transform(mapped, run, schema).withColumnRenamed("id", key)
 
 
 def decode(tokens: DataFrame, path: str = VOCABULARY, key: str = "doc_id", ids: str = "token_ids") -> DataFrame:
@@ -347,4 +347,4 @@ def decode(tokens: DataFrame, path: str = VOCABULARY, key: str = "doc_id", ids:
             yield pa.RecordBatch.from_arrays([batch.column("id"), text], names=["id", "text"])
 
     schema = T.StructType([T.StructField("id", tokens.schema[key].dataType), T.StructField("text", T.StringType())])
-    return tokens.select(tokens[key].alias("id"), tokens[ids].alias("ids")).mapInArrow(run, schema).withColumnRenamed("id", key)
+    return tokens.select(tokens[key].alias("id"), tokens[ids].alias("ids")).transform(mapped, run, schema).withColumnRenamed("id", key)

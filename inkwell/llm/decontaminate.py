@@ -13,25 +13,29 @@ its answer, the last sentence (or the last third of the words).
 
 Test sets don't grow with the corpus, but their size is checked: an index of
 more than segment_items items is cut into segments, broadcast apart, which
-workers go through one after another.  The corpus itself isn't shuffled.
+workers go through one after another, for a batch of texts each; what is counted
+over items (frequencies, mean and greatest length) is that of all of them, so
+segments change no score.  The corpus itself isn't shuffled.
 
 Defined results: null or empty texts and items match nothing.  Rows with a null
-doc_id are reported with a null.  Repeated items are matched apart and reported
+doc_id are reported with a null, and cleaned like others.  Repeated items are matched apart and reported
 once per item_id, repeated documents once per row.  Equal scores are all
-reported.  Items and texts of any length are read whole.
+reported.  Items and texts of any length are read whole.  Empty tables give no
+leaks, and other columns may have any name.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernel import Words, chunks, ragged, without, window_hash
+from .kernel import Words, chunks, filtered, mapped, ragged, window_hash
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5
@@ -86,13 +90,25 @@ def among(key: np.ndarray, keys: np.ndarray, size: int) -> np.ndarray:
     return keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] == key
 
 
+class Counts:
+    """What is counted over all items: documents of each term, their number, mean and greatest length."""
+
+    def __init__(self, texts: list[str]):
+        words = Words(pa.array(texts, pa.large_string()))
+        full = words.counts > 0
+        self.n, self.longest = int(full.sum()), int(words.counts.max(initial=0))
+        self.mean = float(words.counts[full].mean()) if self.n else 0.0
+        self.terms, code = np.unique(words.hash, return_inverse=True)
+        self.df = np.bincount(np.unique(code * max(1, len(texts)) + words.doc) // max(1, len(texts)), minlength=len(self.terms))
+
+
 class Index:
-    def __init__(self, ids: list, texts: list[str]):
-        sizes = [len(Words(pa.array([t])).start) for t in texts]
+    def __init__(self, ids: list, texts: list[str], counts: Counts):
+        sizes = Words(pa.array(texts, pa.large_string())).counts
         order = [i for i in np.argsort(sizes, kind="stable") if sizes[i]]
         self.ids, texts = [ids[i] for i in order], [texts[i] for i in order]
         self.n = n = len(texts)
-        self.longest = max(sizes, default=0)
+        self.longest = counts.longest
         if not n:
             return
         words = Words(pa.array(texts))
@@ -100,9 +116,9 @@ class Index:
         key, tf = np.unique(code * n + words.doc, return_counts=True)
         term, item = key // n, key % n
         length = words.counts
-        df = np.bincount(term)
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item] / length.mean()))
+        df = counts.df[np.searchsorted(counts.terms, self.terms)]
+        idf = np.log(1 + (counts.n - df + 0.5) / (df + 0.5))
+        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item] / counts.mean))
         impact /= np.bincount(item, impact, minlength=n)[item]
         self.item, self.impact = item, impact
         self.at = np.searchsorted(term, np.arange(len(self.terms) + 1))
@@ -188,28 +204,43 @@ class Index:
         return out
 
 
+def searcher(docs: DataFrame, items: DataFrame, threshold: float, overlap: float, item_key: str, item_text: str, segment_items: int) -> Callable[[pa.Array], Iterator[tuple[int, dict]]]:
+    """A function that gives, for a column of texts, ranges of rows by their first, and {(row in the range, item): best match} of each."""
+    rows = items.where(items[item_text].isNotNull()).select(items[item_key].alias("i"), items[item_text].alias("t")).collect()
+    counts = Counts([r[1] for r in rows])
+    cuts = [rows[k : k + segment_items] for k in range(0, max(1, len(rows)), segment_items)]
+    held = [docs.sparkSession.sparkContext.broadcast(Index([r[0] for r in cut], [r[1] for r in cut], counts)) for cut in cuts]
+
+    def search(texts: pa.Array) -> Iterator[tuple[int, dict]]:
+        pieces = [p.column(0) for p in chunks(pa.RecordBatch.from_arrays([texts], names=["text"]))]
+        found: list[dict] = [{} for _ in pieces]
+        for segment in held:
+            index = segment.value
+            for piece, best in zip(pieces, found):
+                for (d, i), match in index.matches(piece, threshold, overlap).items() if index.n else ():
+                    at = (d, index.ids[i])
+                    best[at] = max(best.get(at, match), match)
+            if len(held) > 1:
+                del segment._value  # the next segment takes its place in memory
+        first = 0
+        for piece, best in zip(pieces, found):
+            yield first, best
+            first += len(piece)
+
+    return search
+
+
 def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", segment_items: int = SEGMENT_ITEMS) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap) of each test item found in a document."""
-    spark = docs.sparkSession
-    rows = items.where(items[item_text].isNotNull()).select(items[item_key].alias("i"), items[item_text].alias("t")).collect()
-    held = [spark.sparkContext.broadcast(Index([r[0] for r in rows[k : k + segment_items]], [r[1] for r in rows[k : k + segment_items]])) for k in range(0, max(1, len(rows)), segment_items)]
+    search = searcher(docs, items, threshold, overlap, item_key, item_text, segment_items)
     item_type = items.schema[item_key].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch):
-                docs_, found = [], {}
-                for segment in held:
-                    index = segment.value
-                    if index.n:
-                        for (d, i), best in index.matches(part.column("text"), threshold, overlap).items():
-                            at = (d, index.ids[i])
-                            found[at] = max(found.get(at, best), best)
-                    if len(held) > 1:
-                        del segment._value  # the next segment takes its place in memory
-                docs_ = [d for d, _ in found]
+            for first, found in search(batch.column("text")):
+                rows_ = pa.array([first + d for d, _ in found], pa.int64())
                 columns = [pa.array([i for _, i in found]), *(pa.array([b[k] for b in found.values()], pa.float64()) for k in range(3))]
-                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(docs_, pa.int64())), columns[0].cast(schema_types[1]), *columns[1:]], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(rows_), columns[0].cast(schema_types[1]), *columns[1:]], names=names)
 
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -217,9 +248,21 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overl
     schema = T.StructType([T.StructField("id", docs.schema[key].dataType), T.StructField("item", item_type), *(T.StructField(n, T.DoubleType()) for n in names[2:])])
     schema_types = [to_arrow_type(f.dataType) for f in schema]
     rows = docs.where(docs[text].isNotNull()).select(docs[key].alias("id"), docs[text].alias("text"))
-    return rows.mapInArrow(run, schema).withColumnsRenamed({"id": "doc_id", "item": "item_id"})
+    return rows.transform(mapped, run, schema).withColumnsRenamed({"id": "doc_id", "item": "item_id"})
+
 
+def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, text: str = "text", item_key: str = "item_id", item_text: str = "text", segment_items: int = SEGMENT_ITEMS) -> DataFrame:
+    """The rows of docs in which no test item is found, with their columns, in one pass and whatever their doc_id.
+
+    Null and empty texts stay, repeated rows stay or go together.
+    """
+    search = searcher(docs, items, threshold, overlap, item_key, item_text, segment_items)
+    at = docs.columns.index(docs.select(docs[text]).columns[0])
+
+    def clean(batch: pa.RecordBatch, _) -> np.ndarray:
+        out = np.ones(batch.num_rows, bool)
+        for first, found in search(batch.column(at)):
+            out[[first + d for d, _ in found]] = False
+        return out
 
-def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **more) -> DataFrame:
-    """The rows of docs in which no test item is found."""
-    return without(docs, leaks(docs, items, key=key, text=text, **more).select("doc_id").where("doc_id is not null"), key)
+    return filtered(docs, F.lit(0), clean)

@@ -10,19 +10,26 @@ among themselves, and their least doc_id wins.
 
 Only digests and ids are shuffled, never texts.  Copies of one text are first
 combined before the shuffle, so thousands of copies cost one row a partition.
-Shards are sized by the number of rows, so one shard fits in a task at any scale.
+Shards are sized by the number of rows, of the documents or of the index, so one
+shard fits in a task at any scale; the index holds their number.
+
+Without documents from before, the index is of the first half of the ids: the
+rest is looked up there, and so are the copies within the half.
 
 Defined results: a null text or null doc_id is never a repeat, and its row is
 kept.  An empty text is a text.  Rows that repeat both doc_id and text are one
-document: one row stays.  Rows of one doc_id with other texts are judged apart.
+document: one row stays, of rows that differ in other columns the one whose JSON
+has the least hash.  Rows of one doc_id with other texts are judged apart.
 Ties go to the least doc_id, but a digest of the index keeps its old winner.
+Texts of any length are read whole; doc_id must be a whole number.  An empty
+table gives none, and other columns may have any name.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kernel import fresh, mix, parted, slots, written
@@ -81,12 +88,19 @@ def _shard(digest, shards: int):
     return F.pmod(F.xxhash64(digest), F.lit(shards)).cast("int").alias("shard")
 
 
-def shards_for(docs: DataFrame) -> int:
-    return max(slots(docs.sparkSession), -(-docs.count() // SHARD_ROWS))
+def shards_for(*tables: DataFrame) -> int:
+    return max(slots(tables[0].sparkSession), *(-(-t.count() // SHARD_ROWS) for t in tables))
+
+
+def first_half(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows in the lower half of the range of ids."""
+    low, high = docs.agg(F.min(docs[key].cast("long")), F.max(docs[key].cast("long"))).first()
+    return docs.where(docs[key].cast("long") <= F.lit(((low or 0) + (high or 0)) // 2))
 
 
-def build_index(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The index of these documents: (shard, sizes, bits, digests, locators), binary but the first."""
+def build_index(docs: DataFrame, shards: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The index of these documents, in the shared folder: (shard, shards, sizes, bits, digests, locators), binary but the first two."""
+    shards = shards or shards_for(docs)
 
     def build(rows: pa.Table) -> pa.Table:
         words = _words(rows.column("digest"))
@@ -95,10 +109,11 @@ def build_index(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "
         digests[slot], locators[slot] = words, rows.column("winner").to_numpy()
         sizes = np.array([len(b) for b in levels], np.int64)
         bits = np.packbits(np.concatenate(levels))
-        return pa.table({"shard": pa.array([rows.column("shard")[0].as_py()], pa.int32()), **{n: pa.array([a.tobytes()], pa.binary()) for n, a in (("sizes", sizes), ("bits", bits), ("digests", digests), ("locators", locators))}})
+        return pa.table({"shard": pa.array([rows.column("shard")[0].as_py()], pa.int32()), "shards": pa.array([shards], pa.int32()), **{n: pa.array([a.tobytes()], pa.binary()) for n, a in (("sizes", sizes), ("bits", bits), ("digests", digests), ("locators", locators))}})
 
     found = _digests(docs, key, text).groupBy("digest").agg(F.min("id").alias("winner"))
-    return found.withColumn("shard", _shard("digest", shards)).groupBy("shard").applyInArrow(build, "shard int, sizes binary, bits binary, digests binary, locators binary")
+    built = found.withColumn("shard", _shard("digest", shards)).groupBy("shard").applyInArrow(build, "shard int, shards int, sizes binary, bits binary, digests binary, locators binary")
+    return written(docs.sparkSession, built, "exact-index")
 
 
 def _probe(rows: pa.Table, index: pa.Table) -> pa.Table:
@@ -120,9 +135,10 @@ def _probe(rows: pa.Table, index: pa.Table) -> pa.Table:
     return pa.table({"digest": rows.column("digest").combine_chunks(), "winner": winner, "member": member, "n": rows.column("n").combine_chunks(), "again": rows.column("again").combine_chunks()})
 
 
-def winners(docs: DataFrame, index: DataFrame, shards: int, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+def winners(docs: DataFrame, index: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(id, digest) of all documents, and (digest, winner, member, n, again) of the distinct digests."""
     rows = _digests(docs, key, text)
+    shards = (index.select("shards").first() or [slots(docs.sparkSession)])[0]
     each = rows.groupBy("id", "digest").agg(F.count(F.lit(1)).alias("rows"))
     groups = each.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"), F.max("rows").alias("again"))
     groups = groups.withColumn("shard", _shard("digest", shards))
@@ -130,9 +146,9 @@ def winners(docs: DataFrame, index: DataFrame, shards: int, key: str = "doc_id",
     return rows, found
 
 
-def repeats(docs: DataFrame, index: DataFrame, shards: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+def repeats(docs: DataFrame, index: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, winner_id) of each document to remove."""
-    rows, found = winners(docs, index, shards, key, text)
+    rows, found = winners(docs, index, key, text)
     found = found.where("n > 1 or member").select("digest", "winner")
     pairs = rows.join(found, "digest").where("id <> winner").select("id", "winner").distinct()
     return pairs.toDF("doc_id", "winner_id")
@@ -140,9 +156,9 @@ def repeats(docs: DataFrame, index: DataFrame, shards: int, key: str = "doc_id",
 
 def dedup(docs: DataFrame, history: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that repeat neither a document of history nor one another; the columns of docs."""
-    spark, shards = docs.sparkSession, shards_for(docs)
-    index = build_index(docs.limit(0) if history is None else history, shards, key, text)
-    rows, found = winners(docs, index, shards, key, text)
+    spark = docs.sparkSession
+    history = first_half(docs, key) if history is None else history
+    rows, found = winners(docs, build_index(history, shards_for(docs, history), key, text), key, text)
     odd = found.where("n > 1 or member or again > 1").select("digest", "winner", "again")
     told = written(spark, rows.join(odd, "digest").distinct(), "exact-dedup")
     gone_id, gone_digest = fresh(docs, "gone_id", "gone_digest")
@@ -156,5 +172,7 @@ def dedup(docs: DataFrame, history: DataFrame | None = None, key: str = "doc_id"
     (name,) = fresh(kept, "again_id")
     again = again.toDF(name)
     once = kept.join(again, kept[key].cast("long") == again[name], "left_anti")
-    twice = kept.join(again, kept[key].cast("long") == again[name], "left_semi").dropDuplicates([key, text])
-    return once.union(twice)
+    twice = kept.join(again, kept[key].cast("long") == again[name], "left_semi")
+    place, columns = fresh(twice, "place")[0], twice.columns
+    by = Window.partitionBy(key, text).orderBy(F.xxhash64(F.to_json(F.struct(*columns))))
+    return once.union(twice.withColumn(place, F.row_number().over(by)).where(F.col(place) == 1).select(*columns))

@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import CHUNK_BYTES, Words, chunks, forget, mix, parted, ragged, slots, trim, window_hash, without, written
+from .kernel import CHUNK_BYTES, Words, chunks, forget, mapped, mix, parted, ragged, slots, trim, window_hash, without, written
 
 N = 3
 THRESHOLD = 0.5
@@ -245,7 +245,6 @@ def peeled(rows: DataFrame, n: int, t: float, bits: int) -> DataFrame:
                     count = 0
         if held:
             yield flush()
-        trim()
 
     def meet(part: pa.Table) -> pa.Table:
         out, rests, owners, runs = [], [], [], []
@@ -278,7 +277,7 @@ def peeled(rows: DataFrame, n: int, t: float, bits: int) -> DataFrame:
         keep = total >= least_common(size, t)
         return pa.table({"id": ids[keep], "size": size[keep], "sig_a": a[keep], "sig_b": b[keep]})
 
-    return rows.mapInArrow(send, SENT).groupBy("slice").applyInArrow(meet, TOLD).groupBy("run").applyInArrow(add, SETS)
+    return rows.transform(mapped, send, SENT).groupBy("slice").applyInArrow(meet, TOLD).groupBy("run").applyInArrow(add, SETS)
 
 
 # -- 2: sets, in runs of many documents, and questions about all their n-grams
@@ -319,9 +318,8 @@ def gathered(rows: DataFrame, n: int) -> DataFrame:
                     count = 0
         if held:
             yield flush()
-        trim()
 
-    return rows.mapInArrow(run, RUNS)
+    return rows.transform(mapped, run, RUNS)
 
 
 def asked(runs: DataFrame, bits: int, question: Callable, answer: Callable, then: Callable, schema: str) -> DataFrame:
@@ -340,7 +338,6 @@ def asked(runs: DataFrame, bits: int, question: Callable, answer: Callable, then
                 rest, edges = rest_of(h, bits), slice_edges(h, bits)
                 out = [(k, run.as_py(), dump(rest[x:y], *(a[x:y] for a in arrays))) for k, (x, y) in enumerate(zip(edges, edges[1:])) if y > x]
                 yield batch("slice int, run long, raw binary", list(zip(*out)) or [[], [], []])
-        trim()
 
     def meet(part: pa.Table) -> pa.Table:
         told = [parse(r.as_py()) for r in part.column("raw")]
@@ -356,7 +353,7 @@ def asked(runs: DataFrame, bits: int, question: Callable, answer: Callable, then
         told = [parse(r.as_py())[0] for r in answers.sort_by("slice").column("raw")]
         return then(run.column("run")[0].as_py(), parse(run.column("docs")[0].as_py()), parse(run.column("grams")[0].as_py())[0], np.concatenate(told) if told else None)
 
-    answers = runs.mapInArrow(send, "slice int, run long, raw binary").groupBy("slice").applyInArrow(meet, "run long, slice int, raw binary")
+    answers = runs.transform(mapped, send, "slice int, run long, raw binary").groupBy("slice").applyInArrow(meet, "run long, slice int, raw binary")
     return runs.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(put, schema)
 
 
@@ -615,7 +612,6 @@ def joined_regions(runs: DataFrame, members: DataFrame, t: float, pairs: bool) -
                 ends = np.cumsum(held)
                 raw = [g[e - k : e].tobytes() for e, k in zip(ends, held)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, size, weight, a)] + [pa.array(raw, pa.binary())], names=["id", "size", "weight", "sig", "grams"])
-        trim()
 
     def compare(part: pa.Table) -> pa.Table:
         names = ("region", "i", "j", "part", "id", "sig", "size", "weight")
@@ -648,7 +644,7 @@ def joined_regions(runs: DataFrame, members: DataFrame, t: float, pairs: bool) -
         columns = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, k) for k in kinds]
         return pa.table(dict(zip((x.split()[0] for x in (PAIRS if pairs else LINKS).split(", ")), columns)))
 
-    docs = runs.mapInArrow(unpack, "id long, size long, weight long, sig long, grams binary")
+    docs = runs.transform(mapped, unpack, "id long, size long, weight long, sig long, grams binary")
     sent = docs.join(at, docs["id"] == at["member"]).withColumn("home", F.explode("homes"))
     earlier = F.array_distinct(F.transform(F.filter("homes", lambda x: x["region"] < F.col("home")["region"]), lambda x: x["region"]))
     sent = sent.select(F.pmod(F.xxhash64("home.region", "home.i", "home.j"), F.lit(count)).cast("int").alias("slice"), "home.*", "id", "sig", "size", "weight", earlier.alias("earlier"), "grams")

@@ -252,6 +252,22 @@ def parted(docs: DataFrame, of_docs: Column, keys: DataFrame, bits_each: int = 1
     return filtered(docs, of_docs, lambda batch, h: ~may_hold(h)), filtered(docs, of_docs, lambda batch, h: may_hold(h))
 
 
+BATCH_BYTES = 8 << 20
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow(run, schema) that leaves workers small: batches of bounded bytes, unless the session sets a bound, and freed memory given back."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(name, "67108864b") == "67108864b":
+        df.sparkSession.conf.set(name, BATCH_BYTES)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trim()
+
+    return df.mapInArrow(whole, schema)
+
+
 def filtered(docs: DataFrame, extra: Column, test: Callable[[pa.RecordBatch, pa.Array], np.ndarray]) -> DataFrame:
     """The rows of docs that test holds of, given a batch and the values of one more column.
 
@@ -265,7 +281,7 @@ def filtered(docs: DataFrame, extra: Column, test: Callable[[pa.RecordBatch, pa.
             rows = pa.RecordBatch.from_arrays(batch.columns[:at], names=batch.schema.names[:at])
             yield rows.filter(pa.array(test(rows, batch.column(at))))
 
-    return docs.withColumn(name, extra).mapInArrow(run, docs.schema)
+    return docs.withColumn(name, extra).transform(mapped, run, docs.schema)
 
 
 def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -12,7 +12,9 @@ leading bits of the hash; each slice is merged by one task, which also builds
 its part of the filter.  Nothing but the filter reaches the driver.  It grows
 with the number of distinct n-grams, those seen once included, and its size is
 checked: it is broadcast in segments of at most segment_bytes, which the
-workers probe one after another, so a worker holds one segment at a time.
+workers probe one after another, so a worker holds one segment at a time, and
+asks it for the n-grams of a whole batch of texts.  Slices are as many as the
+text needs, so that a task merges about the same at any size.
 
 Defined results: a null text has null scores, a text without words has zero
 words, log probability 0 and perplexity null.  Repeated rows count and score
@@ -27,9 +29,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernel import Words, chunks, mix, slots
+from .kernel import Words, chunks, mapped, mix, slots
 
 PROBES = 6
 BITS = PROBES / np.log(2)
@@ -38,6 +41,7 @@ MIN_COUNT = 1
 WEIGHT = 0.7
 RUN = 2_000_000
 SEGMENT_BYTES = 256 << 20
+SLICE_BYTES = 8 << 20
 PAIR = np.uint64(0xA5A5A5A5DEADBEEF)
 
 
@@ -110,14 +114,16 @@ class Segment:
         return out
 
 
-def slice_bits(spark) -> int:
-    return int(np.ceil(np.log2(max(64, 4 * slots(spark)))))
+def slice_bits(rows: DataFrame) -> int:
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return int(np.ceil(np.log2(max(64, 4 * slots(rows.sparkSession), -(-size // SLICE_BYTES)))))
 
 
 def train(docs: DataFrame, text: str = "text", min_count: int = MIN_COUNT, segment_bytes: int = SEGMENT_BYTES) -> dict:
     """The model: broadcast segments of the filter, tokens and types of the corpus."""
     spark = docs.sparkSession
-    bits = slice_bits(spark)
+    rows = docs.where(docs[text].isNotNull()).select(docs[text].alias("text"))
+    bits = slice_bits(rows)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = [[], []]
@@ -164,8 +170,7 @@ def train(docs: DataFrame, text: str = "text", min_count: int = MIN_COUNT, segme
         raw = np.packbits(filled, bitorder="little").tobytes()
         return pa.table({"slice": rows.column("slice").slice(0, 1).combine_chunks(), "size": pa.array([size], pa.int64()), "tokens": pa.array([tokens], pa.int64()), "types": pa.array([types], pa.int64()), "bits": pa.array([raw], pa.binary())})
 
-    rows = docs.where(docs[text].isNotNull()).select(docs[text].alias("text"))
-    parts = rows.mapInArrow(gather, "slice int, order int, run binary").groupBy("slice").applyInArrow(build, "slice int, size long, tokens long, types long, bits binary")
+    parts = rows.transform(mapped, gather, "slice int, order int, run binary").groupBy("slice").applyInArrow(build, "slice int, size long, tokens long, types long, bits binary")
     from .kernel import written
 
     parts = written(spark, parts, "lm-filter")
@@ -196,20 +201,24 @@ def levels_of(model: dict, h: np.ndarray) -> np.ndarray:
     return out
 
 
-def text_scores(column: pa.Array, model: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Words and log probability of each text."""
-    words = Words(column)
-    one, two, at = hashes(words)
-    counts = []
-    for h in (one, two):
-        code, distinct = pd.factorize(h)
-        counts.append(middle(levels_of(model, distinct))[code])
-    single = (counts[0] + 0.5) / (model["tokens"] + 0.5 * (model["types"] + 1))
-    p = single.copy()
-    before = counts[0][at]
-    p[at + 1] = WEIGHT * np.minimum(counts[1] / np.maximum(before, 1), 1.0) + (1 - WEIGHT) * single[at + 1]
-    total = np.concatenate([[0.0], np.cumsum(np.log(p))])
-    return words.counts, total[words.first[1:]] - total[words.first[:-1]]
+def text_scores(columns: list[pa.Array], model: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Words and log probability of each text of each column; the filter is asked once for all of them."""
+    held, asked = [], []
+    for column in columns:
+        words = Words(column)
+        one, two, at = hashes(words)
+        (code_one, distinct_one), (code_two, distinct_two) = pd.factorize(one), pd.factorize(two)
+        held.append((words.counts, words.first, at, code_one, code_two))
+        asked += [distinct_one, distinct_two]
+    ends = np.cumsum([0, *map(len, asked)])
+    read = middle(levels_of(model, np.concatenate(asked))) if asked else np.zeros(0)
+    for k, (counts, first, at, code_one, code_two) in enumerate(held):
+        of_one, of_two = read[ends[2 * k] :][code_one], read[ends[2 * k + 1] :][code_two]
+        single = (of_one + 0.5) / (model["tokens"] + 0.5 * (model["types"] + 1))
+        p = single.copy()
+        p[at + 1] = WEIGHT * np.minimum(of_two / np.maximum(of_one[at], 1), 1.0) + (1 - WEIGHT) * single[at + 1]
+        total = np.concatenate([[0.0], np.cumsum(np.log(p))])
+        yield counts, total[first[1:]] - total[first[:-1]]
 
 
 def score(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -217,9 +226,11 @@ def score(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch):
+            parts = list(chunks(batch))
+            together = len(parts) if len(model["segments"]) > 1 else 1
+            scored = (x for k in range(0, len(parts), together) for x in text_scores([p.column("text") for p in parts[k : k + together]], model))
+            for part, (n, log_prob) in zip(parts, scored):
                 column = part.column("text")
-                n, log_prob = text_scores(column, model)
                 null = np.asarray(column.is_null())
                 with np.errstate(invalid="ignore", divide="ignore"):
                     perplexity = np.exp(-log_prob / n)
@@ -227,4 +238,4 @@ def score(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text")
                 yield pa.RecordBatch.from_arrays([part.column("id"), *columns], names=["id", "n_words", "log_prob", "perplexity"])
 
     schema = T.StructType([T.StructField("id", docs.schema[key].dataType), T.StructField("n_words", T.IntegerType()), T.StructField("log_prob", T.DoubleType()), T.StructField("perplexity", T.DoubleType())])
-    return docs.select(docs[key].alias("id"), docs[text].alias("text")).mapInArrow(run, schema).withColumnRenamed("id", key)
+    return docs.select(docs[key].alias("id"), docs[text].alias("text")).transform(mapped, run, schema).withColumnRenamed("id", key)

@@ -10,7 +10,9 @@ counterexamples are those that certainly aren't (short counts, decimals,
 version numbers, dates).  A candidate has lexical patterns: its shape, its
 shape after the word to the left, its shape before the word to the right, and
 with these words also its shape without separators, as the same identifier is
-grouped in many ways.
+grouped in many ways, and the two words to the left and the one to the right
+whatever its shape, as identifiers come in shapes that no seed has.  Words are
+looked for within REACH characters.
 
 Patterns and instances form a graph that Spark scores in rounds, until no instance changes its kind.  A pattern's
 confidence in a kind is the weight of that kind's instances, over that and the
@@ -38,9 +40,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernel import written
+from .kernel import mapped, written
 
 MIN_CONFIDENCE = 0.6
+REACH = 40
 SMOOTHING = 1.0
 LIKELY = r"[0-9]|@"
 CANDIDATE = re.compile(
@@ -122,12 +125,12 @@ def spans(text: str) -> list[tuple[int, int, str | None]]:
 
 
 def candidates(text: str) -> list[tuple[int, int, str, str, str, str | None]]:
-    """(start, end, string, left word, right word, run around it) of each candidate of a text."""
+    """(start, end, string, one or two words to the left, right word, run around it) of each candidate of a text."""
     out = []
     for start, end, run in spans(text):
-        left = [w.lower() for w in WORD.findall(text[max(0, start - 40) : start])]
-        right = WORD.search(text, end, end + 40)
-        out.append((start, end, text[start:end], left[-1] if left else "^", right[0].lower() if right else "$", run))
+        left = [w.lower() for w in WORD.findall(text[max(0, start - REACH) : start])]
+        right = WORD.search(text, end, end + REACH)
+        out.append((start, end, text[start:end], " ".join(left[-2:]) or "^", right[0].lower() if right else "$", run))
     return out
 
 
@@ -143,8 +146,8 @@ def occurrences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
             rows = []
             for i, t in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
                 for start, end, s, left, right, around in candidates(t):
-                    form, loose = shape(s), squeezed(s)
-                    rows.append((i, start, end, fingerprint(s), form, certain(s), [form, f"{left} {form}", f"{form} {right}", f"{left} ~{loose}", f"~{loose} {right}"], around and fingerprint(around)))
+                    form, loose, both, left = shape(s), squeezed(s), left, left.rpartition(" ")[2]
+                    rows.append((i, start, end, fingerprint(s), form, certain(s), [form, f"{left} {form}", f"{form} {right}", f"{left} ~{loose}", f"~{loose} {right}", *([f"{both} * {right}"] if " " in both and right != "$" else [])], around and fingerprint(around)))
             columns = [*zip(*rows)] or [[]] * 8
             types = [batch.column("id").type, pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["id", "start", "end", "instance", "shape", "seed", "patterns", "run"])
@@ -152,7 +155,7 @@ def occurrences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     schema = T.StructType([T.StructField("id", docs.schema[key].dataType)])
     for name, kind in (("start", T.IntegerType()), ("end", T.IntegerType()), ("instance", T.StringType()), ("shape", T.StringType()), ("seed", T.StringType()), ("patterns", T.ArrayType(T.StringType())), ("run", T.StringType())):
         schema.add(name, kind)
-    return docs.where(docs[text].rlike(LIKELY)).select(docs[key].alias("id"), docs[text].alias("text")).mapInArrow(run, schema)
+    return docs.where(docs[text].rlike(LIKELY)).select(docs[key].alias("id"), docs[text].alias("text")).transform(mapped, run, schema)
 
 
 def score(found: DataFrame, rounds: int | None = None, least: float = MIN_CONFIDENCE) -> DataFrame:

@@ -3,8 +3,8 @@
 Two generative models over hashed n-grams (words, word pairs and word stems,
 the first bytes of words): one of the target, the documents labelled good and
 not toxic, one of all raw text.  A passage of PASSAGE tokens has as weight the
-ratio of the two models' probabilities, and a document that of its worst
-passage, so a few bad words aren't drowned in a long text.  A second weight
+ratio of the two models' probabilities, and a document that of the worst passage
+that begins at any of its tokens, so a few bad words aren't drowned in a long text.  A second weight
 looks at the whole document: the ratios of its telling stems, those under
 TELLING, added up and divided by the root of its length, so a stem that good
 text has now and then counts when it keeps coming back.  Each is divided by the
@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernel import Words, chunks, filtered, mix, written
+from .kernel import Words, chunks, filtered, mapped, mix, written
 
 BUCKETS = 1 << 20
 STEM_BUCKETS = 1 << 22
@@ -48,7 +48,7 @@ STEMS = (4, 5, 6, 7, 8)
 PASSAGE = 8
 TELLING = -1.0
 LABELLED = 20_000
-TEMPERATURE = 0.006
+TEMPERATURE = 0.05
 SEED = 17
 #: Pseudo-counts of words, pairs and stems, in units of the target's counts; a passage's stems are those of 4 bytes.
 PRIOR = (1.0, 50.0, 3.0)
@@ -77,19 +77,22 @@ def features(words: Words) -> list[tuple[np.ndarray, np.ndarray]]:
 def log_weights(column: pa.Array, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The least log weight of a passage, and the weight of the telling stems, for each text."""
     words = Words(column, "both")
-    value, stem = np.zeros(len(words.start)), np.zeros(len(words.start))
+    value, stem = np.zeros(len(words.start), np.int64), np.zeros(len(words.start))
     for k, (bucket, at) in enumerate(features(words)):
         if k < 3:
-            value[at] += ratio[bucket]
+            value[at] += np.rint(ratio[bucket] * 65536.0).astype(np.int64)  # whole numbers: a text weighs the same in whatever batch it is
         if k >= 2:
             stem[at] = np.minimum(stem[at], ratio[bucket])
     worst, whole = np.zeros(len(column)), np.zeros(len(column))
     if len(value):
-        starts = np.flatnonzero((np.arange(len(value)) - words.first[words.doc]) % PASSAGE == 0)
-        np.minimum.at(worst, words.doc[starts], np.add.reduceat(value, starts))
+        total, at = np.concatenate([[0], np.cumsum(value)]), np.arange(len(value))
+        last = words.first[words.doc + 1]
+        starts = np.flatnonzero((at + PASSAGE <= last) | (at == words.first[words.doc]))
+        sums = (total[np.minimum(starts + PASSAGE, last[starts])] - total[starts]) / 65536.0
+        full = np.flatnonzero(words.counts)
+        worst[full] = np.minimum(np.minimum.reduceat(sums, np.searchsorted(starts, words.first[:-1][full])), 0.0)
         whole = np.bincount(words.doc, np.where(stem < TELLING, stem, 0.0), minlength=len(column)) / np.sqrt(words.counts + 50)
-    # Rounded, so that a text weighs the same in whatever batch it is.
-    return np.round(worst, 6), np.round(whole, 6)
+    return worst, np.round(whole, 6)
 
 
 def count_models(docs: DataFrame, sample: DataFrame, key: str, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -122,7 +125,7 @@ def count_models(docs: DataFrame, sample: DataFrame, key: str, text: str) -> tup
         return pa.table({"slice": rows.column("slice").slice(0, 1).combine_chunks(), "raw": pa.array([total[0].astype(np.float32).tobytes()], pa.binary()), "target": pa.array([total[1].astype(np.float32).tobytes()], pa.binary())})
 
     rows = _flagged(docs, sample, key, text).select("text", (F.coalesce("good", F.lit(False)) & F.coalesce("fit", F.lit(False))).alias("fit"))
-    slices = rows.mapInArrow(count, "slice int, run binary").groupBy("slice").applyInArrow(add, "slice int, raw binary, target binary").collect()
+    slices = rows.transform(mapped, count, "slice int, run binary").groupBy("slice").applyInArrow(add, "slice int, raw binary, target binary").collect()
     raw, target = np.zeros(SIZE), np.zeros(SIZE)
     for row in slices:
         at = slice(row["slice"] * WIDTH, (row["slice"] + 1) * WIDTH)
@@ -216,7 +219,7 @@ def scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
 
     schema = T.StructType([T.StructField("doc_id", docs.schema[key].dataType), T.StructField("worst", T.DoubleType()), T.StructField("whole", T.DoubleType())])
     rows = docs.where(docs[text].isNotNull())
-    told = written(spark, rows.select(docs[key].alias("id"), docs[text].alias("text")).mapInArrow(run, schema), "quality")
+    told = written(spark, rows.select(docs[key].alias("id"), docs[text].alias("text")).transform(mapped, run, schema), "quality")
     held = told.join(F.broadcast(sample.where("not fit")), told["doc_id"].cast("long") == sample["label_id"]).select("good", "worst", "whole").collect()
     sides = [np.array([r[1:] for r in held if r[0] == side], float).reshape(-1, 2) for side in (True, False)]
     worst, whole = best_pair(*sides)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, exact_dedup, jaccard, line_dedup, lm_score, pii, quality, secrets, suffix_array
 
@@ -21,10 +20,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against the index of those that came first, the lower half of the ids."""
     docs = table(spark, sf_dir, "documents")
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    shards = exact_dedup.shards_for(docs)
-    index = exact_dedup.build_index(docs.where(F.col("doc_id") <= ((low or 0) + (high or 0)) // 2), shards)
-    return exact_dedup.repeats(docs, index, shards)
+    return exact_dedup.repeats(docs, exact_dedup.build_index(exact_dedup.first_half(docs), exact_dedup.shards_for(docs)))
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,8 +4,11 @@ A JVM regular expression keeps the rows that hold any long run of base64 or hex
 characters, a PEM header or a token prefix; only these reach Python.  There a
 candidate is reported only when its decoded form has the structure of a secret:
 nested DER lengths of a private key, the length-prefixed fields of an OpenSSH
-key, the JSON header and payload of a signed token, a checksum, or a raw key of
-LEAST bytes or more that is assigned to a name such as token or secret.  Runs
+key, the JSON header and payload of a signed token with a signature as long as
+its algorithm makes it, an account number within an access key id that isn't
+assigned to a name, a checksum, or a raw key of LEAST bytes or more that is
+assigned to a name such as token or secret, which ends at most NAME_REACH
+characters in front of it.  Runs
 that are wrapped over lines are joined first, escaped line ends (backslash and n)
 count as such.  What decodes to text is searched again, until nothing decodes.
 
@@ -30,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .kernel import mapped
+
 ANY = r"-----BEGIN|eyJ[A-Za-z0-9_-]{8}|AKIA[A-Z2-7]{16}|gh[pousr]_[A-Za-z0-9]{36}|[A-Za-z0-9+/_-]{22}"
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{3,40})-----(.+?)-----END \1-----", re.S)
 JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]*)")
@@ -42,6 +47,9 @@ ESCAPED = re.compile(r"\\+[rn]")
 HEX = re.compile(r"(?:0x)?([0-9a-fA-F]{2})+\Z")
 NAMED = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|pwd|credential|auth|api[_-]?key|access[_-]?key|private[_-]?key|signing[_-]?key|\bkey)[\w-]{0,20}[\"']?\s{0,3}(?:=>|:=|[:=])\s{0,3}[\"']?(?:bearer\s)?\Z")
 LEAST = 16
+NAME_REACH = 60
+#: Bytes of a signature by algorithm; those of RSA are as long as the key.
+SIGNED = {"HS256": {32}, "HS384": {48}, "HS512": {64}, "ES256": {64}, "ES256K": {64}, "ES384": {96}, "ES512": {132}, "EdDSA": {64, 114}} | {a + n: {128, 256, 384, 512, 1024} for a in ("RS", "PS") for n in ("256", "384", "512")}
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 Found = tuple[int, int, str, str, int, bytes]
 
@@ -135,8 +143,13 @@ def signed_token(head: str, body: str, sign: str) -> str | None:
     raw = unbase64(sign) if sign else b""
     if raw is None:
         return None
-    least = {"HS256": 32, "HS384": 48, "HS512": 64, "ES256": 64, "ES384": 96, "ES512": 132, "RS256": 128, "EdDSA": 64}.get(header["alg"], 1 if header["alg"].lower() != "none" else 0)
-    return "signed_token" if len(raw) >= least else None
+    return "signed_token" if len(raw) in SIGNED.get(header["alg"], ()) else None
+
+
+def account(s: str) -> bool:
+    """Whether the base32 of an access key id decodes to ten bytes with an account number, which isn't zero, in front."""
+    raw = base64.b32decode(s)
+    return len(raw) == 10 and int.from_bytes(raw[:6], "big") >> 7 & (1 << 40) - 1 > 0
 
 
 def spread(raw: bytes) -> bool:
@@ -208,7 +221,7 @@ def search(text: str, depth: int) -> list[Found]:
             found = []
             if kind := confirm(raw):
                 found = [(kind, encoding, depth, raw)]
-            elif len(raw) >= LEAST and drawn(s) and spread(raw) and NAMED.search(text[max(0, start - 60) : start]):
+            elif len(raw) >= LEAST and drawn(s) and spread(raw) and NAMED.search(text[max(0, start - NAME_REACH) : start]):
                 found = [("assigned_key", encoding, depth, raw)]
             elif len(raw) >= 20 and (inner := plain_text(raw)):
                 found = [(kind, f"{encoding}/{how}", level, secret) for _, _, kind, how, level, secret in scan(inner, depth + 1)]
@@ -236,7 +249,8 @@ def search(text: str, depth: int) -> list[Found]:
         if check == m[3]:
             add(m, "checksummed_token", "base62", m[0].encode())
     for m in ACCESS.finditer(text):
-        if NAMED.search(text, max(0, m.start() - 60), m.start()) or re.search(r"[2-7]", m[1]):
+        named = NAMED.search(text[max(0, m.start() - NAME_REACH) : m.start()])
+        if named or (account(m[1]) and re.search(r"[2-7]", m[1])):
             add(m, "access_key_id", "base32", m[0].encode())
     for lines in wrapped(text):
         if len(lines) > 1:
@@ -260,4 +274,4 @@ def secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     for name, kind in (("start", T.IntegerType()), ("end", T.IntegerType()), ("kind", T.StringType()), ("encoding", T.StringType()), ("depth", T.IntegerType()), ("n_bytes", T.IntegerType()), ("fingerprint", T.StringType())):
         schema.add(name, kind)
     likely = docs.where(docs[text].rlike(ANY)).select(docs[key].alias("id"), docs[text].alias("text"))
-    return likely.mapInArrow(run, schema).withColumnRenamed("id", key)
+    return likely.transform(mapped, run, schema).withColumnRenamed("id", key)

@@ -33,8 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .jaccard import bits_for, dump, groups_of, join64, joined, runs_by_slice, slice_batch, split64
-from .kernel import _BASE, _INVERSE, Words, chunks, mix, parted, ragged, sliding_min, window_hash, written
+from .jaccard import bits_of, dump, groups_of, join64, joined, runs_by_slice, slice_batch, split64
+from .kernel import _BASE, _INVERSE, Words, chunks, mapped, mix, parted, ragged, sliding_min, window_hash, written
 
 K = 50
 Q = 8
@@ -186,13 +186,17 @@ def digests(h: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return mix((total[start + length] - total[start]) * down[start] + length.astype(np.uint64))
 
 
-def route(rows: DataFrame, k: int, q: int) -> DataFrame:
+def slice_bits(rows: DataFrame) -> int:
+    """As many shards as the text needs, so that one is about the same at any size."""
+    return bits_of(rows.sparkSession, 2 * (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0))
+
+
+def route(rows: DataFrame, k: int, q: int, bits: int) -> DataFrame:
     """(whole, id, hash, start, windows, digest) of the segments whose hash several documents have.
 
     whole: the segment equals one of another document, so it repeats whole.
     Of the others, and of one of each set of equals, the text is needed (whole null or false).
     """
-    bits = bits_for(rows.sparkSession)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -238,7 +242,7 @@ def route(rows: DataFrame, k: int, q: int) -> DataFrame:
         out = {"whole": whole, "ship": ship, "id": ids, "hash": v.astype(np.int64), "start": start, "windows": count, "digest": d.astype(np.int64)}
         return pa.table({n: a[keep] for n, a in out.items()})
 
-    return rows.mapInArrow(send, "slice int, run binary").groupBy("slice").applyInArrow(meet, "whole boolean, ship boolean, id long, hash long, start int, windows int, digest long")
+    return rows.transform(mapped, send, "slice int, run binary").groupBy("slice").applyInArrow(meet, "whole boolean, ship boolean, id long, hash long, start int, windows int, digest long")
 
 
 def shard_spans(part: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -275,9 +279,9 @@ def shard_spans(part: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndar
 def repeated_spans(docs: DataFrame, k: int = K, q: int = Q, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, start_word, end_word, n_words): maximal runs of words covered by repeated windows of k words."""
     spark = docs.sparkSession
-    bits = bits_for(spark)
     rows = docs.where(docs[key].isNotNull() & docs[text].isNotNull()).select(docs[key].cast("long").alias("id"), docs[text].alias("text"))
-    found = written(spark, route(rows, k, q), "suffix-segments")
+    bits = slice_bits(rows)
+    found = written(spark, route(rows, k, q, bits), "suffix-segments")
     wanted = found.where("ship").groupBy(F.col("id").alias("member")).agg(F.collect_list(F.struct("hash", "start", "windows", "digest", "whole")).alias("wanted"))
     wanted = written(spark, wanted, "suffix-wanted")
 
@@ -306,7 +310,7 @@ def repeated_spans(docs: DataFrame, k: int = K, q: int = Q, key: str = "doc_id",
         return pa.table({"id": ids, "start": start.astype(np.int32), "stop": end.astype(np.int32)})
 
     _, met = parted(rows, F.xxhash64("id"), wanted.select(F.xxhash64("member")))
-    shipped = met.join(wanted, met["id"] == wanted["member"]).select("id", "text", "wanted").mapInArrow(cut, "shard int, id long, start int, whole boolean, text binary")
+    shipped = met.join(wanted, met["id"] == wanted["member"]).select("id", "text", "wanted").transform(mapped, cut, "shard int, id long, start int, whole boolean, text binary")
     inside = shipped.groupBy("shard").applyInArrow(build, "id long, start int, stop int")
     whole = found.where("whole").select("id", "start", (F.col("start") + F.col("windows") + F.lit(k - 1)).alias("stop"))
     spans = whole.unionByName(inside)

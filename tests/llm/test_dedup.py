@@ -35,6 +35,20 @@ def test_exact_dedup_with_history(spark):
     assert found == sorted((i, t) for t, i in least.items())
 
 
+def test_exact_dedup_ties(spark):
+    """Rows of one id and text: the same one stays, however rows are ordered."""
+    rows = [(1, "a", x) for x in "pqrst"] + [(2, "a", "u"), (3, "b", "v")]
+    kept = [{tuple(r) for r in exact_dedup.dedup(spark.createDataFrame(r, "doc_id long, text string, lang string")).collect()} for r in (rows, rows[::-1])]
+    assert kept[0] == kept[1] and sorted(r[:2] for r in kept[0]) == [(1, "a"), (3, "b")]
+
+
+def test_index_knows_its_shards(spark):
+    docs = spark.createDataFrame([(i, f"text {i % 50}") for i in range(200)], "doc_id long, text string")
+    index = exact_dedup.build_index(docs.where("doc_id < 100"), 7)
+    assert {r[0] for r in index.select("shards").collect()} == {7}
+    assert {tuple(r) for r in exact_dedup.repeats(docs, index).collect()} == {(i, i % 50) for i in range(50, 200)}
+
+
 def test_minimal_perfect_hash():
     words = np.random.default_rng(1).integers(0, 2**63, (5000, 4)).astype(np.uint64)
     levels, slot = exact_dedup.build_levels(words[:4000])
