@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.tables import written
 
 FIELD_TEXT = "document_id long, field_index int, text string"
 POSTINGS = "term string, document_id long, field_index int, term_index int"
@@ -89,18 +90,44 @@ def from_postings(fields: list[str], field_text: DataFrame, postings: DataFrame)
     return SearchIndex(list(fields), field_text, postings)
 
 
+def _changed(stored: dict[str, DataFrame] | None, gone: DataFrame, new: DataFrame | None) -> dict[str, DataFrame] | None:
+    """The derived tables after the texts of gone went and those of new came: only their terms are counted."""
+    if not stored:
+        return None
+
+    def counts(field_text: DataFrame, sign: int) -> DataFrame:
+        told = SearchIndex([], field_text, postings_of(field_text)).vocabulary
+        return told.select("term", *((F.col(c) * sign).alias(c) for c in ("postings_len", "df")))
+
+    delta = counts(gone, -1) if new is None else counts(gone, -1).unionByName(counts(new, 1))
+    delta = delta.groupBy("term").agg(F.sum("postings_len").alias("postings_len"), F.sum("df").alias("df"), F.lit(True).alias("touched"))
+    known = stored["vocabulary"].select("term", "postings_len", "df", F.lit(False).alias("touched"))
+    both = known.unionByName(delta).groupBy("term").agg(F.sum("postings_len").alias("postings_len"), F.sum("df").alias("df"), F.min("touched").alias("only_new"), F.max("touched").alias("touched"))
+    changed = written(both.where("touched"), "terms-changed")
+    vanished, came = changed.where("postings_len <= 0").select("term"), changed.where("only_new and postings_len > 0")
+    vocabulary = stored["vocabulary"].join(changed.select("term"), "term", "left_anti").unionByName(changed.where("postings_len > 0").select("term", "postings_len", "df"))
+    return {"vocabulary": vocabulary, "trigrams": stored["trigrams"].join(vanished, "term", "left_anti").select("trigram", "term").unionByName(trigram_table(came))}
+
+
+def _without(index: SearchIndex, ids: DataFrame, new: SearchIndex | None = None) -> SearchIndex:
+    gone = written(ids.select(F.col(ids.columns[0]).cast("long").alias("document_id")).where("document_id is not null").distinct(), "ids-gone")
+    stored = _changed(index.stored, index.field_text.join(gone, "document_id", "left_semi"), new and new.field_text)
+    field_text, postings = (x.join(gone, "document_id", "left_anti").select(*x.columns) for x in (index.field_text, index.postings))
+    if new is not None:
+        field_text, postings = field_text.unionByName(new.field_text), postings.unionByName(new.postings)
+    return SearchIndex(index.fields, field_text, postings, stored)
+
+
 def remove(index: SearchIndex, ids: DataFrame) -> SearchIndex:
     """The index without the documents whose ids are in the first column; unknown ids change nothing.
 
     All that derives from postings forgets them, too: a term that no document
-    has any more is neither found nor proposed.
+    has any more is neither found nor proposed.  The tables of a saved index
+    are corrected by what the removed texts held.
     """
-    gone = ids.select(F.col(ids.columns[0]).cast("long").alias("document_id")).distinct()
-    return SearchIndex(index.fields, index.field_text.join(gone, "document_id", "left_anti"), index.postings.join(gone, "document_id", "left_anti").select("term", "document_id", "field_index", "term_index"))
+    return _without(index, ids)
 
 
 def upsert(index: SearchIndex, docs: DataFrame, key: str = "document_id") -> SearchIndex:
     """The index with these documents in place of those of the same ids."""
-    new = build(docs, index.fields, key)
-    old = remove(index, docs.select(key))
-    return SearchIndex(index.fields, old.field_text.unionByName(new.field_text), old.postings.unionByName(new.postings))
+    return _without(index, docs.select(key), build(docs, index.fields, key))

@@ -10,6 +10,8 @@ from .correction import corrections
 from .index import SearchIndex
 
 MAX_ATTEMPTS = 10
+#: Terms that are pushed to the scan of the postings; more of them are only joined.
+PUSHED_TERMS = 1000
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -19,6 +21,12 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return rows.select("query_id", "q_idx", F.lower("word").alias("term"), (F.col("q_idx") == F.col("n_terms") - 1).alias("is_last"), "n_terms")
 
 
+def pushed(rows: DataFrame, column: str, terms: DataFrame) -> DataFrame:
+    """The rows whose column may be among the terms, by a filter that reaches the scan if the terms are few."""
+    few = [r[0] for r in terms.distinct().limit(PUSHED_TERMS + 1).collect()]
+    return rows.where(F.col(column).isin(few)) if len(few) <= PUSHED_TERMS else rows
+
+
 def candidates(terms: DataFrame, index: SearchIndex) -> DataFrame:
     """(query_id, q_idx, n_terms, rank, candidate, postings_len, corrected) for each query term.
 
@@ -26,7 +34,7 @@ def candidates(terms: DataFrame, index: SearchIndex) -> DataFrame:
     gets its corrections.
     """
     known = index.vocabulary.select("term", "postings_len")
-    told = terms.join(known, "term", "left")
+    told = terms.join(pushed(known, "term", terms.select("term")), "term", "left")
     exact = told.where(F.col("postings_len").isNotNull()).select("query_id", "q_idx", "n_terms", F.lit(0).alias("rank"), F.col("term").alias("candidate"), "postings_len", F.lit(False).alias("corrected"))
     missed = told.where(F.col("postings_len").isNull()).select("query_id", "q_idx", "n_terms", "term", "is_last")
     found = corrections(missed, index.trigrams).select("term", "is_last", "candidate", "rank")
@@ -66,7 +74,7 @@ def match(tried: DataFrame, index: SearchIndex) -> tuple[DataFrame, DataFrame]:
     however frequent a term is.
     """
     asked = tried.select(F.col("candidate").alias("term")).distinct()
-    stands = index.postings.join(asked, "term", "left_semi").select("term", "document_id").distinct()
+    stands = pushed(index.postings, "term", asked).join(asked, "term", "left_semi").select("term", "document_id").distinct()
     met = tried.select("query_id", "attempt", "n_terms", F.col("candidate").alias("term")).join(stands, "term")
     whole = met.groupBy("query_id", "attempt", "document_id").agg(F.count(F.lit(1)).alias("n"), F.max("n_terms").alias("n_terms")).where("n = n_terms")
     first = whole.groupBy("query_id").agg(F.min("attempt").alias("attempt"))
@@ -77,7 +85,7 @@ def match(tried: DataFrame, index: SearchIndex) -> tuple[DataFrame, DataFrame]:
 def positions(chosen: DataFrame, documents: DataFrame, index: SearchIndex) -> DataFrame:
     """(query_id, document_id, field_index, term_indices), positions in order and distinct."""
     asked = chosen.select("query_id", "term").distinct()
-    places = index.postings.join(asked, "term").join(documents, ["query_id", "document_id"], "left_semi")
+    places = pushed(index.postings, "term", asked.select("term")).join(asked, "term").join(documents, ["query_id", "document_id"], "left_semi")
     return places.groupBy("query_id", "document_id", "field_index").agg(F.sort_array(F.collect_set("term_index")).alias("term_indices"))
 
 

@@ -18,20 +18,32 @@ def body(words: Column, gaps: Column, hits: Column, window: int = WINDOW) -> Col
     stands between them; elsewhere stands " ... ", in front "... ".  A last word
     that alone is hidden goes without a mark, more of them leave " ...".
     Nothing is escaped.
-    """
-    def seen(i: Column) -> Column:
-        return F.exists(hits, lambda h: F.abs(i - h) <= window)
-
-    shown = F.filter(F.transform(F.arrays_zip(words.alias("w"), gaps.alias("g")), lambda x, i: F.struct(i.alias("i"), x["w"].alias("w"), x["g"].alias("g"))), lambda x: x["w"].isNotNull() & seen(x["i"]))
 
-    def piece(x: Column) -> Column:
-        i = x["i"]
-        first = F.greatest(F.element_at(hits, 1) - window, F.lit(0))
-        before = F.when(i == first, F.when(i > 0, F.lit("... ")).otherwise(F.lit(""))).when(seen(i - 1), x["g"]).otherwise(F.lit(" ... "))
-        return F.concat(before, F.when(F.array_contains(hits, i), F.concat(F.lit(OPEN), x["w"], F.lit(CLOSE))).otherwise(x["w"]))
-
-    end = F.when(F.element_at(hits, -1) + window + 2 < F.size(words), F.lit(" ...")).otherwise(F.lit(""))
-    return F.concat(F.array_join(F.transform(shown, piece), ""), end)
+    Each hit brings what stands between it and the one before, and the last the
+    words after it, so every word that is shown is touched once.
+    """
+    spaced = F.zip_with(words, gaps, lambda w, g: F.concat(g, w))
+
+    def run(first: Column, end: Column) -> Column:
+        """Words first to end - 1, from 0, with the gaps before them."""
+        return F.array_join(F.slice(spaced, first + 1, F.greatest(end - first, F.lit(0))), "")
+
+    def apart(first: Column, hit: Column) -> Column:
+        """Words first to hit - 1 without the gap in front, and the gap before the hit."""
+        return F.when(first < hit, F.concat(F.element_at(words, first + 1), run(first + 1, hit), F.element_at(gaps, hit + 1))).otherwise(F.lit(""))
+
+    def piece(hit: Column, k: Column) -> Column:
+        before = F.element_at(hits, F.greatest(k, F.lit(1)))
+        first = F.greatest(hit - window, F.lit(0))
+        start = F.concat(F.when(first > 0, F.lit("... ")).otherwise(F.lit("")), apart(first, hit))
+        near = F.concat(run(before + 1, hit), F.element_at(gaps, hit + 1))
+        far = F.concat(run(before + 1, before + 1 + window), F.lit(" ... "), apart(first, hit))
+        lead = F.when(k == 0, start).when(first <= before + window + 1, near).otherwise(far)
+        return F.concat(lead, F.lit(OPEN), F.element_at(words, hit + 1), F.lit(CLOSE))
+
+    last = F.element_at(hits, -1)
+    end = F.when(last + window + 2 < F.size(words), F.lit(" ...")).otherwise(F.lit(""))
+    return F.concat(F.array_join(F.transform(hits, piece), ""), run(last + 1, F.least(last + 1 + window, F.size(words))), end)
 
 
 def with_snippets(hits: DataFrame, field_text: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -1,12 +1,11 @@
 """The registered queries of the search engine, each with its SQL.
 
 All run over whole tables.  Lookups and searches go to an index that is saved
-in the shared folder once for each folder of tables, as an engine's user would.
+in the shared folder once for each state of the tables, as an engine's user would.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,11 +16,12 @@ from ..operators import index as I
 from ..operators import matching, ordered_map
 from ..operators.correction import corrections
 from ..sources import store
-from ..sources.tables import shared_folder, table
+from ..sources.tables import shared_folder, table, version
 from . import search as S
 
 EXACT = [(1, "the THIS"), (2, "queen entre"), (3, "Tioning Lement"), (4, "blend"), (5, "pathetic verst thater"), (6, "the"), (7, ""), (8, "erver das")]
 CORRECTED = [(1, "blendd tioning"), (2, "thetionx wh"), (3, "pathetik"), (4, "zzzzqqqq the"), (5, "lementt entr"), (6, "einberx geheitt"), (7, "thlyntt thndlyx"), (8, "erverr quee"), (9, "the blen"), (10, "5")]
+TALKED = [(1, "user blend"), (2, "blendd"), (3, ""), (4, "qqzzqq blend"), (5, "user tioning")]
 LOOKED_UP = ["blend", "pathetic", "einber", "queen"]
 SPELLED = [(1, "blendd", False), (2, "patheti", True), (3, "tionsing", False), (4, "quee", True), (5, "einberr", False), (6, "thx", True)]
 
@@ -39,10 +39,10 @@ def talks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def saved(spark: SparkSession, sf_dir: str, name: str, docs: Callable[[SparkSession, str], DataFrame], fields: list[str]) -> I.SearchIndex:
-    """The index of a table, saved when it is first asked for."""
-    at = (spark.sparkContext.applicationId, sf_dir, name)
+    """The index of a table, saved when it is first asked for, and again when the table has changed."""
+    at = (spark.sparkContext.applicationId, name, version(spark, sf_dir, name))
     if at not in _SAVED:
-        path = f"{shared_folder(spark)}/index-{name}-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}-{at[0]}"
+        path = f"{shared_folder(spark)}/index-{name}-{at[2]}-{at[0]}"
         store.save(I.build(docs(spark, sf_dir), fields), path)
         _SAVED[at] = path
     return store.load(spark, _SAVED[at], fields)
@@ -76,10 +76,6 @@ def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def postings_by_term(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.build(talks(spark, sf_dir), ["role", "text"]).postings
-
-
-def postings_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.build(corpus(spark, sf_dir), ["text"]).postings
 
 
@@ -104,17 +100,9 @@ def soundex_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edit_distance_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The distance of each ASCII term of the documents to a few words; SQL counts bytes, hence ASCII."""
-    words = spark.createDataFrame([(w,) for w in LOOKED_UP], "word string")
-    terms = documents_index(spark, sf_dir).vocabulary.select("term").where(F.col("term").rlike("^[ -~]*$"))
-    return terms.crossJoin(words).select("word", "term", X.edit_distance(F.col("word"), F.col("term")).alias("dist"))
-
-
-def edit_distance_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same for all terms, accented ones included; without SQL, which counts bytes."""
-    words = spark.createDataFrame([(w,) for w in LOOKED_UP], "word string")
-    terms = documents_index(spark, sf_dir).vocabulary.select("term")
-    return terms.crossJoin(words).select("word", "term", X.edit_distance(F.col("word"), F.col("term")).alias("dist"))
+    """The distance of each term of the documents to a few words."""
+    words = F.explode(F.array(*map(F.lit, LOOKED_UP))).alias("word")
+    return documents_index(spark, sf_dir).vocabulary.select("term", words).select("word", "term", X.edit_distance(F.col("word"), F.col("term")).alias("dist"))
 
 
 def exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,21 +122,11 @@ def corrected_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spelling_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    unknown = spark.createDataFrame([(w, last) for _, w, last in SPELLED], "term string, is_last boolean")
-    return corrections(unknown, documents_index(spark, sf_dir).trigrams.where(F.col("term").rlike("^[ -~]*$")))
-
-
-def spelling_candidates_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten nearest among all terms, accented ones included; without SQL, which counts bytes."""
     unknown = spark.createDataFrame([(w, last) for _, w, last in SPELLED], "term string, is_last boolean")
     return corrections(unknown, documents_index(spark, sf_dir).trigrams)
 
 
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat_hits(S.search_hits(asked(spark, [q for q in EXACT if q[1] != "the"]), documents_index(spark, sf_dir)))
-
-
-def snippets_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every query, the one for a term that most documents have included."""
     return flat_hits(S.search_hits(asked(spark, EXACT), documents_index(spark, sf_dir)))
 
@@ -158,7 +136,20 @@ def conversation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.as_json(S.search(asked(spark, [(1, "user blend"), (2, "blendd"), (3, "")]), talks_index(spark, sf_dir)))
+    return S.as_json(S.search(asked(spark, TALKED), talks_index(spark, sf_dir)))
+
+
+def search_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queries = asked(spark, TALKED)
+    told = S.messages(S.search(queries, talks_index(spark, sf_dir)), queries)
+    return told.select("query_id", F.array_join("messages", " / ").alias("messages"))
+
+
+def search_result_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hits as a page lists them, with their places."""
+    rows = S.result_list(S.search(asked(spark, TALKED), talks_index(spark, sf_dir)))
+    fields = F.array_join(F.transform("field_results", lambda f: F.concat(f["field_name"], F.lit(": "), f["snippet"])), " | ")
+    return rows.select("query_id", "place", "title", fields.alias("fields"))
 
 
 def remove_then_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,9 +225,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         tokenize, postings_by_term, df_by_term, document_terms, trigram_index, trigram_terms_for, soundex_terms, edit_distance_pairs,
-        exact_search, search_outcomes, corrected_search, corrected_documents, spelling_candidates, snippets, conversation_search, search_json,
+        exact_search, search_outcomes, corrected_search, corrected_documents, spelling_candidates, snippets, conversation_search, search_json, search_messages, search_result_list,
         remove_then_search, upsert_then_search, intersect_prefix, intersect_full, map_get, map_put, map_remove, map_scan, prefix_scan,
-        range_scan_from, json_field_text, raw_json_text, postings_of_documents, edit_distance_all, spelling_candidates_all, snippets_all,
+        range_scan_from, json_field_text, raw_json_text,
     )
 }
 
@@ -253,6 +244,12 @@ _VOCAB = "vocab AS (SELECT term, count(*) AS postings_len, count(DISTINCT docume
 _TRI = "SELECT DISTINCT trigram, term FROM (SELECT term, unnest(list_transform(range(1, length(term) + 1), lambda i: substr('$' || term || '$', i, 3))) AS trigram FROM {0})"
 
 
+def _distance(a: str, b: str) -> str:
+    """Of characters, where DuckDB counts bytes: terms have no capitals, which stand in for accented letters."""
+    one = lambda x: f"translate({x}, 'ßäçèéêíñóöüàâáëìîïòôùûúœæå', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
+    return f"levenshtein({one(a)}, {one(b)})"
+
+
 def _asked(queries: list[tuple[int, str]]) -> str:
     values = ", ".join(f"(CAST({i} AS BIGINT), '{t}')" for i, t in queries)
     return f"q(query_id, text) AS (VALUES {values}), qt AS (SELECT query_id, lower(w) AS term, CAST(i AS INTEGER) AS q_idx, n AS n_terms, i = n - 1 AS is_last FROM (SELECT query_id, unnest(ws) AS w, unnest(range(len(ws))) AS i, len(ws) AS n FROM (SELECT query_id, regexp_extract_all(text, '{_W}') AS ws FROM q)))"
@@ -262,7 +259,7 @@ def _asked(queries: list[tuple[int, str]]) -> str:
 _WALK = f"""{_VOCAB}, missed AS (SELECT DISTINCT term, is_last FROM qt WHERE term NOT IN (SELECT term FROM vocab)),
 grams AS ({_TRI.format("vocab")}), asked_grams AS ({_TRI.format("missed")}),
 pairs AS (SELECT DISTINCT m.term, m.is_last, g.term AS candidate FROM missed m JOIN asked_grams a ON a.term = m.term JOIN grams g ON g.trigram = a.trigram),
-rated AS (SELECT *, CASE WHEN is_last AND starts_with(candidate, term) THEN 0 ELSE levenshtein(term, candidate) END AS dist FROM pairs),
+rated AS (SELECT *, CASE WHEN is_last AND starts_with(candidate, term) THEN 0 ELSE {_distance('term', 'candidate')} END AS dist FROM pairs),
 corr AS (SELECT term, is_last, candidate, dist, rn - 1 AS rank FROM (SELECT *, row_number() OVER (PARTITION BY term, is_last ORDER BY dist, strlen(candidate), candidate) AS rn FROM rated WHERE dist <= 10) WHERE rn <= 10),
 cand AS (SELECT query_id, q_idx, n_terms, 0 AS rank, qt.term AS candidate, postings_len, false AS corrected FROM qt JOIN vocab USING (term)
   UNION ALL SELECT query_id, q_idx, n_terms, c.rank, c.candidate, v.postings_len, true FROM qt JOIN corr c ON c.term = qt.term AND c.is_last = qt.is_last JOIN vocab v ON v.term = c.candidate),
@@ -287,6 +284,11 @@ SELECT query_id, document_id, field_index, string_agg(term_index, ',' ORDER BY t
   string_agg(CASE WHEN before IS NULL THEN CASE WHEN term_index > 0 THEN '... ' ELSE '' END WHEN before = term_index - 1 THEN gap ELSE ' ... ' END || CASE WHEN hit THEN '<em>' || word || '</em>' ELSE word END, '' ORDER BY term_index)
   || CASE WHEN max(term_index) FILTER (WHERE hit) + 12 < max(n) THEN ' ...' ELSE '' END AS body
 FROM pieces GROUP BY query_id, document_id, field_index"""
+#: The results of the queries as nested values: hits in order, with names and snippets of fields by their index.
+_RESULTS = f"""found AS (WITH {_HITS}), fielded AS (SELECT query_id, document_id, list(field_index ORDER BY field_index) AS f, list(['role', 'text'][field_index + 1] ORDER BY field_index) AS names,
+  list({{'term_indices': list_transform(string_split(term_indices, ','), lambda x: CAST(x AS INTEGER)), 'body': body}} ORDER BY field_index) AS snippets FROM found GROUP BY query_id, document_id),
+listed AS (SELECT query_id, list({{'document_id': document_id, 'fields': map(f, names), 'field_snippets': map(f, snippets)}} ORDER BY document_id) AS hits FROM fielded GROUP BY query_id),
+outcomes AS ({_OUTCOMES}), results AS (SELECT query_id, spelling_correction, query_terms, n_hits, coalesce(hits, []) AS hits FROM outcomes LEFT JOIN listed USING (query_id))"""
 
 
 def _searched(queries: list[tuple[int, str]], last: str, texts: str = _TEXTS["documents"]) -> str:
@@ -313,23 +315,28 @@ def _code(term: str) -> str:
 
 SQL: dict[str, str] = {
     "tokenize": f"{_D} SELECT document_id, term_index, term FROM tok",
-    "postings_by_term": f"{_C} SELECT term, document_id, field_index, term_index FROM tok",
+    "postings_by_term": f"{_D} SELECT term, document_id, field_index, term_index FROM tok",
     "df_by_term": f"{_D}, {_VOCAB} SELECT term, postings_len, df FROM vocab",
     "document_terms": f"{_C} SELECT DISTINCT document_id, term FROM tok",
     "trigram_index": f"{_D} {_TRI.format('(SELECT DISTINCT term FROM tok)')}",
     "trigram_terms_for": f"{_D} SELECT DISTINCT term FROM tok WHERE contains('$' || term || '$', 'ble')",
     "soundex_terms": f"{_D} SELECT {_code('term')} AS code, term FROM (SELECT DISTINCT term FROM tok)",
-    "edit_distance_pairs": f"{_D} SELECT word, term, CAST(levenshtein(word, term) AS INTEGER) AS dist FROM (SELECT DISTINCT term FROM tok WHERE regexp_matches(term, '^[ -~]*$')), (VALUES {', '.join(f'({chr(39)}{w}{chr(39)})' for w in LOOKED_UP)}) AS w(word)",
+    "edit_distance_pairs": f"{_D} SELECT word, term, CAST({_distance('word', 'term')} AS INTEGER) AS dist FROM (SELECT DISTINCT term FROM tok), (VALUES {', '.join(f'({chr(39)}{w}{chr(39)})' for w in LOOKED_UP)}) AS w(word)",
     "exact_search": _searched(EXACT, _DOCS),
     "search_outcomes": _searched(EXACT, _OUTCOMES),
     "corrected_search": _searched(CORRECTED, _OUTCOMES),
     "corrected_documents": _searched(CORRECTED, _DOCS),
-    "spelling_candidates": f"""{_D}, vocab AS (SELECT DISTINCT term FROM tok WHERE regexp_matches(term, '^[ -~]*$')), qt(q, term, is_last) AS (VALUES {', '.join(f"({i}, '{w}', {str(last).lower()})" for i, w, last in SPELLED)}),
+    "spelling_candidates": f"""{_D}, vocab AS (SELECT DISTINCT term FROM tok), qt(q, term, is_last) AS (VALUES {', '.join(f"({i}, '{w}', {str(last).lower()})" for i, w, last in SPELLED)}),
 grams AS ({_TRI.format('vocab')}), asked_grams AS ({_TRI.format('qt')}),
 pairs AS (SELECT DISTINCT m.term, m.is_last, g.term AS candidate FROM qt m JOIN asked_grams a ON a.term = m.term JOIN grams g ON g.trigram = a.trigram),
-rated AS (SELECT *, CASE WHEN is_last AND starts_with(candidate, term) THEN 0 ELSE levenshtein(term, candidate) END AS dist FROM pairs)
+rated AS (SELECT *, CASE WHEN is_last AND starts_with(candidate, term) THEN 0 ELSE {_distance('term', 'candidate')} END AS dist FROM pairs)
 SELECT term, is_last, candidate, CAST(dist AS INTEGER) AS dist, CAST(rn - 1 AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY term, is_last ORDER BY dist, strlen(candidate), candidate) AS rn FROM rated WHERE dist <= 10) WHERE rn <= 10""",
-    "snippets": _searched([q for q in EXACT if q[1] != "the"], f", {_HITS}"),
+    "snippets": _searched(EXACT, f", {_HITS}"),
+    "search_json": _searched(TALKED, f""", {_RESULTS} SELECT query_id, CAST(to_json({{'spelling_correction': spelling_correction, 'query_terms': CASE WHEN query_terms = '' THEN [] ELSE string_split(query_terms, ' ') END, 'hits': hits}}) AS VARCHAR) AS json FROM results""", _TEXTS["conversations"]),
+    "search_messages": _searched(TALKED, f""", {_RESULTS} SELECT query_id, CASE WHEN text = '' THEN 'Type a search.' WHEN n_hits = 0 THEN 'No hits found for query: ' || text
+  ELSE CASE WHEN spelling_correction THEN 'No hits found for query: ' || text || ' / Searching instead for: ' || query_terms || ' / ' ELSE '' END || 'Found ' || n_hits || CASE WHEN n_hits = 1 THEN ' result.' ELSE ' results.' END END AS messages FROM results JOIN q USING (query_id)""", _TEXTS["conversations"]),
+    "search_result_list": _searched(TALKED, f""", rows AS ({{0}}) SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY document_id) - 1 AS INTEGER) AS place, 'Document ID ' || document_id AS title,
+  string_agg(['role', 'text'][field_index + 1] || ': ' || body, ' | ' ORDER BY field_index) AS fields FROM rows GROUP BY query_id, document_id""".replace("{0}", "WITH " + _HITS), _TEXTS["conversations"]),
     "conversation_search": _searched([(1, "user the"), (2, "Assistant la"), (3, "user blend")], f", {_HITS}", _TEXTS["conversations"]),
     "remove_then_search": _searched(EXACT, _DOCS, _WITHOUT),
     "upsert_then_search": _searched([(1, "renewed queen"), (2, "blend")], f", {_HITS}", _RENEWED),
@@ -343,6 +350,4 @@ SELECT term, is_last, candidate, CAST(dist AS INTEGER) AS dist, CAST(rn - 1 AS I
     "range_scan_from": f"{_ENTRIES} SELECT * FROM e WHERE key >= 'queen' AND EXISTS (SELECT 1 FROM e WHERE key = 'queen') ORDER BY key",
     "json_field_text": _TURNS,
     "raw_json_text": _TURNS,
-    "postings_of_documents": f"{_D} SELECT term, document_id, field_index, term_index FROM tok",
-    "snippets_all": _searched(EXACT, f", {_HITS}"),
 }

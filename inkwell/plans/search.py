@@ -12,15 +12,21 @@ from pyspark.sql import functions as F
 from ..operators.index import SearchIndex
 from ..operators.matching import attempts, candidates, match, positions, query_terms
 from ..operators.snippets import with_snippets
+from ..sources.tables import written
 
 SNIPPET = "struct<term_indices: array<int>, body: string>"
 HIT = f"struct<document_id: bigint, fields: map<int, string>, field_snippets: map<int, {SNIPPET}>>"
 
 
 def _resolved(queries: DataFrame, index: SearchIndex) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Query terms, those that were searched for, and the documents that have them.
+
+    The few rows of terms and attempts are written, so the vocabulary and the
+    trigrams are read once, and the scans of postings get their terms pushed.
+    """
     terms = query_terms(queries)
-    chosen, documents = match(attempts(candidates(terms, index)), index)
-    return terms, chosen, documents
+    chosen, documents = match(written(attempts(candidates(terms, index)), "attempts"), index)
+    return terms, written(chosen, "chosen"), documents
 
 
 def search_documents(queries: DataFrame, index: SearchIndex) -> DataFrame:
@@ -87,11 +93,23 @@ def as_json(results: DataFrame) -> DataFrame:
     return results.select("query_id", F.to_json(F.struct("spelling_correction", "query_terms", "hits")).alias("json"))
 
 
-def messages(results: DataFrame) -> DataFrame:
-    """(query_id, message): what a page says over the results."""
-    found = F.concat(F.lit("Found "), F.size("hits").cast("string"), F.lit(" result(s)."))
-    instead = F.when(F.col("spelling_correction"), F.concat(F.lit("Searching instead for: "), F.array_join("query_terms", " "), F.lit(". "))).otherwise(F.lit(""))
-    return results.select("query_id", F.when(F.size("hits") == 0, F.lit("No hits found.")).otherwise(F.concat(instead, found)).alias("message"))
+def messages(results: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, messages): the lines that stand over the results of each query(query_id, text)."""
+    asked = queries.select("query_id", F.coalesce("text", F.lit("")).alias("text"))
+    n = F.size("hits")
+    nothing = F.concat(F.lit("No hits found for query: "), F.col("text"))
+    instead = F.concat(F.lit("Searching instead for: "), F.array_join("query_terms", " "))
+    found = F.concat(F.lit("Found "), n.cast("string"), F.when(n == 1, F.lit(" result.")).otherwise(F.lit(" results.")))
+    lines = F.when(F.length("text") == 0, F.array(F.lit("Type a search."))).when(n == 0, F.array(nothing)).when(F.col("spelling_correction"), F.array(nothing, instead, found)).otherwise(F.array(found))
+    return results.join(asked, "query_id").select("query_id", lines.alias("messages"))
+
+
+def result_list(results: DataFrame) -> DataFrame:
+    """(query_id, place, title, field_results): a row for each hit in order, with name and snippet of its fields in theirs."""
+    rows = results.select("query_id", F.posexplode("hits").alias("place", "hit"))
+    by_field = F.array_sort(F.map_entries("hit.fields"), lambda a, b: a["key"] - b["key"])
+    fields = F.transform(by_field, lambda f: F.struct(f["value"].alias("field_name"), F.element_at(F.col("hit.field_snippets"), f["key"])["body"].alias("snippet")))
+    return rows.select("query_id", "place", F.concat(F.lit("Document ID "), F.col("hit.document_id").cast("string")).alias("title"), fields.alias("field_results"))
 
 
 def search_one(spark: SparkSession, index: SearchIndex, query: str | None) -> DataFrame:

@@ -17,10 +17,6 @@ def test_every_sql_has_a_query():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries()) and set(Q.QUERIES) <= set(__spark_entry__.queries())
 
 
-def test_search_json(spark, sf):
-    assert Q.search_json(spark, sf).count() == 3
-
-
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -34,11 +30,11 @@ def test_spelling_of_all_terms(spark, sf):
     """Accented terms are compared like others."""
     terms = [r[0] for r in Q.documents_index(spark, sf).vocabulary.select("term").collect()]
     assert not all(t.isascii() for t in terms)
-    found = {(r["word"], r["term"]): r["dist"] for r in Q.edit_distance_all(spark, sf).collect()}
+    found = {(r["word"], r["term"]): r["dist"] for r in Q.edit_distance_pairs(spark, sf).collect()}
     assert found == {(w, t): distance(w, t) for w in Q.LOOKED_UP for t in terms}
     grams = lambda t: {f"${t}$"[i : i + 3] for i in range(len(t))}
     expected = set()
     for _, w, last in Q.SPELLED:
         near = [(0 if last and t.startswith(w) else distance(w, t), len(t.encode()), t.encode(), t) for t in terms if grams(t) & grams(w)]
         expected |= {(w, last, t, d, k) for k, (d, _, _, t) in enumerate(sorted(x for x in near if x[0] <= 10)[:10])}
-    assert {(r["term"], r["is_last"], r["candidate"], r["dist"], r["rank"]) for r in Q.spelling_candidates_all(spark, sf).collect()} == expected
+    assert {(r["term"], r["is_last"], r["candidate"], r["dist"], r["rank"]) for r in Q.spelling_candidates(spark, sf).collect()} == expected

@@ -55,9 +55,9 @@ def test_long_snippet(spark, long_index):
     assert hit["fields"] == {1: "bio"}
     assert hit["field_snippets"][1]["term_indices"] == [11, 13, 14, 46, 47, 73, 74]
     assert hit["field_snippets"][1]["body"] == (
-        "... is from the San Francisco Bay Area and serves as <em>CEO</em> of <em>Foo</em> <em>Inc</em>. She is on the board of Fortune 100 companies such"
-        " ... build skilled datacenter teams. She graduated with a BS in <em>Computer</em> <em>Science</em> from Stanford University in 1998. She found that she relished"
-        " ... with difficult hardware problems. Finally, she earned her PhD in <em>Electrical</em> <em>Engineering</em> in 2005. One of her favorite pastimes is skiing at ..."
+        "... grew up near a windy harbour town and now is <em>CEO</em> at <em>Foo</em> <em>Inc</em>. Two small museums and a choir for retired sailors also"
+        " ... about cooling server rooms. At twenty she finished a degree, <em>Computer</em> <em>Science</em>, at Stanford College by 1998. There followed some years of"
+        " ... nobody else would mend. Later came a long doctorate about <em>Electrical</em> <em>Engineering</em> in Turin. Her favorite day off means fresh snow, an ..."
     )
 
 
@@ -67,7 +67,7 @@ def test_correction(spark, long_index):
     (hit,) = found["hits"]
     assert hit["document_id"] == 1 and hit["field_snippets"][1]["term_indices"] == [73, 74]
     assert hit["field_snippets"][1]["body"] == (
-        "... with difficult hardware problems. Finally, she earned her PhD in <em>Electrical</em> <em>Engineering</em> in 2005. One of her favorite pastimes is skiing at ..."
+        "... nobody else would mend. Later came a long doctorate about <em>Electrical</em> <em>Engineering</em> in Turin. Her favorite day off means fresh snow, an ..."
     )
 
 
@@ -105,8 +105,20 @@ def test_json_and_messages(spark, long_index):
     found = {r["query_id"]: json.loads(r["json"]) for r in S.as_json(results).collect()}
     assert found[2] == {"spelling_correction": False, "query_terms": ["qqzz"], "hits": []}
     assert found[1]["hits"][0]["fields"] == {"1": "bio"} and found[1]["hits"][0]["field_snippets"]["1"]["term_indices"] == [73, 74]
-    said = dict(S.messages(results).collect())
-    assert said == {1: "Searching instead for: engineering electrical. Found 1 result(s).", 2: "No hits found.", 3: "Found 1 result(s)."}
+    assert [tuple(r) for r in S.result_list(results).where("query_id = 3").select("place", "title", "field_results.field_name").collect()] == [(0, "Document ID 1", ["name", "bio"])]
+
+
+def test_messages(spark, flat_index):
+    queries = spark.createDataFrame([(1, "basketbal"), (2, "qqzz"), (3, "jane"), (4, ""), (5, None), (6, "of")], "query_id long, text string")
+    said = dict(S.messages(S.search(queries, flat_index), queries).collect())
+    assert said == {
+        1: ["No hits found for query: basketbal", "Searching instead for: basketball", "Found 1 result."],
+        2: ["No hits found for query: qqzz"],
+        3: ["Found 1 result."],
+        4: ["Type a search."],
+        5: ["Type a search."],
+        6: ["Found 2 results."],
+    }
 
 
 def test_demo_corpus_without_locations(spark):
