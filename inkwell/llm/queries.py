@@ -74,6 +74,13 @@ SQL: dict[str, str] = {
     "op2_exact_dedup": """
 SELECT doc_id, winner_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS winner_id FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL) AS t
 WHERE doc_id <> winner_id""",
+    "op4_suffix_array": r"""
+WITH w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[^ \t\n\x0B\f\r]+') AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)),
+win AS (SELECT doc_id, i, string_agg(word, ' ') OVER f AS passage, count(*) OVER f AS n FROM w WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+hit AS (SELECT doc_id, i FROM win WHERE n = 50 AND passage IN (SELECT passage FROM win WHERE n = 50 GROUP BY passage HAVING count(DISTINCT doc_id) > 1)),
+cut AS (SELECT *, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50, true) AS fresh FROM hit),
+span AS (SELECT *, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM cut)
+SELECT doc_id, CAST(min(i) AS INTEGER) AS start_word, CAST(max(i) + 50 AS INTEGER) AS end_word, CAST(max(i) + 50 - min(i) AS INTEGER) AS n_words FROM span GROUP BY doc_id, island""",
     "op6_jaccard_join": r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 g AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: list_slice(w, i, i + 2))) AS g FROM w WHERE len(w) > 0),

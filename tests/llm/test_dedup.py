@@ -16,7 +16,7 @@ def texts(spark, sf):
     return dict(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())
 
 
-@pytest.mark.parametrize("name", ["op2_exact_dedup", "op7_line_dedup"])
+@pytest.mark.parametrize("name", ["op2_exact_dedup", "op4_suffix_array", "op6_jaccard_join", "op7_line_dedup"])
 def test_sql(spark, sf, duck, same, name):
     same(queries.QUERIES[name](spark, sf).toArrow(), duck.sql(queries.SQL[name]).to_arrow_table())
 
@@ -139,10 +139,6 @@ def test_groups_in_blocks(spark, monkeypatch):
     assert {tuple(r) for r in found.collect()} == brute_groups(texts, jaccard.N, jaccard.THRESHOLD)
 
 
-def test_op6_sql(spark, sf, duck, same):
-    same(queries.QUERIES["op6_jaccard_join"](spark, sf).toArrow(), duck.sql(queries.SQL["op6_jaccard_join"]).to_arrow_table())
-
-
 def test_repeated_ids_of_unlike_texts(spark):
     a, b = "one two three four five six", "seven eight nine ten eleven twelve"
     docs = spark.createDataFrame([(1, a), (1, b), (1, a), (2, a), (3, b + " more")], "doc_id long, text string")
