@@ -14,16 +14,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LETTERS = r"[\p{L}\p{M}\p{Cf}]"
+#: Letters of scripts that the Unicode rules part one by one, each with its marks; names of scripts differ by engine.
+_ALONE = ("Han", "Hiragana", "Thai", "Lao", "Khmer", "Myanmar")
+_ONE = "[" + "".join(rf"\p{{{x}}}" for x in _ALONE) + "]"
+_JOIN = r"[\p{M}\p{Cf}]"
+LETTERS = rf"(?:[^\P{{L}}{_ONE[1:-1]}]|{_JOIN})"
 #: Word segments by the Unicode text segmentation rules for letters, digits and what may join them.
 WORD = (
     rf"_*(?:{LETTERS}+(?:[.'’:·]{LETTERS}+)*|\p{{N}}[\p{{N}}\p{{M}}\p{{Cf}}]*(?:[.,;'’]\p{{N}}[\p{{N}}\p{{M}}\p{{Cf}}]*)*)"
     rf"(?:(?:{LETTERS}+(?:[.'’:·]{LETTERS}+)*|\p{{N}}[\p{{N}}\p{{M}}\p{{Cf}}]*(?:[.,;'’]\p{{N}}[\p{{N}}\p{{M}}\p{{Cf}}]*)*)|_+)*"
+    rf"|{_ONE}{_JOIN}*"
 )
 #: The same language for the JVM: no part of a segment can be given back, so nothing is tried twice.
-_J_LETTERS = rf"{LETTERS}++(?:[.'’:·]{LETTERS}++)*+"
+_J_ONE = "[" + "".join(rf"\p{{Is{x}}}" for x in _ALONE) + "]"
+_J_LETTER = rf"[[\p{{L}}&&[^{_J_ONE[1:-1]}]]\p{{M}}\p{{Cf}}]"
+_J_LETTERS = rf"{_J_LETTER}++(?:[.'’:·]{_J_LETTER}++)*+"
 _J_DIGITS = r"\p{N}[\p{N}\p{M}\p{Cf}]*+(?:[.,;'’]\p{N}[\p{N}\p{M}\p{Cf}]*+)*+"
-JVM_WORD = rf"_*+(?:{_J_LETTERS}|{_J_DIGITS})(?:{_J_LETTERS}|{_J_DIGITS}|_++)*+"
+JVM_WORD = rf"_*+(?:{_J_LETTERS}|{_J_DIGITS})(?:{_J_LETTERS}|{_J_DIGITS}|_++)*+|{_J_ONE}{_JOIN}*+"
 
 
 def words(text: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .matching import intersect_documents, intersect_rows
 
-__all__ = ["empty", "length", "put", "get", "remove", "scan", "scan_from", "scan_prefix", "update", "intersect_documents", "intersect_rows"]
+__all__ = ["empty", "length", "is_empty", "put", "get", "remove", "scan", "scan_from", "scan_prefix", "update", "intersect_documents", "intersect_rows"]
 
 
 def empty(spark: SparkSession) -> DataFrame:
@@ -21,6 +21,10 @@ def length(entries: DataFrame) -> int:
     return entries.count()
 
 
+def is_empty(entries: DataFrame) -> bool:
+    return entries.isEmpty()
+
+
 def put(entries: DataFrame, new: DataFrame, order: Column | None = None) -> DataFrame:
     """entries with those of new in place of what had their keys.
 

@@ -15,7 +15,7 @@ from ..functions import text as X
 from ..operators import index as I
 from ..operators import matching, ordered_map
 from ..operators.correction import corrections
-from ..sources import store
+from ..sources import demo, store
 from ..sources.tables import shared_folder, table, version
 from . import search as S
 
@@ -75,6 +75,16 @@ def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.postings_of(I.texts(corpus(spark, sf_dir), ["text"])).select("document_id", "term_index", "term")
 
 
+def term_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The terms of each document as one string."""
+    return corpus(spark, sf_dir).select("document_id", F.array_join(X.terms(F.col("text")), " ").alias("terms"))
+
+
+def demo_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the corpus to try the engine on, which no table has."""
+    return I.build(demo.documents(spark), demo.FIELDS).postings
+
+
 def postings_by_term(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.build(corpus(spark, sf_dir), ["text"]).postings
 
@@ -152,6 +162,16 @@ def search_result_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("query_id", "place", "title", fields.alias("fields"))
 
 
+def search_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The answer to one query, as it goes over the wire."""
+    found = S.search_one(spark, talks_index(spark, sf_dir), TALKED[0][1])
+    return S.as_json(found.withColumn("query_id", F.lit(TALKED[0][0]).cast("long"))).select("json")
+
+
+def empty_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flat_outcomes(S.query_outcomes(asked(spark, EXACT), I.empty(spark, ["text"])))
+
+
 def remove_then_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = documents_index(spark, sf_dir)
     gone = corpus(spark, sf_dir).where("lang = 'en'").select("document_id")
@@ -191,6 +211,17 @@ def map_put(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered_map.put(entries(spark, sf_dir), new)
 
 
+def map_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = entries(spark, sf_dir)
+    return spark.createDataFrame([(ordered_map.length(rows), ordered_map.is_empty(rows))], "length long, is_empty boolean")
+
+
+def map_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A value changed where it is, and a key that isn't there."""
+    changed = ordered_map.update(entries(spark, sf_dir), "blend", F.concat("value", F.lit(" times")))
+    return ordered_map.update(changed, "unknown key", F.lit("nothing"))
+
+
 def map_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered_map.remove(entries(spark, sf_dir), spark.createDataFrame([("blend",), ("unknown key",)], "key string"))
 
@@ -224,9 +255,9 @@ def raw_json_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        tokenize, postings_by_term, df_by_term, document_terms, trigram_index, trigram_terms_for, soundex_terms, edit_distance_pairs,
-        exact_search, search_outcomes, corrected_search, corrected_documents, spelling_candidates, snippets, conversation_search, search_json, search_messages, search_result_list,
-        remove_then_search, upsert_then_search, intersect_prefix, intersect_full, map_get, map_put, map_remove, map_scan, prefix_scan,
+        tokenize, term_strings, demo_postings, postings_by_term, df_by_term, document_terms, trigram_index, trigram_terms_for, soundex_terms, edit_distance_pairs,
+        exact_search, search_outcomes, corrected_search, corrected_documents, spelling_candidates, snippets, conversation_search, search_json, search_messages, search_result_list, search_get, empty_index_search,
+        remove_then_search, upsert_then_search, intersect_prefix, intersect_full, map_get, map_put, map_length, map_update, map_remove, map_scan, prefix_scan,
         range_scan_from, json_field_text, raw_json_text,
     )
 }
@@ -315,6 +346,9 @@ def _code(term: str) -> str:
 
 SQL: dict[str, str] = {
     "tokenize": f"{_D} SELECT document_id, term_index, term FROM tok",
+    "term_strings": f"{_D} SELECT doc_id AS document_id, coalesce(terms, '') AS terms FROM documents LEFT JOIN (SELECT document_id, string_agg(term, ' ' ORDER BY term_index) AS terms FROM tok GROUP BY document_id) ON document_id = doc_id",
+    "demo_postings": f"""WITH field_text(document_id, field_index, text) AS (VALUES (CAST(1 AS BIGINT), CAST(0 AS INTEGER), 'Mara Quill'), (1, 1, 'Turin Italy'), (1, 2, 'Mara repairs harbour cranes and tower clocks. On Sundays she sails to the lighthouse.'),
+  (2, 0, 'Odd Ferrant'), (2, 1, ''), (2, 2, 'Odd keeps bees behind the old clock works in Bergen')), {_TOK} SELECT term, document_id, field_index, term_index FROM tok""",
     "postings_by_term": f"{_D} SELECT term, document_id, field_index, term_index FROM tok",
     "df_by_term": f"{_D}, {_VOCAB} SELECT term, postings_len, df FROM vocab",
     "document_terms": f"{_C} SELECT DISTINCT document_id, term FROM tok",
@@ -333,6 +367,8 @@ rated AS (SELECT *, CASE WHEN is_last AND starts_with(candidate, term) THEN 0 EL
 SELECT term, is_last, candidate, CAST(dist AS INTEGER) AS dist, CAST(rn - 1 AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY term, is_last ORDER BY dist, strlen(candidate), candidate) AS rn FROM rated WHERE dist <= 10) WHERE rn <= 10""",
     "snippets": _searched(EXACT, f", {_HITS}"),
     "search_json": _searched(TALKED, f""", {_RESULTS} SELECT query_id, CAST(to_json({{'spelling_correction': spelling_correction, 'query_terms': CASE WHEN query_terms = '' THEN [] ELSE string_split(query_terms, ' ') END, 'hits': hits}}) AS VARCHAR) AS json FROM results""", _TEXTS["conversations"]),
+    "search_get": _searched(TALKED[:1], f""", {_RESULTS} SELECT CAST(to_json({{'spelling_correction': spelling_correction, 'query_terms': string_split(query_terms, ' '), 'hits': hits}}) AS VARCHAR) AS json FROM results""", _TEXTS["conversations"]),
+    "empty_index_search": f"WITH {_asked(EXACT)} SELECT q.query_id, false AS spelling_correction, coalesce(string_agg(term, ' ' ORDER BY q_idx), '') AS query_terms, CAST(0 AS BIGINT) AS n_hits FROM q LEFT JOIN qt USING (query_id) GROUP BY q.query_id",
     "search_messages": _searched(TALKED, f""", {_RESULTS} SELECT query_id, CASE WHEN text = '' THEN 'Type a search.' WHEN n_hits = 0 THEN 'No hits found for query: ' || text
   ELSE CASE WHEN spelling_correction THEN 'No hits found for query: ' || text || ' / Searching instead for: ' || query_terms || ' / ' ELSE '' END || 'Found ' || n_hits || CASE WHEN n_hits = 1 THEN ' result.' ELSE ' results.' END END AS messages FROM results JOIN q USING (query_id)""", _TEXTS["conversations"]),
     "search_result_list": _searched(TALKED, f""", rows AS ({{0}}) SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY document_id) - 1 AS INTEGER) AS place, 'Document ID ' || document_id AS title,
@@ -344,6 +380,8 @@ SELECT term, is_last, candidate, CAST(dist AS INTEGER) AS dist, CAST(rn - 1 AS I
     "intersect_full": f"WITH {_TEXTS['documents']}, {_TOK}, talk AS (SELECT unnest(regexp_extract_all(role || ' ' || text, '{_W}')) AS w FROM conversations) SELECT term FROM tok INTERSECT SELECT lower(w) AS term FROM talk",
     "map_get": f"{_ENTRIES} SELECT * FROM e WHERE key = 'blend'",
     "map_put": f"{_ENTRIES} SELECT * FROM e WHERE key NOT IN ('blend', 'blended-in') UNION ALL VALUES ('blend', 'replaced'), ('blended-in', 'added')",
+    "map_length": f"{_ENTRIES} SELECT count(*) AS length, count(*) = 0 AS is_empty FROM e",
+    "map_update": f"{_ENTRIES} SELECT key, CASE WHEN key = 'blend' THEN value || ' times' ELSE value END AS value FROM e",
     "map_remove": f"{_ENTRIES} SELECT * FROM e WHERE key <> 'blend'",
     "map_scan": f"{_ENTRIES} SELECT * FROM e ORDER BY key",
     "prefix_scan": f"{_ENTRIES} SELECT * FROM e WHERE starts_with(key, 'ble') ORDER BY key",

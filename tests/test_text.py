@@ -16,6 +16,10 @@ def value(spark, column, s):
     ("Élan ÉTÉ ΟΔΟΣ", "élan été οδος"),
     ("", ""),
     ("... -- !", ""),
+    ("東京タワー and カタカナ", "東 京 タワー and カタカナ"),
+    ("ひらaがな 한국어 x", "ひ ら a が な 한국어 x"),
+    ("ไทย ก็ดี", "ไ ท ย ก็ ดี"),
+    ("漢字3年", "漢 字 3 年"),
 ])
 def test_terms(spark, text, expected):
     assert value(spark, X.terms, text) == expected.split()
@@ -23,7 +27,12 @@ def test_terms(spark, text, expected):
 
 def test_jvm_pattern_equals_plain(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    plain = F.regexp_extract_all("text", F.lit(X.WORD), F.lit(0))
+    pattern = X.WORD
+    for script in X._ALONE:  # the JVM's names of scripts
+        pattern = pattern.replace(f"\\p{{{script}}}", f"\\p{{Is{script}}}")
+    plain = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+    odd = spark.createDataFrame([("東京タワー and ไทยก็ดี", ), ("a·b 漢字3年 ひら’が e\u0301t\u00e9 _x1_",)], "text string")
+    docs = docs.select("text").unionByName(odd)
     assert docs.where(~X.words(F.col("text")).eqNullSafe(plain)).count() == 0
 
 
