@@ -11,8 +11,8 @@ WINDOW = 10
 OPEN, CLOSE = "<em>", "</em>"
 
 
-def body(words: Column, gaps: Column, hits: Column, window: int = WINDOW) -> Column:
-    """The snippet of a text, of its words, the gaps before them and the sorted positions of its hits.
+def body(words: Column, gaps: Column, spaced: Column, hits: Column, window: int = WINDOW) -> Column:
+    """The snippet of a text, of its words, the gaps before them, both together, and the sorted positions of its hits.
 
     A word is shown within the window of some hit.  Shown neighbours keep what
     stands between them; elsewhere stands " ... ", in front "... ".  A last word
@@ -22,8 +22,6 @@ def body(words: Column, gaps: Column, hits: Column, window: int = WINDOW) -> Col
     Each hit brings what stands between it and the one before, and the last the
     words after it, so every word that is shown is touched once.
     """
-    spaced = F.zip_with(words, gaps, lambda w, g: F.concat(g, w))
-
     def run(first: Column, end: Column) -> Column:
         """Words first to end - 1, from 0, with the gaps before them."""
         return F.array_join(F.slice(spaced, first + 1, F.greatest(end - first, F.lit(0))), "")
@@ -49,10 +47,12 @@ def body(words: Column, gaps: Column, hits: Column, window: int = WINDOW) -> Col
 def with_snippets(hits: DataFrame, field_text: DataFrame, window: int = WINDOW) -> DataFrame:
     """hits(query_id, document_id, field_index, term_indices) with body.
 
-    Only the fields that have hits are cut into words.  Words and gaps pass a
-    generator before they are used, so each text meets the regular expression
-    once a row and not once a word.
+    Only the fields that have hits are cut into words.  Words and gaps, and both
+    together, pass a generator before they are used, so each text meets the
+    regular expression once a row and not once a word or a hit.
     """
     rows = hits.join(field_text, ["document_id", "field_index"])
     cut = rows.select("query_id", "document_id", "field_index", "term_indices", F.explode(F.array(F.struct(X.words(F.col("text")).alias("words"), X.gaps(F.col("text")).alias("gaps")))).alias("c"))
-    return cut.select("query_id", "document_id", "field_index", "term_indices", body(F.col("c.words"), F.col("c.gaps"), F.col("term_indices"), window).alias("body"))
+    both = F.explode(F.array(F.zip_with("c.words", "c.gaps", lambda w, g: F.concat(g, w)))).alias("spaced")
+    cut = cut.select("query_id", "document_id", "field_index", "term_indices", "c", both)
+    return cut.select("query_id", "document_id", "field_index", "term_indices", body(F.col("c.words"), F.col("c.gaps"), F.col("spaced"), F.col("term_indices"), window).alias("body"))
