@@ -52,7 +52,7 @@ from .kernel import CHUNK_BYTES, Words, chunks, forget, mapped, mix, parted, rag
 N = 3
 THRESHOLD = 0.5
 #: Documents that are compared without a further split.
-LEAF = 24
+LEAF = 12
 #: Pivots of a split.
 PIVOTS = 12
 #: Bytes of sets in a block of a region.
@@ -231,7 +231,8 @@ def peeled(rows: DataFrame, n: int, t: float, bits: int) -> DataFrame:
             kind = np.uint16 if nobody < 65536 else np.uint32
             owner, rest, edges = np.where(length > 1, nobody, doc[first]).astype(kind), rest_of(h, bits), slice_edges(h, bits)
             out = [(k, run, int(np.dtype(kind).itemsize), packed_rest(rest[x:y]) + owner[x:y].tobytes()) for k, (x, y) in enumerate(zip(edges, edges[1:])) if y > x]
-            out.append((int(run) & ((1 << bits) - 1), run, 0, dump(ids, size, a, b, own)))
+            home = int(mix(np.array([run], np.uint64))[0] >> np.uint64(64 - bits))
+            out.append((home, run, 0, dump(ids, size, a, b, own)))
             return batch(SENT, list(zip(*out)))
 
         for some in batches:
@@ -704,14 +705,16 @@ def components(pairs: DataFrame, a: str = "doc_id_a", b: str = "doc_id_b") -> Da
     """
     spark = pairs.sparkSession
     edges = written(spark, pairs.select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(pairs.select(F.col(b).alias("x"), F.col(a).alias("y"))).distinct(), "edges")
-    labels = written(spark, edges.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("label")), "labels")
+    table = labels = written(spark, edges.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("label")), "labels")
     while True:
         near = edges.join(labels.toDF("y", "other"), "y").groupBy("x").agg(F.min("other").alias("other"))
         step = labels.join(near, "x").select("x", F.least("label", "other").alias("label"), F.col("label").alias("old"))
         jump = step.join(labels.toDF("of", "farther"), F.col("label") == F.col("of"), "left")
         new = written(spark, jump.select("x", F.least("label", F.coalesce("farther", "label")).alias("label"), "old"), "labels")
-        labels = new.select("x", "label")
+        forget(table)
+        table, labels = new, new.select("x", "label")
         if new.where("label <> old").isEmpty():
+            forget(edges)
             return labels.toDF("id", "label")
 
 

@@ -160,6 +160,19 @@ def test_regions_split_at_this_scale(spark):
     assert region.splits > 1 and sum(compared) < 0.5 * 180 * 179 / 2
 
 
+def test_regions_of_documents_are_split(spark, monkeypatch):
+    """On sf0.1 there are regions over LEAF as it is, so cells and windows are at work there."""
+    sizes, homes = [], jaccard.homes
+
+    def seen(members):
+        sizes.extend(r[1] for r in members.groupBy("region").count().collect())
+        return homes(members)
+
+    monkeypatch.setattr(jaccard, "homes", seen)
+    found = jaccard.similar_groups(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    assert found.where("links < 1 or class_id > doc_id").isEmpty() and max(sizes) > jaccard.LEAF
+
+
 @pytest.mark.parametrize("cross", [False, True])
 def test_metric_pairs(cross):
     rng = np.random.default_rng(3)
