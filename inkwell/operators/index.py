@@ -36,22 +36,39 @@ def postings_of(field_text: DataFrame) -> DataFrame:
     return rows.select(F.lower("word").alias("term"), "document_id", "field_index", "term_index")
 
 
+def counted(postings: DataFrame) -> DataFrame:
+    """(term, postings_len, df): in how many places and documents each term stands."""
+    by_doc = postings.groupBy("term", "document_id").agg(F.count(F.lit(1)).alias("n"))
+    return by_doc.groupBy("term").agg(F.sum("n").alias("postings_len"), F.count(F.lit(1)).alias("df"))
+
+
+def vocabulary_of(field_text: DataFrame) -> DataFrame:
+    """counted of the postings of these texts.
+
+    Texts are shuffled by document before they are cut, so the terms of each
+    document, of which there are more bytes, needn't be.
+    """
+    return counted(postings_of(field_text.repartition("document_id")))
+
+
 @dataclass(frozen=True)
 class SearchIndex:
-    """fields in order of preference; field_text and postings as above; stored: derived tables that were saved."""
+    """fields in order of preference; field_text and postings as above; stored: derived tables that were saved; cut: postings are those of field_text."""
 
     fields: list[str]
     field_text: DataFrame
     postings: DataFrame
     stored: dict[str, DataFrame] | None = None
+    cut: bool = False
 
     @cached_property
     def vocabulary(self) -> DataFrame:
         """(term, postings_len, df): in how many places and documents each term stands."""
         if self.stored and "vocabulary" in self.stored:
             return self.stored["vocabulary"]
-        by_doc = self.postings.groupBy("term", "document_id").agg(F.count(F.lit(1)).alias("n"))
-        return by_doc.groupBy("term").agg(F.sum("n").alias("postings_len"), F.count(F.lit(1)).alias("df"))
+        if self.cut:
+            return vocabulary_of(self.field_text)
+        return counted(self.postings)
 
     @cached_property
     def trigrams(self) -> DataFrame:
@@ -83,7 +100,7 @@ def empty(spark: SparkSession, fields: list[str]) -> SearchIndex:
 def build(docs: DataFrame, fields: list[str], key: str = "document_id") -> SearchIndex:
     """The index of these documents.  Ids should be distinct; rows without one are left out."""
     field_text = texts(docs, fields, key)
-    return SearchIndex(list(fields), field_text, postings_of(field_text))
+    return SearchIndex(list(fields), field_text, postings_of(field_text), cut=True)
 
 
 def from_postings(fields: list[str], field_text: DataFrame, postings: DataFrame) -> SearchIndex:

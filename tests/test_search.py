@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from inkwell.functions import text as X
 from inkwell.operators import index as I
 from inkwell.operators import matching
 from inkwell.operators.correction import corrections
@@ -256,3 +257,21 @@ def test_snippets_against_brute_force(spark):
     hits = spark.createDataFrame(rows, "query_id long, document_id long, field_index int, term_indices array<int>")
     found = with_snippets(hits, spark.createDataFrame(texts, I.FIELD_TEXT)).collect()
     assert {r["document_id"]: r["body"] for r in found} == expected
+
+
+def test_vocabulary_shuffles_no_terms_of_documents(spark, sf):
+    """Repeated ids and several fields are one document; no exchange is by term and document."""
+    docs = spark.createDataFrame([(1, "b A a", "a c"), (1, "a B", None), (2, "", "É é"), (3, None, None)], "document_id long, t string, u string")
+    index = I.build(docs, ["t", "u"])
+    assert {tuple(r) for r in index.vocabulary.collect()} == {("a", 4, 1), ("b", 2, 1), ("c", 1, 1), ("é", 2, 1)}
+    by_postings = I.from_postings(index.fields, index.field_text, index.postings)
+    assert index.vocabulary.schema == by_postings.vocabulary.schema and index.vocabulary.exceptAll(by_postings.vocabulary).isEmpty()
+    exchanges = [by.split(",")[:2] for by in index.vocabulary._jdf.queryExecution().executedPlan().toString().split("hashpartitioning(")[1:]]
+    assert not any(by[0].startswith("term") and by[1].strip().startswith("document_id") for by in exchanges)
+
+
+def test_words_of_scripts_letter_by_letter(spark):
+    """A text without such letters takes the plain expression; both agree where it does."""
+    texts = ["it's 1,000.5 a_b _x", "naïve — “quote” 🙂 Ω", "日本 kana ひ", "ไทย thai", "က ក ລ", "\U00020000x", "\U0001f200", "ﬁ ｱ ﬀ", "", None]
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.words(F.col("t")).alias("w"), X.gaps(F.col("t")).alias("g"), F.regexp_extract_all("t", F.lit(X.JVM_WORD), F.lit(0)).alias("w1"), F.split("t", X.JVM_WORD, -1).alias("g1")).collect()
+    assert all(r["w"] == r["w1"] and r["g"] == r["g1"] for r in found) and X.PLAIN_WORD != X.JVM_WORD
