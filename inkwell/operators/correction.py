@@ -30,4 +30,6 @@ def corrections(unknown: DataFrame, trigrams: DataFrame, most: int = MAX_EDIT_DI
     dist = F.when(ahead, F.lit(0)).otherwise(X.edit_distance(F.col("term"), F.col("candidate"), most))
     rated = pairs.withColumn("dist", dist).where(F.col("dist") >= 0)
     by = Window.partitionBy("term", "is_last").orderBy("dist", F.octet_length("candidate"), "candidate")
-    return rated.withColumn("rank", F.row_number().over(by) - 1).where(F.col("rank") < keep)
+    # On the row number itself, so that each slice keeps its nearest before they meet by term.
+    first = rated.withColumn("row", F.row_number().over(by)).where(F.col("row") <= keep)
+    return first.select("term", "is_last", "candidate", "dist", (F.col("row") - 1).alias("rank"))

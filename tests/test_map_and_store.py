@@ -102,3 +102,17 @@ def test_stream(spark, tmp_path):
         query.awaitTermination()
         assert ids(spark, s.load(), "great") == ([1, 2] if k == 0 else [3])
     assert ids(spark, s.load(), "quiet") == [2]
+
+
+def test_saved_postings_are_slices_sorted_by_term(spark, sf, tmp_path, monkeypatch):
+    """Texts are cut once for the postings, no range of terms is sampled, and a lookup finds all documents in all slices."""
+    monkeypatch.setattr(store, "SLICE_BYTES", 1 << 16)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumnRenamed("doc_id", "document_id")
+    built = I.build(docs, ["text"])
+    store.save(built, f"file://{tmp_path}/i")
+    plan = store.by_term(built.field_text, f"file://{tmp_path}/i/field_text")._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "hashpartitioning(document_id" in plan
+    found = store.load(spark, f"file://{tmp_path}/i", ["text"])
+    assert len(found.postings.inputFiles()) > 4
+    for name in ("postings", "vocabulary", "trigrams"):
+        assert found.__getattribute__(name).exceptAll(getattr(built, name)).isEmpty() and found.__getattribute__(name).count() == getattr(built, name).count()
