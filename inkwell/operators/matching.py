@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.tables import written
 from .correction import corrections
 from .index import SearchIndex
 
 MAX_ATTEMPTS = 10
 #: Terms that are pushed to the scan of the postings; more of them are only joined.
 PUSHED_TERMS = 1000
+#: Values of one pushed condition: spark.sql.parquet.pushdown.inFilterThreshold, as it is unless set.
+PUSHED_VALUES = 10
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -24,7 +27,14 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def pushed(rows: DataFrame, column: str, terms: DataFrame) -> DataFrame:
     """The rows whose column may be among the terms, by a filter that reaches the scan if the terms are few."""
     few = [r[0] for r in terms.distinct().limit(PUSHED_TERMS + 1).collect()]
-    return rows.where(F.col(column).isin(few)) if len(few) <= PUSHED_TERMS else rows
+    few = sorted(t for t in few if t is not None)
+    if not 0 < len(few) <= PUSHED_TERMS:
+        return rows.where(F.lit(False)) if not few else rows
+    # Of more values than that, only the range between the least and the greatest reaches the scan.
+    parts = [F.col(column).isin(few[i : i + PUSHED_VALUES]) for i in range(0, len(few), PUSHED_VALUES)]
+    while len(parts) > 1:
+        parts = [parts[i] | parts[i + 1] if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+    return rows.where(parts[0])
 
 
 def candidates(terms: DataFrame, index: SearchIndex) -> DataFrame:
@@ -77,6 +87,8 @@ def match(tried: DataFrame, index: SearchIndex) -> tuple[DataFrame, DataFrame]:
     stands = pushed(index.postings, "term", asked).join(asked, "term", "left_semi").select("term", "document_id").distinct()
     met = tried.select("query_id", "attempt", "n_terms", F.col("candidate").alias("term")).join(stands, "term")
     whole = met.groupBy("query_id", "attempt", "document_id").agg(F.count(F.lit(1)).alias("n"), F.max("n_terms").alias("n_terms")).where("n = n_terms")
+    # The first attempts, the terms chosen, the documents and what is joined to them would each read the postings again.
+    whole = written(whole.select("query_id", "attempt", "document_id"), "met")
     first = whole.groupBy("query_id").agg(F.min("attempt").alias("attempt"))
     chosen = tried.join(first, ["query_id", "attempt"]).select("query_id", "q_idx", F.col("candidate").alias("term"), "corrected")
     return chosen, whole.join(first, ["query_id", "attempt"]).select("query_id", "document_id")

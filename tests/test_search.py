@@ -275,3 +275,29 @@ def test_words_of_scripts_letter_by_letter(spark):
     texts = ["it's 1,000.5 a_b _x", "naïve — “quote” 🙂 Ω", "日本 kana ひ", "ไทย thai", "က ក ລ", "\U00020000x", "\U0001f200", "ﬁ ｱ ﬀ", "", None]
     found = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.words(F.col("t")).alias("w"), X.gaps(F.col("t")).alias("g"), F.regexp_extract_all("t", F.lit(X.JVM_WORD), F.lit(0)).alias("w1"), F.split("t", X.JVM_WORD, -1).alias("g1")).collect()
     assert all(r["w"] == r["w1"] and r["g"] == r["g1"] for r in found) and X.PLAIN_WORD != X.JVM_WORD
+
+
+def test_nearest_are_kept_before_they_meet(spark):
+    """Each slice keeps its nearest, so a term's pairs needn't all be sorted in one place."""
+    trigrams = I.trigram_table(spark.createDataFrame([(f"word{i}",) for i in range(50)], "term string"))
+    found = corrections(spark.createDataFrame([("wordx", False)], "term string, is_last boolean"), trigrams)
+    assert "WindowGroupLimit" in found._jdf.queryExecution().executedPlan().toString() and found.count() == 10
+
+
+def test_more_than_ten_terms_reach_the_scan(spark, tmp_path):
+    """No set of terms that the scan would only know the least and the greatest of."""
+    rows = spark.createDataFrame([(f"t{i}",) for i in range(100)], "term string")
+    rows.write.parquet(f"{tmp_path}/t")
+    few = rows.where("term >= 't75'")
+    found = matching.pushed(spark.read.parquet(f"{tmp_path}/t"), "term", few)
+    assert sorted(r[0] for r in found.collect()) == sorted(r[0] for r in few.collect())
+    assert "INSET" not in found._jdf.queryExecution().executedPlan().toString()
+    assert matching.pushed(rows, "term", rows.where("false")).isEmpty()
+
+
+def test_postings_are_read_once_to_match(spark, flat_index):
+    rows = [(1, 0, 0, 1, "jane", False)]
+    tried = spark.createDataFrame(rows, "query_id long, attempt int, q_idx int, n_terms int, candidate string, corrected boolean")
+    chosen, documents = matching.match(tried, flat_index)
+    assert [tuple(r) for r in documents.collect()] == [(1, 1)] and [r["term"] for r in chosen.collect()] == ["jane"]
+    assert "posexplode" not in documents._jdf.queryExecution().executedPlan().toString()
