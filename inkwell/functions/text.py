@@ -44,8 +44,17 @@ PLAIN_WORD = _j_word(r"[\p{L}\p{M}\p{Cf}]")
 _J_BLOCKS = r"[\x{E00}-\x{1FFF}\x{2C00}-\x{D7FF}\x{F900}-\x{FAFF}\x{10000}-\x{1F2FF}\x{20000}-\x{10FFFF}]"
 
 
-def _by_script(text: Column, cut: Callable[[str], Column]) -> Column:
-    return F.when(text.rlike(_J_BLOCKS), cut(JVM_WORD)).otherwise(cut(PLAIN_WORD))
+#: A text of Latin-1 and common marks alone, and the same words of it: single letters are looked up as bits, and no part needs a category.
+_J_LATIN = r"\A[\x00-\xFF\x{2010}-\x{2027}\x{20AC}]*\z"
+_L_LETTER = "[" + "".join(chr(c) for c in range(256) if c == 0xAD or chr(c).isalpha()) + "]"
+_L_DIGITS = "[0123456789²³¹¼½¾][0123456789²³¹¼½¾\xad]*"
+_L_DIGITS = rf"{_L_DIGITS}(?:[.,;'’]{_L_DIGITS})*+"
+_L_LETTERS = rf"{_L_LETTER}+(?:[.'’:·]{_L_LETTER}+)*+"
+LATIN_WORD = rf"_*+(?:{_L_LETTERS}|{_L_DIGITS})(?:{_L_LETTERS}|{_L_DIGITS}|_++)*+"
+
+
+def _by_script(text: Column, cut: Callable[[str], Column], latin: Callable[[str], Column] | None = None) -> Column:
+    return F.when(text.rlike(_J_LATIN), (latin or cut)(LATIN_WORD)).when(text.rlike(_J_BLOCKS), cut(JVM_WORD)).otherwise(cut(PLAIN_WORD))
 
 
 def words(text: Column) -> Column:
@@ -59,8 +68,12 @@ def gaps(text: Column) -> Column:
 
 
 def terms(text: Column) -> Column:
-    """The words of a text in order, in lower case.  No stemming, stop words or accent folding."""
-    return F.transform(words(text), F.lower)
+    """The words of a text in order, in lower case.  No stemming, stop words or accent folding.
+
+    Latin letters have small ones of their own, whatever stands beside them, so such a text is put in lower case at once.
+    """
+    found = lambda rows, word: F.regexp_extract_all(rows, F.lit(word), F.lit(0))
+    return _by_script(text, lambda word: F.transform(found(text, word), F.lower), lambda word: found(F.lower(text), word))
 
 
 def trigrams(term: Column) -> Column:

@@ -11,6 +11,19 @@ MAX_EDIT_DISTANCE = 10
 CANDIDATES = 10
 
 
+#: Trigrams by which terms are filtered before each is parted into its own; more of them are only joined.
+LOOKED_FOR = 1000
+
+
+def sharing(terms: DataFrame, unknown: DataFrame) -> DataFrame:
+    """(trigram, term) of the terms that share a trigram with an unknown one, so few of many terms are joined."""
+    asked = unknown.select(F.explode(F.array_distinct(X.trigrams(F.col("term")))).alias("trigram")).distinct()
+    few = [r[0] for r in asked.limit(LOOKED_FOR + 1).collect()]
+    if len(few) <= LOOKED_FOR:
+        terms = terms.where(F.arrays_overlap(X.trigrams(F.col("term")), F.array(*map(F.lit, few)).cast("array<string>")))
+    return terms.select(F.explode(F.array_distinct(X.trigrams(F.col("term")))).alias("trigram"), "term")
+
+
 def corrections(unknown: DataFrame, trigrams: DataFrame, most: int = MAX_EDIT_DISTANCE, keep: int = CANDIDATES) -> DataFrame:
     """(term, is_last, candidate, dist, rank) for each distinct (term, is_last), rank from 0.
 

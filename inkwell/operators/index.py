@@ -32,8 +32,8 @@ def texts(docs: DataFrame, fields: list[str], key: str = "document_id") -> DataF
 
 def postings_of(field_text: DataFrame) -> DataFrame:
     """(term, document_id, field_index, term_index) of every word."""
-    rows = field_text.select("document_id", "field_index", F.posexplode(X.words(F.col("text"))).alias("term_index", "word"))
-    return rows.select(F.lower("word").alias("term"), "document_id", "field_index", "term_index")
+    rows = field_text.select("document_id", "field_index", F.posexplode(X.terms(F.col("text"))).alias("term_index", "term"))
+    return rows.select("term", "document_id", "field_index", "term_index")
 
 
 def counted(postings: DataFrame) -> DataFrame:
@@ -51,21 +51,33 @@ def vocabulary_of(field_text: DataFrame) -> DataFrame:
     return counted(postings_of(field_text.repartition("document_id")))
 
 
+@dataclass(frozen=True)
+class Changes:
+    """What was done to a saved index: its vocabulary, the texts of each change with -1 if they went and 1 if they came, and the postings that came."""
+
+    vocabulary: DataFrame
+    texts: tuple[tuple[DataFrame, int], ...] = ()
+    postings: tuple[DataFrame, ...] = ()
+
+
 @dataclass(frozen=True)
 class SearchIndex:
-    """fields in order of preference; field_text and postings as above; stored: derived tables that were saved; cut: postings are those of field_text."""
+    """fields in order of preference; field_text and postings as above; stored: the vocabulary that was saved; cut: postings are those of field_text; changes: to what was saved."""
 
     fields: list[str]
     field_text: DataFrame
     postings: DataFrame
-    stored: dict[str, DataFrame] | None = None
+    stored: DataFrame | None = None
     cut: bool = False
+    changes: Changes | None = None
 
     @cached_property
     def vocabulary(self) -> DataFrame:
         """(term, postings_len, df): in how many places and documents each term stands."""
-        if self.stored and "vocabulary" in self.stored:
-            return self.stored["vocabulary"]
+        if self.stored is not None:
+            return self.stored
+        if self.changes is not None:
+            return _corrected(self.changes)
         if self.cut:
             return vocabulary_of(self.field_text)
         return counted(self.postings)
@@ -73,10 +85,18 @@ class SearchIndex:
     @cached_property
     def trigrams(self) -> DataFrame:
         """(trigram, term), distinct."""
-        if self.stored and "trigrams" in self.stored:
-            return self.stored["trigrams"]
         return trigram_table(self.vocabulary)
 
+    @property
+    def terms(self) -> DataFrame:
+        """(term), distinct: all that stand somewhere, and of a saved index that was changed also those that went, which are cheaper to tell apart when few are left."""
+        if self.changes is None:
+            return self.vocabulary.select("term")
+        known = self.changes.vocabulary.select("term")
+        for came in self.changes.postings:
+            known = known.unionByName(came.select("term"))
+        return known.distinct() if self.changes.postings else known
+
     @cached_property
     def soundex(self) -> DataFrame:
         """(code, term), distinct."""
@@ -107,40 +127,34 @@ def from_postings(fields: list[str], field_text: DataFrame, postings: DataFrame)
     return SearchIndex(list(fields), field_text, postings)
 
 
-def _changed(stored: dict[str, DataFrame] | None, gone: DataFrame, new: DataFrame | None) -> dict[str, DataFrame] | None:
-    """The derived tables after the texts of gone went and those of new came: only their terms are counted."""
-    if not stored:
-        return None
-
-    def counts(field_text: DataFrame, sign: int) -> DataFrame:
-        told = SearchIndex([], field_text, postings_of(field_text)).vocabulary
-        return told.select("term", *((F.col(c) * sign).alias(c) for c in ("postings_len", "df")))
-
-    delta = counts(gone, -1) if new is None else counts(gone, -1).unionByName(counts(new, 1))
-    delta = delta.groupBy("term").agg(F.sum("postings_len").alias("postings_len"), F.sum("df").alias("df"), F.lit(True).alias("touched"))
-    known = stored["vocabulary"].select("term", "postings_len", "df", F.lit(False).alias("touched"))
-    both = known.unionByName(delta).groupBy("term").agg(F.sum("postings_len").alias("postings_len"), F.sum("df").alias("df"), F.min("touched").alias("only_new"), F.max("touched").alias("touched"))
-    changed = written(both.where("touched"), "terms-changed")
-    vanished, came = changed.where("postings_len <= 0").select("term"), changed.where("only_new and postings_len > 0")
-    vocabulary = stored["vocabulary"].join(changed.select("term"), "term", "left_anti").unionByName(changed.where("postings_len > 0").select("term", "postings_len", "df"))
-    return {"vocabulary": vocabulary, "trigrams": stored["trigrams"].join(vanished, "term", "left_anti").select("trigram", "term").unionByName(trigram_table(came))}
+def _corrected(changes: Changes) -> DataFrame:
+    """The whole vocabulary after the changes: only the terms of the texts that went and came are counted."""
+    both = changes.vocabulary.select("term", "postings_len", "df")
+    for field_text, sign in changes.texts:
+        both = both.unionByName(vocabulary_of(field_text).select("term", *((F.col(c) * sign).alias(c) for c in ("postings_len", "df"))))
+    return both.groupBy("term").agg(F.sum("postings_len").alias("postings_len"), F.sum("df").alias("df")).where("postings_len > 0")
 
 
 def _without(index: SearchIndex, ids: DataFrame, new: SearchIndex | None = None) -> SearchIndex:
     gone = written(ids.select(F.col(ids.columns[0]).cast("long").alias("document_id")).where("document_id is not null").distinct(), "ids-gone")
-    stored = _changed(index.stored, index.field_text.join(gone, "document_id", "left_semi"), new and new.field_text)
     field_text, postings = (x.join(gone, "document_id", "left_anti").select(*x.columns) for x in (index.field_text, index.postings))
     if new is not None:
         field_text, postings = field_text.unionByName(new.field_text), postings.unionByName(new.postings)
-    return SearchIndex(index.fields, field_text, postings, stored)
+    before = Changes(index.stored) if index.stored is not None else index.changes
+    if before is None:
+        return SearchIndex(index.fields, field_text, postings)
+    went, came = (index.field_text.join(gone, "document_id", "left_semi"), -1), [] if new is None else [new]
+    changes = Changes(before.vocabulary, (*before.texts, went, *((x.field_text, 1) for x in came)), (*before.postings, *(x.postings for x in came)))
+    return SearchIndex(index.fields, field_text, postings, changes=changes)
 
 
 def remove(index: SearchIndex, ids: DataFrame) -> SearchIndex:
     """The index without the documents whose ids are in the first column; unknown ids change nothing.
 
     All that derives from postings forgets them, too: a term that no document
-    has any more is neither found nor proposed.  The tables of a saved index
-    are corrected by what the removed texts held.
+    has any more is neither found nor proposed.  A search counts the terms that
+    it looks up in what is left; the whole vocabulary of a saved index, if it is
+    asked for, is corrected by what the removed texts held.
     """
     return _without(index, ids)
 

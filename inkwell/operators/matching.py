@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..sources.tables import written
-from .correction import corrections
+from .correction import CANDIDATES, corrections, sharing
 from .index import SearchIndex
 
 MAX_ATTEMPTS = 10
 #: Terms that are pushed to the scan of the postings; more of them are only joined.
 PUSHED_TERMS = 1000
+#: How many times more corrections are taken, at first and again, where some may have gone.
+NEARER = 8
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -28,20 +30,55 @@ def pushed(rows: DataFrame, column: str, terms: DataFrame) -> DataFrame:
     return rows.where(F.col(column).isin(few)) if len(few) <= PUSHED_TERMS else rows
 
 
+def counts(terms: DataFrame, index: SearchIndex) -> DataFrame:
+    """(term, postings_len) of those among the terms that stand in some document.
+
+    The vocabulary of a saved index that was changed would have to be corrected
+    by all texts that went; the places of few terms are counted instead.
+    """
+    if index.changes is None:
+        return pushed(index.vocabulary.select("term", "postings_len"), "term", terms)
+    places = pushed(index.postings.select("term", "document_id"), "term", terms).join(terms.select("term").distinct(), "term", "left_semi")
+    return places.groupBy("term").agg(F.count(F.lit(1)).alias("postings_len"))
+
+
+def nearest(missed: DataFrame, index: SearchIndex) -> DataFrame:
+    """(term, is_last, candidate, rank, postings_len): the corrections of these terms.
+
+    Where terms may have gone, more than the nearest are taken, and as many
+    more as it needs until enough of them still stand in some document.
+    """
+    grams, keep = sharing(index.terms, missed), CANDIDATES
+    if index.changes is None:
+        found = corrections(missed, grams)
+        return found.join(index.vocabulary.select(F.col("term").alias("candidate"), "postings_len"), "candidate").select("term", "is_last", "candidate", "rank", "postings_len")
+    while True:
+        keep *= NEARER
+        rated = written(corrections(missed, grams, keep=keep), "rated")
+        live = rated.join(counts(rated.select(F.col("candidate").alias("term")), index).withColumnRenamed("term", "candidate"), "candidate", "left")
+        live = written(live, "live")
+        short = live.groupBy("term", "is_last").agg(F.count(F.lit(1)).alias("n"), F.count("postings_len").alias("n_live")).where((F.col("n") == keep) & (F.col("n_live") < CANDIDATES))
+        if short.isEmpty():
+            break
+    by = Window.partitionBy("term", "is_last").orderBy("rank")
+    first = live.where("postings_len is not null").withColumn("row", F.row_number().over(by)).where(F.col("row") <= CANDIDATES)
+    return first.select("term", "is_last", "candidate", (F.col("row") - 1).alias("rank"), "postings_len")
+
+
 def candidates(terms: DataFrame, index: SearchIndex) -> DataFrame:
     """(query_id, q_idx, n_terms, rank, candidate, postings_len, corrected) for each query term.
 
     A term that stands in some document is its own only candidate; any other
     gets its corrections.
     """
-    known = index.vocabulary.select("term", "postings_len")
-    told = terms.join(pushed(known, "term", terms.select("term")), "term", "left")
+    # Written, as what is near is looked for by the few terms that were missed.
+    told = written(terms.join(counts(terms.select("term"), index), "term", "left"), "terms-told")
     exact = told.where(F.col("postings_len").isNotNull()).select("query_id", "q_idx", "n_terms", F.lit(0).alias("rank"), F.col("term").alias("candidate"), "postings_len", F.lit(False).alias("corrected"))
     missed = told.where(F.col("postings_len").isNull()).select("query_id", "q_idx", "n_terms", "term", "is_last")
-    found = corrections(missed, index.trigrams).select("term", "is_last", "candidate", "rank")
-    near = missed.join(found, ["term", "is_last"]).join(known.withColumnRenamed("term", "candidate"), "candidate")
-    near = near.select("query_id", "q_idx", "n_terms", "rank", "candidate", "postings_len", F.lit(True).alias("corrected"))
-    return exact.unionByName(near)
+    if missed.isEmpty():
+        return exact
+    near = missed.join(nearest(missed, index), ["term", "is_last"])
+    return exact.unionByName(near.select("query_id", "q_idx", "n_terms", "rank", "candidate", "postings_len", F.lit(True).alias("corrected")))
 
 
 def attempts(found: DataFrame, most: int = MAX_ATTEMPTS) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import index as I
 from ..operators import matching, ordered_map
-from ..operators.correction import corrections
+from ..operators.correction import corrections, sharing
 from ..sources import demo, store
 from ..sources.tables import shared_folder, table, version
 from . import search as S
@@ -133,7 +133,7 @@ def corrected_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def spelling_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     unknown = spark.createDataFrame([(w, last) for _, w, last in SPELLED], "term string, is_last boolean")
-    return corrections(unknown, documents_index(spark, sf_dir).trigrams)
+    return corrections(unknown, sharing(documents_index(spark, sf_dir).terms, unknown))
 
 
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:

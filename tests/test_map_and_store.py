@@ -116,3 +116,44 @@ def test_saved_postings_are_slices_sorted_by_term(spark, sf, tmp_path, monkeypat
     assert len(found.postings.inputFiles()) > 4
     for name in ("postings", "vocabulary", "trigrams"):
         assert found.__getattribute__(name).exceptAll(getattr(built, name)).isEmpty() and found.__getattribute__(name).count() == getattr(built, name).count()
+
+
+@pytest.fixture
+def kept(spark, tmp_path):
+    """A saved index of near words that only document 1 has, and a farther one of document 2."""
+    near = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(150))
+    docs = spark.createDataFrame([(1, f"{near} beta Beta"), (2, "wordfarther beta"), (3, None)], "document_id long, t string")
+    store.save(I.build(docs, ["t"]), f"file://{tmp_path}/kept")
+    return store.load(spark, f"file://{tmp_path}/kept", ["t"])
+
+
+def test_saved_vocabulary_is_told_by_the_slices(spark, tmp_path, monkeypatch):
+    """Texts aren't cut again for it; fields and repeated ids are one document."""
+    docs = spark.createDataFrame([(1, "b A a", "a c"), (1, "a B", None), (2, "", "É é"), (3, None, None)], "document_id long, t string, u string")
+    built = I.build(docs, ["t", "u"])
+    expected = {tuple(r) for r in built.vocabulary.collect()}
+
+    def cut(*_):
+        raise AssertionError("cut again")
+
+    for at, name in ((I, "vocabulary_of"), (I, "counted"), (store, "vocabulary_of")):
+        monkeypatch.setattr(at, name, cut, raising=False)
+    store.save(built, f"file://{tmp_path}/x")
+    found = store.load(spark, f"file://{tmp_path}/x", ["t", "u"])
+    assert {tuple(r) for r in found.vocabulary.collect()} == expected == {("a", 4, 1), ("b", 2, 1), ("c", 1, 1), ("é", 2, 1)}
+    assert sorted(map(tuple, found.postings.collect())) == sorted(map(tuple, built.postings.collect()))
+
+
+def test_search_after_removal_counts_no_texts(spark, kept, monkeypatch):
+    """Only what is looked up is counted, and the nearest are taken until enough of them still stand somewhere."""
+    gone = I.remove(kept, spark.createDataFrame([(1,), (9,)], "document_id long"))
+    assert {tuple(r) for r in gone.vocabulary.collect()} == {("wordfarther", 1, 1), ("beta", 1, 1)}
+
+    def count(*_):
+        raise AssertionError("all terms counted")
+
+    monkeypatch.setattr(I, "counted", count)
+    monkeypatch.setattr(I, "vocabulary_of", count)
+    gone = I.remove(kept, spark.createDataFrame([(1,), (9,)], "document_id long"))
+    found = S.search_one(spark, gone, "betta wordaa").first()
+    assert found["query_terms"] == ["beta", "wordfarther"] and [h["document_id"] for h in found["hits"]] == [2]

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,3 +74,17 @@ def test_json_field_text(spark):
     docs = ['{"bio": {"title": "Jane", "text": ["The", {"z": "end", "a": "great"}, 5, null, true]}}', '{"bio": ""}', "[1]", "broken{", None, '{"other": "x"}']
     rows = spark.createDataFrame([(d,) for d in docs], "doc string").select(X.json_field_text(F.col("doc"), "bio")).collect()
     assert [r[0] for r in rows] == ["The great end Jane", "", "", "", "", ""]
+
+
+def test_latin_words_equal_those_of_any_script(spark):
+    """All letters of Latin-1 and marks beside letters, digits and joiners, and mixtures of them."""
+    letters = [chr(c) for c in (*range(256), *range(0x2010, 0x2028), 0x20AC)]
+    texts = [a + c + b for c in letters for a, b in (("", ""), ("a", "b"), ("1", "2"), ("_", "x"), ("A", ""), ("", "1"))]
+    rng = random.Random(4)
+    texts += ["".join(rng.choice("aB é.'’:·_1,;²\xad½ªß-ÀÿZz’“…—7") for _ in range(40)) for _ in range(1000)]
+    t = F.col("t")
+    rows = spark.createDataFrame([(x,) for x in texts], "t string")
+    known = F.regexp_extract_all(t, F.lit(X.JVM_WORD), F.lit(0))
+    same = t.rlike(X._J_LATIN) & X.words(t).eqNullSafe(known) & X.terms(t).eqNullSafe(F.transform(known, F.lower)) & X.gaps(t).eqNullSafe(F.split(t, X.JVM_WORD, -1))
+    assert rows.where(~same).isEmpty() and not value(spark, lambda c: c.rlike(X._J_LATIN), "ΑΣ. Β")
+    assert value(spark, X.terms, "ΑΣ^Β İx") == ["ας", "β", "i̇x"]
