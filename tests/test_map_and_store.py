@@ -177,3 +177,29 @@ def test_sorted_slice_against_brute_force(monkeypatch, rows):
     told = {r["term"]: (r["places"], r["documents"]) for r in found if r["places"] is not None}
     assert told == {t: (sum(p[0] == t for p in postings), len({p[1] for p in postings if p[0] == t})) for t in {p[0] for p in postings}}
     assert not list(store._sorted_slice(iter([]))) and not list(store._sorted_slice(iter([batch([(1, 0, [])])])))
+
+
+def test_search_after_upsert_counts_no_texts(spark, kept, monkeypatch):
+    """New terms are found and proposed, replaced ones aren't; changes add up as if the texts were indexed anew."""
+    one = spark.createDataFrame([(1, "wordnew alpha"), (4, "alpha Beta")], "document_id long, t string")
+    two = spark.createDataFrame([(4, "alpha gamma gamma"), (5, None)], "document_id long, t string")
+
+    def changed():
+        return I.remove(I.upsert(I.upsert(kept, one), two), spark.createDataFrame([(2,), (77,)], "document_id long"))
+
+    anew = I.build(spark.createDataFrame([(1, "wordnew alpha"), (4, "alpha gamma gamma"), (3, None), (5, None)], "document_id long, t string"), ["t"])
+    for name in ("vocabulary", "trigrams", "postings", "field_text"):
+        a, b = getattr(anew, name), getattr(changed(), name)
+        assert sorted(map(tuple, b.select(*a.columns).collect())) == sorted(map(tuple, a.collect())), name
+
+    def count(*_):
+        raise AssertionError("all terms counted")
+
+    monkeypatch.setattr(I, "counted", count)
+    monkeypatch.setattr(I, "vocabulary_of", count)
+    for query in ("wordaa", "gama alpa", "alpha wordn", "beta", "wordfarther"):
+        found = S.search_one(spark, changed(), query).first()
+        expected = {"wordaa": (["wordnew"], [1]), "gama alpa": (["gamma", "alpha"], [4]), "alpha wordn": (["alpha", "wordnew"], [1]), "beta": (None, None), "wordfarther": (["wordnew"], [1])}[query]
+        if expected[0]:
+            assert (found["query_terms"], [h["document_id"] for h in found["hits"]]) == expected, query
+        assert "beta" not in found["query_terms"] or not found["hits"]
